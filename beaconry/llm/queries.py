@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, token_records, url_filter, warc
+from . import decontaminate, mixing, near_dedup, quality, sharding, token_records, toxicity, url_filter, warc
 from .common import table
 
 SHARDS = 8
@@ -49,6 +49,18 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op5_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents for toxicity after a noisy channel has restored disguised words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.scored(docs, table(spark, sf_dir, "labels"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op7_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups all documents whose sets of two-word shingles are 0.8 alike or more."""
+    return near_dedup.grouped(table(spark, sf_dir, "documents"), k=2, threshold=80)
+
+
 def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judges all page urls by the rules, held in a Bloom filter cascade."""
     out = url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
@@ -77,7 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc_zstd": op2_warc_zstd,
     "op3_token_records": op3_token_records,
+    "op5_deobfuscated_toxicity": op5_deobfuscated_toxicity,
     "op6_url_cascade": op6_url_cascade,
+    "op7_bbit_minhash": op7_bbit_minhash,
     "op8_pfair_mix": op8_pfair_mix,
     "op9_weak_quality": op9_weak_quality,
     "op10_bounded_ring": op10_bounded_ring,
@@ -110,6 +124,18 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
        CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM f""",
+    "op7_bbit_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+        SELECT doc_id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w)
+        UNION ALL SELECT doc_id, w[1] FROM w WHERE len(w) = 1)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)),
+pairs AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS d, doc_id AS c FROM n UNION SELECT pairs.b, r.c FROM r JOIN pairs ON r.d = pairs.a WHERE r.c < pairs.b)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT d AS doc_id, min(c) AS c FROM r GROUP BY d) USING (doc_id)""",
     "op6_url_cascade": """
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 v AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
