@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from beaconry import session
+
 #: Rows in one Arrow batch. Documents may be long, so batches are short.
 BATCH_ROWS = 1000
 
@@ -14,7 +16,7 @@ BATCH_ROWS = 1000
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; Arrow batches of the session are kept short from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return session.table(spark, sf_dir, name)
 
 
 def shared_dir(spark: SparkSession) -> str:

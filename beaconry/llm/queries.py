@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dedup, quality, sharding, token_records, toxicity, url_filter, warc
+from . import decontaminate, mixing, near_dedup, quality, sharding, token_records, toxicity, url_filter, vectors, warc
 from .common import table
 
 SHARDS = 8
@@ -49,6 +49,12 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op4_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector's five nearest among all others, by balanced posting lists."""
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.neighbours(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op5_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all documents for toxicity after a noisy channel has restored disguised words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc_zstd": op2_warc_zstd,
     "op3_token_records": op3_token_records,
+    "op4_posting_lists": op4_posting_lists,
     "op5_deobfuscated_toxicity": op5_deobfuscated_toxicity,
     "op6_url_cascade": op6_url_cascade,
     "op7_bbit_minhash": op7_bbit_minhash,
