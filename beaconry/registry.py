@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLES.
-PLANS = ["scoring"]
+PLANS = ["scoring", "feed", "precision"]
 
 
 def _plans():
