@@ -143,10 +143,12 @@ class Archive:
         fs.create_dir(base, recursive=True)
         name = f"{uuid.uuid4().hex}.warc.zst"
         self.path, self.records = f"{folder}/{name}", 0
-        self.out = fs.open_output_stream(f"{base}/{name}")
+        self.out = fs.open_output_stream(f"{base}/{name}", compression=None)
         trained = None
         try:
-            trained = zstd.train_dictionary(DICT_BYTES, [x[:CHUNK] for x in sample]) if len(sample) >= 8 else None
+            part = [x[:CHUNK] for x in sample]
+            size = min(DICT_BYTES, sum(map(len, part)) // 16)
+            trained = zstd.train_dictionary(size, part) if len(part) >= 8 and size >= 1024 else None
         except zstd.ZstdError:  # too little or too uniform a sample: records go without a dictionary
             trained = None
         if trained is not None:
@@ -250,7 +252,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool =
             for path in batch.column(0).to_pylist():
                 rows, size = [], 0
                 fs, base = pafs.FileSystem.from_uri(path)
-                with fs.open_input_stream(base) as stream:
+                with fs.open_input_stream(base, compression=None) as stream:
                     for raw in frames(stream):
                         try:
                             row = parse_record(raw) | {"archive": path, "error": None}
