@@ -31,6 +31,8 @@ BUILD_RATIO = 1.10
 #: A query looks into lists up to so many times as far as its nearest centroid.
 SEARCH_RATIO = 1.22
 DEGREE = 24
+#: A walk expands so many centroids at least, so that it doesn't end in a hollow.
+EXPAND = 32
 BLOCK, QUERY_BLOCK = 4096, 1024
 SEED = 11
 
@@ -71,21 +73,23 @@ class Centroids:
         """For each row of x the centroids within `ratio` times the nearest distance, nearest first.
 
         Best-first over the graph, all rows in step: the nearest centroid that isn't expanded yet is, while it is within
-        the ratio. With `least` (list sizes) rows go on until the lists taken hold `want` vectors.
+        the ratio and `EXPAND` times at least. With `least` (list sizes) rows go on until the lists taken hold `want` vectors.
         """
         n, k = len(x), len(self.at)
         d = np.full((n, k), np.inf)
         done = np.zeros((n, k), bool)
         rows = np.arange(n)
         d[:, self.starts] = np.sqrt(np.maximum(0, 2 - 2 * x @ self.at[self.starts].T))
-        held = np.zeros(n)
+        held, steps = np.zeros(n), 0
         while len(rows):
             open_d = np.where(done[rows], np.inf, d[rows])
             at = open_d.argmin(axis=1)
             here = open_d[np.arange(len(rows)), at]
-            go = np.isfinite(here) & (here <= ratio * d[rows].min(axis=1) + 1e-12)
+            go = (here <= ratio * d[rows].min(axis=1) + 1e-12) | (steps < EXPAND)
             if least is not None:
-                go |= np.isfinite(here) & (held[rows] < want)
+                go |= held[rows] < want
+            go &= np.isfinite(here)
+            steps += 1
             rows, at = rows[go], at[go]
             done[rows, at] = True
             if least is not None:
@@ -95,7 +99,11 @@ class Centroids:
         out = []
         for i in range(n):
             ids = np.flatnonzero(done[i])
-            out.append(ids[np.argsort(d[i, ids], kind="stable")])
+            ids = ids[np.argsort(d[i, ids], kind="stable")]
+            take = int((d[i, ids] <= ratio * d[i, ids[0]] + 1e-12).sum())  # the way there may have led over farther ones
+            if least is not None:
+                take = max(take, 1 + int(np.searchsorted(np.cumsum(least[ids]), want)))
+            out.append(ids[:take])
         return out
 
     def assigned(self, x: np.ndarray) -> list[np.ndarray]:
