@@ -66,13 +66,13 @@ def mixed(docs: DataFrame, weights: dict[str | None, float], period: int = PERIO
     A source's rows are numbered in order of id (nulls first; repeated ids in an order of their hashes) and cut into blocks.
     mix_position orders all rows: slot by slot, and within the block by number. in_mix is true as far as the weights can be
     met: up to the slot where the first source that holds at least a period's hundredth of weight runs out. All
-    rows are returned; past that slot the remaining sources go on by their own deadlines. A source without a
+    rows are returned; past that slot the remaining sources go on by their own deadlines. A last block may be short. A source without a
     weight has no slot (nulls, in_mix false). Null is a source like any other.
     """
     spark = docs.sparkSession
     share = shares(weights, period)
     sizes = {r[0]: r[1] for r in docs.groupBy(source_col).count().collect()}
-    full = [sizes.get(k, 0) // block_rows * period // w for k, w in share.items() if w * 100 >= period]
+    full = [-(-sizes.get(k, 0) // block_rows) * period // w for k, w in share.items() if w * 100 >= period]
     horizon = min(full, default=0)
     table = [(k, j, t, share[k]) for t, (k, j) in enumerate(schedule(share))]
     slots = spark.createDataFrame(table, "_source string, _turn bigint, _offset int, _share int")
