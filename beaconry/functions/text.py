@@ -88,7 +88,7 @@ def payload_snippet(payload: Column, most: int = 200) -> Column:
 
 def sentences_with(text: Column, pattern: str, most: int = 2) -> Column:
     """The first sentences that match."""
-    parts = F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+"), F.trim)
+    parts = F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+"), lambda x: F.trim(x))
     return F.slice(F.filter(parts, lambda s: (s != "") & s.rlike(pattern)), 1, most)
 
 
@@ -166,4 +166,4 @@ def customer_facing(tier: Column) -> Column:
 def list_cell(cell: Column) -> Column:
     """A list from a cell that holds a JSON array, values between semicolons or one value."""
     values = F.coalesce(F.when(F.ltrim(cell).startswith("["), F.from_json(cell, "array<string>")), F.split(cell, ";"), F.array().cast("array<string>"))
-    return F.filter(F.transform(values, F.trim), lambda x: x != "")
+    return F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")

@@ -75,9 +75,9 @@ def config_token(*lines: DataFrame) -> DataFrame:
 
 def rule_clauses(rules: DataFrame) -> DataFrame:
     """rule_id, multiplier, kind and terms of each clause of each rule that reads right; malformed rules give none."""
-    parts = F.transform(F.split("logic_expr", " AND "), F.trim)
+    parts = F.transform(F.split("logic_expr", " AND "), lambda x: F.trim(x))
     kind = lambda c: F.substring_index(c, ":", 1)
-    clauses = F.transform(parts, lambda c: F.struct(kind(c).alias("kind"), F.transform(F.split(F.substring(c, F.length(kind(c)) + 2, F.length(c)), ","), F.trim).alias("terms")))
+    clauses = F.transform(parts, lambda c: F.struct(kind(c).alias("kind"), F.transform(F.split(F.substring(c, F.length(kind(c)) + 2, F.length(c)), ","), lambda x: F.trim(x)).alias("terms")))
     rows = rules.withColumn("c", clauses).withColumn("mult", F.try_to_number(F.col("multiplier").cast("string"), F.lit("99999.99999")).cast("double"))
     return rows.where(~has_faults(F.col("c")) & (F.col("mult") > 0)).select("rule_id", F.col("mult").alias("multiplier"), "c")
 
