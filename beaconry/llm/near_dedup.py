@@ -4,9 +4,11 @@
    the low B bits of the first minima, packed. Texts with equal sets form a class, and one member stands for it.
 2. In each band bucket only stars are candidates at first: every member with the bucket's first and last one.
    The share of equal b-bit codes, corrected for chance collisions, estimates each pair's similarity; each
-   class confirms its best star edge on full sets, and connected components are formed.
-3. What is left are pairs that share a bucket but not a component. Those whose estimate may reach the threshold
-   are confirmed too, so no link between components is lost and no group's pairs within a component are made.
+   class confirms its best star edge on full sets, then the best one to each other component, and connected
+   components are formed after each round.
+3. What is left are pairs that share a bucket but not a component. Members of such buckets get a longer sketch;
+   those pairs whose finer estimate may reach the threshold are confirmed too, each once, in the first bucket that
+   it shares. So no link between components is lost, and no pairs within a component are made.
 
 Buckets, classes and components are only ever aggregated and joined, by minima; no group is gathered.
 """
@@ -30,9 +32,12 @@ from .common import staged, unused
 BANDS, ROWS = 40, 5
 B = 2
 CODES = 192  # minima in the sketch: six words of 32 codes
+FINE = 2560  # minima in the longer sketch, of which one bit each is kept
 THRESHOLD = 80  # of 100
-#: Estimates are let through from so many standard deviations below the threshold.
-SIGMAS = 5.0
+#: Estimates are let through from so many standard deviations below the threshold; finer ones from somewhat fewer.
+SIGMAS, FINE_SIGMAS = 5.0, 4.5
+#: Bits per member, and in all, of the filter that tells which texts are read again.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 #: Words whose hash a task remembers.
 MEMO = 500_000
 M64 = (1 << 64) - 1
@@ -43,11 +48,11 @@ SKETCHED = "doc_id bigint, n_shingles bigint, cls binary, bands array<bigint>, s
 class Hasher:
     """Shingle sets and signatures of texts."""
 
-    def __init__(self, k: int):
+    def __init__(self, k: int, hashes: int = BANDS * ROWS):
         self.k, self.known = k, {}
-        rng = np.random.default_rng(20240229)
-        self.mul = (rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        self.add = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+        rng = np.random.default_rng(20240229 + hashes)
+        self.mul = (rng.integers(0, 1 << 63, hashes, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+        self.add = rng.integers(0, 1 << 63, hashes, dtype=np.uint64)
 
     def shingles(self, raw: bytes | None) -> np.ndarray:
         """Distinct hashes of the k-word shingles; of fewer words, the hash of the whole sequence; none of none."""
@@ -70,8 +75,9 @@ class Hasher:
 
     def minima(self, s: np.ndarray) -> np.ndarray:
         low = np.full(len(self.mul), M64, np.uint64)
-        for at in range(0, len(s), 1024):
-            part = s[None, at : at + 1024] * self.mul[:, None]
+        step = max(1, 200_000 // len(self.mul))  # what a core's cache holds
+        for at in range(0, len(s), step):
+            part = s[None, at : at + step] * self.mul[:, None]
             part += self.add[:, None]
             np.minimum(low, part.min(axis=1), out=low)
         return low >> np.uint64(24)
@@ -84,9 +90,9 @@ class Hasher:
         return h.view(np.int64)
 
     @staticmethod
-    def sketch(low: np.ndarray) -> np.ndarray:
-        codes = (low[:CODES] & np.uint64((1 << B) - 1)).reshape(-1, 64 // B)
-        return np.bitwise_or.reduce(codes << (np.arange(64 // B, dtype=np.uint64) * np.uint64(B)), axis=1).view(np.int64)
+    def sketch(low: np.ndarray, codes: int = CODES, b: int = B) -> np.ndarray:
+        kept = (low[:codes] & np.uint64((1 << b) - 1)).reshape(-1, 64 // b)
+        return np.bitwise_or.reduce(kept << (np.arange(64 // b, dtype=np.uint64) * np.uint64(b)), axis=1).view(np.int64)
 
 
 def lists(rows: list[np.ndarray]) -> pa.Array:
@@ -115,34 +121,72 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(sketch, SKETCHED)
 
 
-def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and the full shingle set of each document."""
+def bit_filter(ids: DataFrame) -> np.ndarray:
+    """Which of 2^m slots the hashes of the ids (one column) take, as bytes of bits; at most MOST_FILTER_BITS.
+
+    Past that bound more ids share a slot and the filter lets more through; what uses it is exact afterwards.
+    """
+    n = max(1, ids.count())
+    bits = min(MOST_FILTER_BITS, 1 << max(10, (n * FILTER_BITS - 1).bit_length()))
+    slot = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 32).cast("int"))
+    words = ids.select(F.floor(slot / 32).alias("w"), bit.alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+    out = np.zeros(bits // 32, "<u4")
+    out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """doc_id and the full shingle set of each document whose id is in `wanted` (one column).
+
+    The texts stay where they are: a bounded filter tells which of them to read, and a join of the sets makes it exact.
+    """
+    taken = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_filter(wanted), bitorder="little"))
+    bits = len(taken.value) * 8
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(k)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists([hasher.shingles(x).view(np.int64) for x in batch.column(1).to_pylist()])], ["doc_id", "shingles"])
+            slots = batch.column(2).to_numpy(zero_copy_only=False)
+            at = pa.array(np.flatnonzero((taken.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1))
+            texts = batch.column(1).take(at).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), lists([hasher.shingles(x).view(np.int64) for x in texts])], ["doc_id", "shingles"])
+
+    rows = docs.where("doc_id is not null").select("doc_id", "t", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot"))
+    found = rows.mapInArrow(full, "doc_id bigint, shingles array<bigint>")
+    return found.join(wanted.toDF("doc_id"), "doc_id", "left_semi")
 
-    return docs.mapInArrow(full, "doc_id bigint, shingles array<bigint>")
 
+def finer(sets: DataFrame) -> DataFrame:
+    """doc_id and the longer sketch of each set."""
 
-def estimate(a: Column, b: Column) -> Column:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(1, FINE)
+        for batch in batches:
+            column = batch.column(1)
+            rows = [hasher.sketch(hasher.minima(column[i].values.to_numpy().view(np.uint64)), FINE, 1) for i in range(len(column))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(rows)], ["doc_id", "fine"])
+
+    return sets.mapInArrow(sketch, "doc_id bigint, fine array<bigint>")
+
+
+def estimate(a: Column, b: Column, codes: int = CODES, bits: int = B) -> Column:
     """Similarity from two sketches: the share of equal codes, less what chance makes equal."""
-    low = F.lit(sum(1 << i for i in range(0, 64, B)) - (1 << 64 if B == 1 else 0)).cast("bigint")
+    low = F.lit(sum(1 << i for i in range(0, 64, bits)) - (1 << 64 if bits == 1 else 0)).cast("bigint")
 
     def differing(x: Column) -> Column:
-        folded = reduce(lambda y, s: y.bitwiseOR(F.shiftrightunsigned(x, s)), range(1, B), x)
+        folded = reduce(lambda y, s: y.bitwiseOR(F.shiftrightunsigned(x, s)), range(1, bits), x)
         return F.bit_count(folded.bitwiseAND(low))
 
-    words = CODES * B // 64
+    words = codes * bits // 64
     unequal = reduce(lambda x, y: x + y, [differing(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(words)])
-    chance = 2.0**-B
-    return (1 - unequal / CODES - chance) / (1 - chance)
+    chance = 2.0**-bits
+    return (1 - unequal / codes - chance) / (1 - chance)
 
 
-def least_estimate(threshold: int) -> float:
-    p = threshold / 100 + (1 - threshold / 100) * 2.0**-B
-    return threshold / 100 - SIGMAS * math.sqrt(p * (1 - p) / CODES) / (1 - 2.0**-B)
+def least_estimate(threshold: int, codes: int = CODES, bits: int = B, sigmas: float = SIGMAS) -> float:
+    p = threshold / 100 + (1 - threshold / 100) * 2.0**-bits
+    return threshold / 100 - sigmas * math.sqrt(p * (1 - p) / codes) / (1 - 2.0**-bits)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -199,34 +243,50 @@ def grouped(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, id_col: str
 
 def links(classes: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
     """node and component of all classes that are linked with another."""
-    banded = classes.select("rep", F.explode("bands").alias("band"))
+    banded = classes.select("rep", F.posexplode("bands").alias("i", "band"))
     buckets = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     members = staged(banded.join(buckets, "band"), "buckets")
     sketch = classes.select("rep", "sketch").join(members.select("rep").distinct(), "rep", "left_semi")
     sketch = staged(sketch, "sketches")
-    wanted = texts.where("doc_id is not null").join(sketch.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = staged(sets_of(wanted, k), "sets")
+    sets = staged(sets_of(texts, sketch.select("rep"), k), "sets")
 
     cut = least_estimate(threshold)
     stars = members.select("rep", F.explode(F.array("low", "high")).alias("hub")).where("rep <> hub").distinct()
     a, b = sketch.select(F.col("rep").alias("hub"), F.col("sketch").alias("_x")), sketch.select("rep", F.col("sketch").alias("_y"))
     likely = stars.join(b, "rep").join(a, "hub").withColumn("likeness", estimate(F.col("_x"), F.col("_y"))).where(F.col("likeness") >= cut)
+    likely = staged(likely.select("rep", "hub", "likeness"), "stars")
     best = likely.groupBy("rep").agg(F.max_by("hub", F.struct("likeness", "hub")).alias("hub"))
-    tested = staged(best.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
-    sure = staged(confirmed(tested, sets, threshold), "links")
-    parts = components(sure)
+    parts = components(confirmed(ordered(best), sets, threshold))
+
+    # Second round: of what joins two components by a star, each member's best to each other component.
+    mine = parts.select(F.col("node").alias("rep"), F.col("component").alias("p"))
+    other = parts.select(F.col("node").alias("hub"), F.col("component").alias("q"))
+    apart = likely.join(mine, "rep", "left").join(other, "hub", "left").withColumns({"p": F.coalesce("p", "rep"), "q": F.coalesce("q", "hub")}).where("p <> q")
+    best = apart.groupBy("rep", "q").agg(F.max_by("hub", F.struct("likeness", "hub")).alias("hub"))
+    parts = components(as_edges(parts).unionByName(confirmed(ordered(best), sets, threshold)))
 
-    # Members by component; a bucket whose members are all of one component has nothing left to find.
-    at = members.select("band", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("part"))
+    # A bucket whose members are all of one component has nothing left to find.
+    at = members.select("i", "band", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("i", "band", "rep", F.coalesce("component", "rep").alias("part"))
     open_buckets = at.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("band")
-    left = staged(at.join(open_buckets, "band", "left_semi").join(sketch, "rep"), "left")
-    x = left.select("band", F.col("rep").alias("a"), F.col("part").alias("_p"), F.col("sketch").alias("_x"))
-    y = left.select("band", F.col("rep").alias("b"), F.col("part").alias("_q"), F.col("sketch").alias("_y"))
-    near = (x["a"] < y["b"]) & (x["_p"] != y["_q"]) & (estimate(x["_x"], y["_y"]) >= cut)
-    rest = x.join(y, (x["band"] == y["band"]) & near).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    more = staged(confirmed(staged(rest, "pairs"), sets, threshold), "links")
-    # Stars of the first round stand for its links.
-    return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    left = staged(at.join(open_buckets, "band", "left_semi"), "left")
+    fine = finer(sets.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    short = classes.select("rep", F.transform("bands", lambda b: F.hash(b)).alias("bands"))
+    left = staged(left.join(fine.withColumnRenamed("doc_id", "rep"), "rep").join(short, "rep"), "left")
+    side = lambda n: left.select("i", "band", *(F.col(c).alias(f"{c}_{n}") for c in ("rep", "part", "fine", "bands")))
+    first = F.array_position(F.zip_with("bands_x", "bands_y", lambda p, q: p == q), True) == F.col("i") + 1
+    near = (F.col("rep_x") < F.col("rep_y")) & (F.col("part_x") != F.col("part_y")) & (estimate(F.col("fine_x"), F.col("fine_y"), FINE, 1) >= least_estimate(threshold, FINE, 1, FINE_SIGMAS))
+    rest = side("x").join(side("y").drop("i"), "band").where(near & first).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
+    return components(as_edges(parts).unionByName(confirmed(staged(rest.distinct(), "pairs"), sets, threshold)))
+
+
+def ordered(stars: DataFrame) -> DataFrame:
+    """Star edges as pairs (a, b), a the smaller."""
+    return staged(stars.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
+
+
+def as_edges(parts: DataFrame) -> DataFrame:
+    """Components as stars of edges, which link the same nodes."""
+    return parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
