@@ -37,7 +37,7 @@ THRESHOLD = 80  # of 100
 #: Estimates are let through from so many standard deviations below the threshold; finer ones from somewhat fewer.
 SIGMAS, FINE_SIGMAS = 5.0, 4.5
 #: Bits per member, and in all, of the filter that tells which texts are read again.
-FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
 #: Words whose hash a task remembers.
 MEMO = 500_000
 M64 = (1 << 64) - 1
@@ -133,7 +133,7 @@ def bit_filter(ids: DataFrame) -> np.ndarray:
     words = ids.select(F.floor(slot / 32).alias("w"), bit.alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
     out = np.zeros(bits // 32, "<u4")
     out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -141,7 +141,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     The texts stay where they are: a bounded filter tells which of them to read, and a join of the sets makes it exact.
     """
-    taken = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_filter(wanted), bitorder="little"))
+    taken = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted))
     bits = len(taken.value) * 8
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
