@@ -44,7 +44,7 @@ def c16_c17_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c18_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations whose next turn uses no word that the turn before hasn't, as a guard on authored text."""
+    """C18, on text made of its own source, so always true; `c18_next_turn` guards real next turns."""
     c = table(spark, sf_dir, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("authored"))
     rows = c.join(nxt, ["conv_id", "turn"])
@@ -52,6 +52,14 @@ def c18_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", (F.size(classify.novel_tokens(head, F.col("text"), ["reported"])) == 0).alias("own_words"))
 
 
+def c18_next_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a conversation's next turn uses no word that the turn before hasn't, both texts whole."""
+    c = table(spark, sf_dir, "conversations")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("authored"))
+    new = classify.novel_tokens(F.col("authored"), F.col("text"), ["reported"])
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", (F.size(new) == 0).alias("own_words"), F.size(new).cast("bigint").alias("new_words"))
+
+
 def c20_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C20: statuses after a run over half of the events."""
     s = roles.signals(spark, sf_dir).withColumn("status", F.when(F.col("seq") % 13 == 0, "dismissed").when(F.col("seq") % 8 == 0, "retracted").otherwise(F.col("status")))
@@ -95,17 +103,22 @@ def j39_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cited.withColumn("known", F.lit(True)).unionByName(orphans.withColumn("known", F.lit(False)))
 
 
-QUERIES = {f.__name__: f for f in (c03_incident_candidates, c15_admission, c16_c17_signals, c18_provenance, c20_reconcile, c21_unprocessed, j29_l05_obligations, l09_snapshots, l11_stale_facts, j39_citations)}
+QUERIES = {f.__name__: f for f in (c03_incident_candidates, c15_admission, c16_c17_signals, c18_provenance, c18_next_turn, c20_reconcile, c21_unprocessed, j29_l05_obligations, l09_snapshots, l11_stale_facts, j39_citations)}
 
 _CAND = """f AS (SELECT *, 'r' || o_orderkey AS raw_event_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS e, CASE WHEN o_orderkey % 2 = 0 THEN '8-K' ELSE '' END AS form FROM orders WHERE o_orderkey % 5 = 0),
 c AS (SELECT raw_event_id, 'own_incident' AS trigger_id, e AS entity_id, 0.9e0 AS confidence, form FROM f UNION ALL SELECT raw_event_id, 'peer_incident', NULL, 0.8e0, form FROM f),
 a AS (SELECT *, CASE WHEN trigger_id = 'own_incident' AND entity_id IS NULL THEN 'no_entity' WHEN trigger_id = 'own_incident' AND entity_id % 7 = 0 THEN 'inactive_entity' ELSE 'admitted' END AS outcome FROM c)"""
 
+_TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]+'), lambda x: length(x) >= 3)"
+
 ORACLES = {
     "c03_incident_candidates": f"WITH {_CAND} SELECT raw_event_id, trigger_id, entity_id, confidence FROM c",
     "c15_admission": f"WITH {_CAND} SELECT trigger_id, outcome, count(*) AS n FROM a GROUP BY ALL",
     "c16_c17_signals": f"WITH {_CAND} SELECT trigger_id || ':' || raw_event_id || ':' || coalesce(CAST(entity_id AS VARCHAR), 'sector') AS signal_id, 0 AS n, 'Item 1.05 in ' || form AS text FROM a WHERE outcome = 'admitted'",
     "c18_provenance": "SELECT a.conv_id, a.turn, true AS own_words FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
+    "c18_next_turn": f"""WITH t AS (SELECT a.conv_id, a.turn, {_TOKENS.format("b.text")} AS m, list_append({_TOKENS.format("a.text")}, 'reported') AS s FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+d AS (SELECT *, list_filter(m, lambda x, i: list_position(m, x) = i) AS d FROM t)
+SELECT conv_id, turn, new_words = 0 AS own_words, new_words FROM (SELECT conv_id, turn, len(list_filter(d, lambda x: NOT list_contains(s, x) AND NOT (x = d[-1] AND len(list_filter(s, lambda k: starts_with(k, x))) > 0))) AS new_words FROM d)""",
     "c20_reconcile": f"""WITH {SIGNALS}, s AS (SELECT *, CASE WHEN seq % 13 = 0 THEN 'dismissed' WHEN seq % 8 = 0 THEN 'retracted' ELSE status END AS st FROM signals)
 SELECT signal_id, CASE WHEN st = 'retracted' AND seq % 4 = 0 THEN 'active' WHEN seq % 2 = 0 AND seq % 4 <> 0 AND st NOT IN ('dismissed', 'retracted') THEN 'retracted' ELSE st END AS status FROM s""",
     "c21_unprocessed": "SELECT 'r' || o_orderkey AS raw_event_id FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderkey % 2 = 0)",
