@@ -1,7 +1,7 @@
 """Each stage of the pipeline against plain code, on its own input."""
 
 import corpus_pipeline
-from beaconry.llm import decontaminate, quality
+from beaconry.llm import decontaminate, mixing, quality
 from tests.llm.test_decontaminate import plain as plain_hits
 from tests.llm.test_near_dedup import plain as plain_groups
 
@@ -40,3 +40,13 @@ def test_stages_in_order(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and "shard" in out.columns
+
+
+def test_mixing_keeps_all_rows_of_a_hot_source(spark):
+    rows = [(i, "hot" if i < 2000 else f"s{i % 19}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    mixed = mixing.mixed(docs, mixing.temperature_weights(docs, 0.9))
+    order = [r["doc_id"] for r in mixed.orderBy("mix_position").collect()]
+    assert mixed.where("not in_mix").count() > 0
+    assert [r["doc_id"] for r in corpus_pipeline.mixing_stage(spark, docs, SF).collect()] == order
+    assert sorted(order) == list(range(6000))
