@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 
 PERIOD = 1000
 BLOCK_ROWS = 8
+#: The period grows with the sources, so that each has so many slots on average at least.
+SOURCE_SLOTS = 3
+#: Tables of slots up to so many rows are broadcast.
+BROADCAST_SLOTS = 100_000
 #: A source is numbered in slices of so many rows on average, or in `MAX_SLICES` larger ones.
 SLICE_ROWS, MAX_SLICES = 2000, 512
 
@@ -65,14 +69,16 @@ def mixed(docs: DataFrame, weights: dict[str | None, float], period: int = PERIO
 
     A source's rows are numbered in order of id (nulls first; repeated ids in an order of their hashes) and cut into blocks.
     mix_position orders all rows: slot by slot, and within the block by number. in_mix is true as far as the weights can be
-    met: up to the slot where the first source that holds at least a period's hundredth of weight runs out. All
+    met: up to the slot where the first source that holds at least a period's hundredth of weight (with more than a
+    hundred sources: an equal part) runs out. The period grows with the number of sources (`SOURCE_SLOTS`). All
     rows are returned; past that slot the remaining sources go on by their own deadlines. A last block may be short. A source without a
-    weight has no slot (nulls, in_mix false). Null is a source like any other.
+    weight has no slot (nulls, in_mix false), so without any weight no row has. Null is a source like any other.
     """
     spark = docs.sparkSession
-    share = shares(weights, period)
+    period = max(period, SOURCE_SLOTS * len(weights))
+    share = shares(weights, period) if weights else {}
     sizes = {r[0]: r[1] for r in docs.groupBy(source_col).count().collect()}
-    full = [-(-sizes.get(k, 0) // block_rows) * period // w for k, w in share.items() if w * 100 >= period]
+    full = [-(-sizes.get(k, 0) // block_rows) * period // w for k, w in share.items() if w * max(100, len(share)) >= period]
     horizon = min(full, default=0)
     table = [(k, j, t, share[k]) for t, (k, j) in enumerate(schedule(share))]
     slots = spark.createDataFrame(table, "_source string, _turn bigint, _offset int, _share int")
@@ -82,12 +88,13 @@ def mixed(docs: DataFrame, weights: dict[str | None, float], period: int = PERIO
     numbered = numbers(base, source_col, id_col, max(sizes.values(), default=0))
     block = F.floor(F.col("_number") / block_rows)
     rows = numbered.withColumn("mix_block", block)
-    known = slots.select("_source", "_share").distinct()
-    rows = rows.join(F.broadcast(known), F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
+    small = F.broadcast if len(table) <= BROADCAST_SLOTS else lambda x: x
+    known = slots.where("_turn = 0").select("_source", "_share")
+    rows = rows.join(small(known), F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
     rows = rows.withColumn("_in_period", F.col("mix_block") % F.col("_share"))
     # The table of slots has `period` rows.
     at = slots.select("_source", "_turn", "_offset")
-    rows = rows.join(F.broadcast(at), F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_in_period") == F.col("_turn")), "left")
+    rows = rows.join(small(at), F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_in_period") == F.col("_turn")), "left")
     p = F.lit(period)
     return rows.withColumns(
         {

@@ -3,7 +3,9 @@ from fractions import Fraction
 
 import pytest
 
+import corpus_pipeline
 from beaconry.llm import mixing as m
+from beaconry.llm import queries
 
 
 @pytest.mark.parametrize("weights", [{"a": 1}, {"a": 5, "b": 3, "c": 2}, {"a": 0.9, "b": 0.05, "c": 0.03, None: 0.02}, {f"s{i}": 1 / (i + 1) for i in range(20)}])
@@ -67,3 +69,18 @@ def test_all_rows_get_the_slots_of_the_schedule(spark, monkeypatch, slice_rows):
 def test_empty_table(spark):
     _, df = docs(spark)
     assert m.mixed(df.limit(0), {"a": 1}).collect() == []
+
+
+def test_the_query_takes_an_empty_table(spark, tmp_path):
+    df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op8_pfair_mix(spark, str(tmp_path)).collect() == []
+    assert corpus_pipeline.mixing_stage(spark, df, str(tmp_path)).collect() == []
+
+
+def test_more_sources_than_slots(spark):
+    df = spark.range(2500).selectExpr("id as doc_id", "concat('host', id % 1100) as source")
+    out = m.mixed(df, m.temperature_weights(df, 0.9)).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(2500))
+    assert len({(r["mix_position"]) for r in out}) == 2500 and any(r["in_mix"] for r in out)
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_due"] for r in out)
