@@ -33,10 +33,11 @@ LABELLERS = [
     ("separators", 0.15, 0.02),  # words that are a lone mark
     ("echoes", 0.30, 0.05),  # words equal to the one before
     ("exclaims", 0.20, 0.02),  # words ending in two marks or more
-    ("monotony", 0.60, 0.35),  # 1 - distinct/total of the first 200 words, of 20 words or more
+    ("monotony", 0.60, 0.35),  # 1 - distinct/total, the mean over windows of 200 words, of 20 words or more
     ("unclosed", 0.995, 0.96),  # words without a closing . , ; : ? or !
     ("digits", 0.30, 0.05),  # digits to visible characters
 ]
+MONOTONY_WORDS = 200
 PLAIN_MARKS = b".,;:'\"()-"
 
 #: Byte classes: 0 blank, 1 lower-case, 2 upper-case, 3 digit, 4 closing mark, 5 other mark, 6 non-ASCII, 7 line feed.
@@ -46,6 +47,13 @@ CLASS = np.array(
 )
 
 
+def monotony(w: list[bytes]) -> float:
+    """Mean share of repeats in windows of `MONOTONY_WORDS` over all words; the last window is the text's last words, whole as the others."""
+    last = max(0, len(w) - MONOTONY_WORDS)
+    starts = [*range(0, last, MONOTONY_WORDS), last]
+    return sum(1 - len(set(x)) / len(x) for x in (w[i : i + MONOTONY_WORDS] for i in starts)) / len(starts)
+
+
 def measures(raw: bytes) -> list[float | None]:
     """The labellers' ratios; None where a labeller can't tell."""
     if not raw or raw.isspace():
@@ -58,14 +66,13 @@ def measures(raw: bytes) -> list[float | None]:
     echoes = sum(a == b for a, b in zip(w, w[1:], strict=False))
     double = sum(len(x) > 2 and CLASS[x[-1]] in (4, 5) and x[-1] == x[-2] for x in w)
     closed = sum(x[-1] in b".,;:?!" for x in w)
-    head = w[:200]
     return [
         marks / max(1, visible),
         int(kinds[2]) / letters if letters >= 20 else None,
         lone / n if n >= 4 else None,
         echoes / (n - 1) if n >= 6 else None,
         double / n if n >= 4 else None,
-        1 - len(set(head)) / len(head) if n >= 20 else None,
+        monotony(w) if n >= 20 else None,
         1 - closed / n if n >= 40 else None,
         int(kinds[3]) / max(1, visible),
     ]

@@ -49,3 +49,12 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize(("text", "vote"), [("ONLY CAPITALS STAND IN THIS TEXT", "b"), ("Quiet words stand here in a row", "g"), ("1 2 3", "-")])
 def test_a_labeller_can_abstain(text, vote):
     assert q.votes(text.encode())[1] == vote
+
+
+def test_monotony_looks_at_the_whole_text():
+    head, spam = [f"w{i}".encode() for i in range(200)], [b"spam", b"offer"] * 20_000
+    assert q.monotony(head) == 0 and abs(q.monotony(spam) - 0.99) < 1e-9
+    assert q.monotony(head + spam) > 0.98
+    assert q.monotony([f"w{i}".encode() for i in range(200)] * 50) == 0
+    assert abs(q.monotony(head + [b"x"] * 10) - 9 / 400) < 1e-9
+    assert q.votes(b" ".join(head + spam))[5] == "b" and q.votes(b" ".join(head))[5] == "g"
