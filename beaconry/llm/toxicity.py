@@ -3,8 +3,8 @@
 The language model counts letter trigrams over all documents (64 letter classes, so at most 64^3 counts come to
 the driver). Suspicious chunks (letters mixed with digits or signs, letters three times in a row, letters
 spelled out one by one) become a lattice: each observed sign may stand for itself or for the letters it looks like,
-a run for one or two letters, and the separators of a spelled-out word for nothing. Viterbi decoding over
-trigram states finds the likeliest reading. Words of the restored text then give whole-word and prefix features to
+a run for one or two letters, and the separators of spelled-out words for nothing or a word's edge. Viterbi decoding over
+trigram states finds the likeliest reading, in time linear in the chunk's length; long chunks are read piece by piece. Words of the restored text then give whole-word and prefix features to
 a logistic scorer, fitted on a bounded sample of labelled rows (`TRAIN_ROWS`).
 """
 
@@ -27,7 +27,7 @@ TRAIN_ROWS = 20_000
 MAX_FEATURES, MIN_EVIDENCE = 50_000, 20.0
 PREFIXES = (4, 5, 6)
 MEMO = 300_000
-#: A chunk longer than this is taken as it stands: no word is that long, and data (keys, encoded blobs) often are.
+#: A chunk that is longer than this with its runs folded isn't one word: its pieces are read one by one, long ones with word edges.
 LONGEST_WORD = 40
 
 # What a sign may stand for.
@@ -35,13 +35,16 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "{": "c", "€": "e", "£": "l", "¥": "y",
 }
-COST_SWAP, COST_SIGN, COST_RUN, COST_DOUBLE, COST_PAIR = 1.0, 6.0, 0.5, 1.0, 3.0
+COST_SWAP, COST_SIGN, COST_RUN, COST_DOUBLE, COST_PAIR, COST_EDGE = 1.0, 6.0, 0.5, 1.0, 3.0, 1.0
 SIGNS = re.escape("".join(LOOKALIKES))
 #: Letters three times in a row, or a look-alike sign before or after a letter.
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 DISGUISED = re.compile(rf"[^\W\d_][{SIGNS}]|[{SIGNS}][^\W\d_]|([^\W\d_])\1\1")
 #: Four letters or look-alikes and more, one by one, between equal separators.
 SPELLED = re.compile(rf"(?<![^\W_])[^\W_]([ .\-_*])(?:[^\W_]|[{SIGNS}])(?:\1(?:[^\W_]|[{SIGNS}])){{2,}}(?![^\W_])")
+#: A run of one sign, which counts as three at most; a piece of a chunk between marks that stand for no letter.
+RUN = re.compile(r"(.)\1{3,}", re.S)
+PIECE = re.compile(rf"(?:[^\W_]|[{SIGNS}])+")
 #: Marks around a chunk that belong to the sentence.
 AROUND = ".,;:?!\"'()[]<>*#&%-_$"
 WORD = re.compile(r"[^\W_]+")
@@ -85,8 +88,8 @@ def language_model(docs: DataFrame, text_col: str) -> np.ndarray:
     return (-np.log(counts / counts.sum(1, keepdims=True))).astype(np.float32).reshape(ALPHABET, ALPHABET, ALPHABET)
 
 
-def lattice(seen: str) -> list[list[tuple[str, float]]]:
-    """Readings of each run of an observed chunk: (letters, cost)."""
+def lattice(seen: str, edges: bool = False) -> list[list[tuple[str, float]]]:
+    """Readings of each run of an observed chunk: (letters, cost). With `edges` a word may end (a blank) at any place."""
     out = []
     for m in re.finditer(r"(.)\1*", seen, re.S):
         c, n = m[1], len(m[0])
@@ -96,26 +99,40 @@ def lattice(seen: str) -> list[list[tuple[str, float]]]:
             ways = [(c * min(n, 2), COST_SIGN * min(n, 2))]
             for x in LOOKALIKES.get(c, ""):
                 ways += [(x, COST_SWAP + COST_RUN * (n > 1)), *([(x + x, 2 * COST_SWAP)] if n > 1 else [])]
+        if edges:
+            ways += [(f"{c} {c}", COST_EDGE + COST_DOUBLE * (n > 2))] if c.isalpha() and n > 1 else []
+            ways += [(f"{x} ", cost + COST_EDGE) for x, cost in ways] if m.end() < len(seen) else []
         out.append(ways)
     return out
 
 
-def restored(seen: str, costs: np.ndarray) -> str:
+def written(path: tuple | None) -> str:
+    """The letters of a path, which is its last step: (path before, letters)."""
+    out = []
+    while path:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+def restored(seen: str, costs: np.ndarray, edges: bool = False) -> str:
     """The likeliest reading of a lower-case chunk, by Viterbi over states of two letter classes."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for ways in lattice(seen):
-        now: dict[tuple[int, int], tuple[float, str]] = {}
-        for (p, q), (cost, text) in best.items():
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for ways in lattice(seen, edges):
+        now: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (p, q), (cost, path) in best.items():
             for letters, noise in ways:
                 a, b, total = p, q, cost + noise
                 for x in letters:
-                    k = letter_class(x)
+                    k = 0 if x == " " else letter_class(x)
                     total += float(costs[a, b, k])
                     a, b = b, k
                 if (a, b) not in now or total < now[a, b][0]:
-                    now[a, b] = (total, text + letters)
+                    now[a, b] = (total, (path, letters))
         best = now
-    return min((cost + float(costs[p, q, 0]), text) for (p, q), (cost, text) in best.items())[1]
+    ends = [(cost + float(costs[p, q, 0]), path) for (p, q), (cost, path) in best.items()]
+    least = min(cost for cost, _ in ends)
+    return min(written(path) for cost, path in ends if cost == least)
 
 
 class Reader:
@@ -129,27 +146,42 @@ class Reader:
 
     def words_of(self, chunk: str) -> list[str]:
         """The words of a chunk (what stands between blanks), and their restored forms if it looks disguised."""
-        if chunk.isalpha():
-            return [chunk, self.reading(chunk)] if len(chunk) <= LONGEST_WORD and REPEATED.search(chunk) else [chunk]
+        return WORD.findall(chunk) + self.undone(chunk)
+
+    def undone(self, chunk: str) -> list[str]:
+        """The restored words of a chunk, none if it doesn't look disguised."""
         inside = chunk.strip(AROUND)
-        if inside.isalpha() and chunk[0] != "$":
-            return self.words_of(inside)
-        words = WORD.findall(chunk)
-        if words and len(chunk) <= LONGEST_WORD and DISGUISED.search(chunk):
-            words += WORD.findall(self.reading(chunk.lstrip(AROUND[:-1]).rstrip(AROUND)))
-        return words
+        if chunk.isalpha() or inside.isalpha() and chunk[0] != "$":
+            return self.reading(inside).split() if REPEATED.search(inside) else []
+        if WORD.search(chunk) and DISGUISED.search(chunk):
+            return WORD.findall(self.reading(chunk.lstrip(AROUND[:-1]).rstrip(AROUND)))
+        return []
 
     def reading(self, chunk: str) -> str:
-        return restored(chunk, self.costs) if chunk else chunk
+        """The likeliest reading of a whole chunk; of a long one, that of each disguised piece."""
+        folded = RUN.sub(r"\1\1\1", chunk)
+        if len(folded) <= LONGEST_WORD:
+            return restored(folded, self.costs) if folded else folded
+        return PIECE.sub(lambda m: restored(m[0], self.costs, len(m[0]) > LONGEST_WORD) if DISGUISED.search(m[0]) else m[0], folded)
+
+    def spelled_out(self, match: re.Match) -> str:
+        """The words of a run of single letters, without their separators, restored."""
+        return restored(re.sub(r"[ .\-_*]", "", match[0]), self.costs, edges=True)
 
     def spelled(self, text: str) -> list[str]:
-        """Words spelled out letter by letter, without their separators, restored."""
-        return [self.reading(re.sub(r"[ .\-_*]", "", m[0])[:LONGEST_WORD]) for m in SPELLED.finditer(text)]
+        """Words spelled out letter by letter, restored: as several words, and as one, with and without a first letter that may be a word."""
+        out = []
+        for m in SPELLED.finditer(text):
+            out += WORD.findall(self.spelled_out(m))
+            letters = re.sub(r"[ .\-_*]", "", m[0])
+            for one in (letters, letters[1:]):
+                out += WORD.findall(restored(one, self.costs))
+        return out
 
     def restore(self, text: str | None) -> str:
         """The text, lower-cased, with disguised words restored: what the scorer reads, in one piece."""
-        low = SPELLED.sub(lambda m: self.reading(re.sub(r"[ .\-_*]", "", m[0])[:LONGEST_WORD]), (text or "").lower())
-        return re.sub(r"\S+", lambda m: self.words_of(m[0])[-1] if DISGUISED.search(m[0]) and WORD.search(m[0]) else m[0], low)
+        low = SPELLED.sub(self.spelled_out, (text or "").lower())
+        return re.sub(r"\S+", lambda m: " ".join(self.undone(m[0]) or WORD.findall(m[0])) if DISGUISED.search(m[0]) and WORD.search(m[0]) else m[0], low)
 
     @staticmethod
     def parts(word: str) -> list[str]:

@@ -66,3 +66,25 @@ def test_odd_rows(spark):
     assert [r["held_out"] for r in got if r["doc_id"] is None] == [True]
     assert all(r["score"] == 0 for r in t.scored(docs, labels.where("toxic = 1")).collect())
     assert t.scored(docs.limit(0), labels).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("seen", "meant"),
+    [
+        ("st" + "u" * 45 + "pid", "stupid"),
+        ("_".join(["$tup1d", "1d10t", "tr@sh", "looooser", "m0r0n", "cl0wn", "1d10t"]), "stupid idiot trash loser moron clown idiot"),
+        (" ".join("stupididiot" * 5), " ".join(["stupid idiot"] * 5)),
+    ],
+)
+def test_long_disguises_are_undone_whole(reader, seen, meant):
+    assert reader.restore(seen) == meant
+    assert {f"={w}" for w in meant.split() if len(w) > 3} <= reader.features(seen)
+
+
+def test_a_word_before_a_spelled_one_does_not_hide_it(reader):
+    assert "=idiot" in reader.features("you are a i d i o t")
+
+
+def test_decoding_takes_time_in_proportion(reader):
+    seen = "1d10t" * 2000
+    assert len(reader.restore(seen).replace(" ", "")) == len(seen)
