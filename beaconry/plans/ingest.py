@@ -26,13 +26,21 @@ def s01_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s06_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """suppliers' shipped lines as a catalog per supplier, undated ones kept."""
+    """First lines of orders as a catalog per supplier, undated ones kept; `s06_all_lines` takes all lines."""
     li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
     day = F.when(F.col("l_orderkey") % 20 != 0, F.date_format("l_shipdate", "yyyy-MM-dd"))
     per = li.groupBy("l_suppkey").agg(F.collect_list(F.struct(F.format_string("CVE-%d-%d", "l_orderkey", "l_partkey").alias("cveID"), day.alias("dateAdded"))).alias("vulnerabilities"))
     return normalize.catalog(per.select(F.to_json(F.struct("vulnerabilities")).alias("payload")), "2000-01-01")
 
 
+def s06_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All shipped lines as a catalog per supplier and order, so that a supplier of many lines has many short payloads."""
+    day = F.when(F.col("l_orderkey") % 20 != 0, F.date_format("l_shipdate", "yyyy-MM-dd"))
+    line = F.struct(F.format_string("CVE-%d-%d", "l_orderkey", "l_partkey").alias("cveID"), day.alias("dateAdded"))
+    per = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.collect_list(line).alias("vulnerabilities"))
+    return normalize.catalog(per.select(F.to_json(F.struct("vulnerabilities")).alias("payload")), "2000-01-01")
+
+
 def s08_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as plants, with periods of all precisions and blank keys."""
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
@@ -94,11 +102,19 @@ def _upsert_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def s20_upsert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State after a batch: known events are only touched, new ones inserted as first met."""
+    """State after a batch: known events are only touched, new ones inserted as first met. Its sides are fixed ids; `s20_upsert_all_events` takes all events."""
     old, batch = _upsert_sides(spark, sf_dir)
     return state.upserted(old, batch, "key", "event_id", ["payload", "first_seen"], ["last_seen"])
 
 
+def s20_upsert_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of the first two thirds of the ids after a batch of the last two thirds: every event is on a side, the middle on both."""
+    e = table(spark, sf_dir, "events").select(F.concat_ws(":", "event_type", "props").alias("key"), "event_id", F.col("value").alias("payload"), F.col("event_id").alias("first_seen"), F.col("event_id").alias("last_seen"))
+    e = e.crossJoin(F.broadcast(e.agg(F.max("event_id").alias("_top"))))  # one row
+    old = e.where("3 * event_id <= 2 * _top").groupBy("key").agg(F.min_by("payload", "event_id").alias("payload"), F.min("event_id").alias("first_seen"), F.min("event_id").alias("last_seen"))
+    return state.upserted(old, e.where("3 * event_id > _top"), "key", "event_id", ["payload", "first_seen"], ["last_seen"])
+
+
 def s23_refresh_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers reloaded: the segment from the seed, the balance as edited."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
@@ -132,7 +148,7 @@ def q05_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", "props").agg(F.count("*").alias("n")).where("n > 1")
 
 
-QUERIES = {f.__name__: f for f in (s01_filings, s06_catalog, s08_capacity, s09_news, s10_page_snapshots, s13_enforcement, s14_cases, s16_listings, s19_event_keys, s20_upsert_events, s23_refresh_config, s24_list_cells, s25_fill_identifiers, q04_unmet_parents, q05_repeated_keys)}
+QUERIES = {f.__name__: f for f in (s01_filings, s06_catalog, s06_all_lines, s08_capacity, s09_news, s10_page_snapshots, s13_enforcement, s14_cases, s16_listings, s19_event_keys, s20_upsert_events, s20_upsert_all_events, s23_refresh_config, s24_list_cells, s25_fill_identifiers, q04_unmet_parents, q05_repeated_keys)}
 
 ORACLES = {
     "s01_filings": f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS back,
@@ -141,6 +157,8 @@ SELECT o_custkey AS entity_id, CAST(o_orderkey AS VARCHAR) AS native_id, strftim
 FROM o WHERE back > 1 AND form <> '4' AND strftime(o_orderdate, '%Y-%m-%d') >= '{CUTOFF}'""",
     "s06_catalog": """SELECT 'CVE-' || l_orderkey || '-' || l_partkey AS native_id, CASE WHEN l_orderkey % 20 = 0 THEN '' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS event_date
 FROM lineitem WHERE l_linenumber = 1 AND (l_orderkey % 20 = 0 OR l_shipdate >= TIMESTAMP '2000-01-01')""",
+    "s06_all_lines": """SELECT 'CVE-' || l_orderkey || '-' || l_partkey AS native_id, CASE WHEN l_orderkey % 20 = 0 THEN '' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS event_date
+FROM lineitem WHERE l_orderkey % 20 = 0 OR l_shipdate >= TIMESTAMP '2000-01-01'""",
     "s08_capacity": """WITH p AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN '2001' WHEN 1 THEN '2001-07' WHEN 2 THEN '2001-07-09' ELSE 'July' END AS period FROM part)
 SELECT CASE WHEN p_partkey % 9 = 0 THEN '' ELSE p_partkey || ':' || p_brand || ':' || period END AS native_id,
  CASE p_partkey % 4 WHEN 0 THEN '2001-01-01' WHEN 1 THEN '2001-07-01' WHEN 2 THEN '2001-07-09' ELSE '' END AS event_date FROM p""",
@@ -157,6 +175,10 @@ SELECT native_id, event_date, 'A (B)' AS name FROM c WHERE event_date >= '{CUTOF
     "s20_upsert_events": """WITH e AS (SELECT event_type || ':' || props AS key, event_id, value FROM events),
 o AS (SELECT key, arg_min(value, event_id) AS payload, min(event_id) AS f FROM e WHERE event_id % 2 = 0 AND event_id < 4000 GROUP BY key),
 b AS (SELECT key, arg_min(value, event_id) AS payload, min(event_id) AS f, max(event_id) AS l FROM e WHERE event_id >= 2000 GROUP BY key)
+SELECT coalesce(o.key, b.key) AS key, coalesce(o.payload, b.payload) AS payload, coalesce(o.f, b.f) AS first_seen, coalesce(b.l, o.f) AS last_seen FROM o FULL JOIN b ON o.key = b.key""",
+    "s20_upsert_all_events": """WITH e AS (SELECT event_type || ':' || props AS key, event_id, value, max(event_id) OVER () AS top FROM events),
+o AS (SELECT key, arg_min(value, event_id) AS payload, min(event_id) AS f FROM e WHERE 3 * event_id <= 2 * top GROUP BY key),
+b AS (SELECT key, arg_min(value, event_id) AS payload, min(event_id) AS f, max(event_id) AS l FROM e WHERE 3 * event_id > top GROUP BY key)
 SELECT coalesce(o.key, b.key) AS key, coalesce(o.payload, b.payload) AS payload, coalesce(o.f, b.f) AS first_seen, coalesce(b.l, o.f) AS last_seen FROM o FULL JOIN b ON o.key = b.key""",
     "s23_refresh_config": """WITH o AS (SELECT c_custkey, lower(c_mktsegment) AS s, c_acctbal + 1 AS a FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT * FROM customer WHERE c_custkey % 5 <> 0)
 SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, coalesce(n.c_mktsegment, o.s) AS c_mktsegment, round(coalesce(o.a, n.c_acctbal), 2) AS c_acctbal FROM o FULL JOIN n ON o.c_custkey = n.c_custkey""",
