@@ -78,12 +78,12 @@ OBLIGATIONS = [("ob1", "subsector_in:BUILDING;MACHINERY|exclude_entities:5;6"),
 
 
 def j29_l05_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which obligations apply to which account; malformed rules apply to none."""
+    """J29, and of L05 only this: which obligations apply to which account; malformed rules apply to none."""
     return derive.applicable(spark.createDataFrame(OBLIGATIONS, "obligation_id string, applicability_rule string"), roles.entities(spark, sf_dir))
 
 
 def l09_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plays of signals by trigger that aren't stored yet."""
+    """L09 in part: plays of signals by trigger that aren't stored yet, without suppression, caution text or pinned facts."""
     plays = spark.createDataFrame([("1-URGENT", "monitor", "who watches?"), ("1-URGENT", "segment", "what is apart?"), ("5-LOW", "brief", "what changed?")], "trigger_id string, family string, question string")
     signals = roles.signals(spark, sf_dir)
     stored = signals.where("seq % 4 = 0").select(F.concat_ws(":", "signal_id", F.lit("monitor")).alias("snapshot_id"))

@@ -127,14 +127,14 @@ def a01_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a03_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fingerprint of counts by status."""
+    """A03 in part: a fingerprint of counts by status, without the max edit id."""
     per = roles.signals(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
     line = F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "status", F.col("n").cast("string")))))
     return per.agg(F.substring(F.sha2(line, 256), 1, 16).alias("basis"))
 
 
 def a05_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals, entities and date span per trigger; a span needs two distinct dates."""
+    """A05 in part: signals, entities and date span per trigger, without pending depth and edit count; a span needs two distinct dates."""
     rows = roles.signals(spark, sf_dir).where("event_date <> 'undated'")
     per = rows.groupBy("trigger_id", "signal_scope").agg(F.count("*").alias("signals"), F.count_distinct("entity_id").alias("entities"), F.min("event_date").alias("first"), F.max("event_date").alias("last"))
     return per.where("first <> last")

@@ -56,7 +56,7 @@ def p12_p15_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p16_p23_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bands of scores and counts, the gate and the ceiling of orders."""
+    """Bands of scores and counts, and the gate; of P23 neither score breakdown nor decay ceiling."""
     o, k = roles.signals(spark, sf_dir), F.col("seq")
     score = F.when(k % 50 != 0, (k % 600) / 100)
     return o.select("signal_id", text.severity_band(score).alias("severity"), text.density_band(k % 20).alias("density"), text.customer_facing(F.col("tier")).alias("facing"))
