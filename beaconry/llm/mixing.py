@@ -5,40 +5,73 @@ floor(j * P / w) and due by ceil((j + 1) * P / w). In each slot, of the released
 As the shares fill the period exactly, every block meets its window, so after any number of slots a
 source's blocks deviate from its weight's part by less than one block.
 
-The schedule repeats every period, so one period is made on the driver (P is a parameter, not a size of the
-data) and a document finds its slot from its block's number alone: slot = period * P + the share's offset.
+Weights are taken exactly: floats as the decimals that they print as. Their common period is what the schedule repeats, so
+one period is made on the driver (it depends on the weights, not on the size of the data) and a document finds its
+slot from its block's number alone: slot = period * P + the share's offset. Weights without a common period of
+`PERIOD` slots or fewer are rounded to parts of `PERIOD`: then a source leaves its given weight by at most one
+block in `PERIOD` slots.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PERIOD = 1000
+from .common import staged, unused
+
+#: The longest period that is made.
+PERIOD = 1_000_000
 BLOCK_ROWS = 8
-#: The period grows with the sources, so that each has so many slots on average at least.
-SOURCE_SLOTS = 3
-#: Tables of slots up to so many rows are broadcast.
-BROADCAST_SLOTS = 100_000
-#: A source is numbered in slices of so many rows on average, or in `MAX_SLICES` larger ones.
-SLICE_ROWS, MAX_SLICES = 2000, 512
+#: Temperature weights are whole parts of so many, or of so many a source if there are more sources.
+PARTS, SOURCE_PARTS = 10_000, 20
+#: Tables up to so many rows (slots; sources by partition) are broadcast.
+BROADCAST_ROWS = 100_000
+#: Rows that a task numbers, on average.
+SLICE_ROWS = 20_000
 
 
 def shares(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Whole shares that sum to the period: the largest remainders are rounded up, each share is 1 at least."""
-    if not weights or any(not w > 0 or math.isinf(w) for w in weights.values()) or len(weights) > period:
-        raise ValueError("weights must be positive and finite, for 1 to `period` sources")
-    total, spare = sum(weights.values()), period - len(weights)
-    exact = {k: w / total * spare for k, w in weights.items()}
-    out = {k: 1 + math.floor(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (math.floor(exact[k]) - exact[k], str(k)))[: period - sum(out.values())]:
+    """Whole shares that sum to the period, 1 at least each: the largest remainders are rounded up."""
+    checked(weights)
+    if not weights or len(weights) > period:
+        raise ValueError("weights must be for 1 to `period` sources")
+    total = sum(map(fraction, weights.values()))
+    exact = {k: fraction(w) * period / total for k, w in weights.items()}
+    out = {k: max(1, math.floor(x)) for k, x in exact.items()}
+    spare = period - sum(out.values())
+    for k in sorted(exact, key=lambda k: (math.floor(exact[k]) - exact[k], str(k)))[: max(0, spare)]:
         out[k] += 1
+    for k in sorted(exact, key=lambda k: (-exact[k], str(k))):  # shares raised to 1 are taken from the largest
+        cut = min(out[k] - 1, max(0, -spare))
+        out[k], spare = out[k] - cut, spare + cut
     return out
 
 
+def checked(weights: dict[str | None, float]) -> None:
+    if any(not w > 0 or math.isinf(w) for w in weights.values()):
+        raise ValueError("weights must be positive and finite")
+
+
+def fraction(w) -> Fraction:
+    return Fraction(str(w)) if isinstance(w, float) else Fraction(w)
+
+
+def whole(weights: dict[str | None, float], longest: int = PERIOD) -> dict[str | None, int]:
+    """The weights as whole shares without a common factor; rounded only if their sum is beyond `longest`."""
+    checked(weights)
+    exact = {k: fraction(w) for k, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    out = {k: int(x * scale) for k, x in exact.items()}
+    common = math.gcd(*out.values()) or 1
+    out = {k: w // common for k, w in out.items()}
+    return out if sum(out.values()) <= longest else shares(weights, longest)
+
+
 def schedule(share: dict[str | None, int]) -> list[tuple[str | None, int]]:
     """One period: (source, block number in the period) of each slot, earliest deadline first among the released."""
     period = sum(share.values())
@@ -59,9 +92,13 @@ def schedule(share: dict[str | None, int]) -> list[tuple[str | None, int]]:
     return out
 
 
-def temperature_weights(docs: DataFrame, exponent: float, source_col: str = "source") -> dict[str | None, float]:
-    """Target weights: each source's rows to the power `exponent`. One row a source comes to the driver."""
-    return {r[0]: float(r[1]) ** exponent for r in docs.groupBy(source_col).count().collect()}
+def temperature_weights(docs: DataFrame, exponent: float, source_col: str = "source") -> dict[str | None, int]:
+    """Target weights: each source's rows to the power `exponent`, as whole parts. One row a source comes to the driver."""
+    sizes = {r[0]: float(r[1]) ** exponent for r in docs.groupBy(source_col).count().collect()}
+    return shares(sizes, max(PARTS, SOURCE_PARTS * len(sizes))) if sizes else {}
+
+
+MADE = ["mix_block", "mix_release", "mix_due", "mix_slot", "mix_position", "in_mix"]
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float], period: int = PERIOD, block_rows: int = BLOCK_ROWS, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
@@ -69,62 +106,74 @@ def mixed(docs: DataFrame, weights: dict[str | None, float], period: int = PERIO
 
     A source's rows are numbered in order of id (nulls first; repeated ids in an order of their hashes) and cut into blocks.
     mix_position orders all rows: slot by slot, and within the block by number. in_mix is true as far as the weights can be
-    met: up to the slot where the first source that holds at least a period's hundredth of weight (with more than a
-    hundred sources: an equal part) runs out. The period grows with the number of sources (`SOURCE_SLOTS`). All
-    rows are returned; past that slot the remaining sources go on by their own deadlines. A last block may be short. A source without a
-    weight has no slot (nulls, in_mix false), so without any weight no row has. Null is a source like any other.
+    met: up to the slot where the first source runs out. All rows are returned; past that slot the remaining sources go on by
+    their own deadlines. A last block may be short. A source without a weight has no slot (nulls, in_mix false), so without any
+    weight no row has. Null is a source like any other. `period` is the longest that is made; with very many sources it is
+    longer, so that any number can be scheduled.
     """
-    spark = docs.sparkSession
-    period = max(period, SOURCE_SLOTS * len(weights))
-    share = shares(weights, period) if weights else {}
+    share = whole(weights, max(period, SOURCE_PARTS * len(weights))) if weights else {}
+    length = sum(share.values())
     sizes = {r[0]: r[1] for r in docs.groupBy(source_col).count().collect()}
-    full = [-(-sizes.get(k, 0) // block_rows) * period // w for k, w in share.items() if w * max(100, len(share)) >= period]
-    horizon = min(full, default=0)
-    table = [(k, j, t, share[k]) for t, (k, j) in enumerate(schedule(share))]
-    slots = spark.createDataFrame(table, "_source string, _turn bigint, _offset int, _share int")
-
-    made = ["mix_block", "mix_release", "mix_due", "mix_slot", "mix_position", "in_mix"]
-    base = docs.drop(*made).withColumn("_tie", F.xxhash64(*[F.col(c) for c, t in docs.dtypes if c not in made and not t.startswith("map")]))
-    numbered = numbers(base, source_col, id_col, max(sizes.values(), default=0))
-    block = F.floor(F.col("_number") / block_rows)
-    rows = numbered.withColumn("mix_block", block)
-    small = F.broadcast if len(table) <= BROADCAST_SLOTS else lambda x: x
+    horizon = min((-(-sizes.get(k, 0) // block_rows) * length // w for k, w in share.items()), default=0)
+    slots = slot_table(docs, share)
     known = slots.where("_turn = 0").select("_source", "_share")
-    rows = rows.join(small(known), F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
-    rows = rows.withColumn("_in_period", F.col("mix_block") % F.col("_share"))
-    # The table of slots has `period` rows.
-    at = slots.select("_source", "_turn", "_offset")
-    rows = rows.join(small(at), F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_in_period") == F.col("_turn")), "left")
-    p = F.lit(period)
+
+    base = docs.drop(*MADE)
+    number = unused(base, "number")
+    rows = numbered(base, source_col, id_col, sum(sizes.values()), number)
+    rows = rows.withColumn("mix_block", F.floor(F.col(number) / block_rows))
+    part, turn, source = unused(base, "share"), unused(base, "turn"), unused(base, "source")
+    rows = rows.join(small(known.toDF(source, part), len(share)), F.col(source_col).eqNullSafe(F.col(source)), "left").drop(source)
+    rows = rows.withColumn(turn, F.col("mix_block") % F.col(part))
+    offset, due = unused(base, "offset"), unused(base, "due")
+    at = slots.select("_source", "_turn", "_offset").toDF(source, due, offset)
+    rows = rows.join(small(at, length), F.col(source_col).eqNullSafe(F.col(source)) & (F.col(turn) == F.col(due)), "left")
+    p = F.lit(length).cast("bigint")
     return rows.withColumns(
         {
-            "mix_release": F.floor(F.col("mix_block") * p / F.col("_share")),
-            "mix_due": F.ceil((F.col("mix_block") + 1) * p / F.col("_share")),
-            "mix_slot": F.floor(F.col("mix_block") / F.col("_share")) * p + F.col("_offset"),
+            "mix_release": F.floor(F.col("mix_block") * p / F.col(part)),
+            "mix_due": F.ceil((F.col("mix_block") + 1) * p / F.col(part)),
+            "mix_slot": F.floor(F.col("mix_block") / F.col(part)) * p + F.col(offset),
         }
     ).withColumns(
         {
-            "mix_position": F.col("mix_slot") * block_rows + F.col("_number") % block_rows,
+            "mix_position": F.col("mix_slot") * block_rows + F.col(number) % block_rows,
             "in_mix": F.coalesce(F.col("mix_slot") < horizon, F.lit(False)),
         }
-    ).drop("_number", "_share", "_in_period", "_source", "_turn", "_offset", "_tie")
+    ).drop(number, part, turn, source, due, offset)
+
+
+def small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+def slot_table(docs: DataFrame, share: dict[str | None, int]) -> DataFrame:
+    """One period: _source, _turn (its block in the period), _offset (the slot) and _share."""
+    table = schedule(share) if share else []
+    columns = [[k for k, _ in table], [j for _, j in table], list(range(len(table))), [share[k] for k, _ in table]]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int64()]
+    arrow = pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["_source", "_turn", "_offset", "_share"])
+    return docs.sparkSession.createDataFrame(arrow)
 
 
-def numbers(rows: DataFrame, source_col: str, id_col: str, most: int) -> DataFrame:
-    """Adds _number, a row's place in its source. Large sources are numbered in slices of their id range.
+def numbered(rows: DataFrame, source_col: str, id_col: str, total: int, name: str) -> DataFrame:
+    """`rows` with their number in their source as column `name`, in order of id.
 
-    Slice bounds are approximate quantiles of the ids; counts per slice give each slice its first number.
+    The rows are range-partitioned by source and id, whatever the sizes of the sources, and staged in that order; counts
+    per partition and source give each partition its first numbers.
     """
-    slices = min(MAX_SLICES, max(1, -(-most // SLICE_ROWS)))
-    within = [F.col(id_col).asc_nulls_first(), F.col("_tie")]
-    if slices == 1:
-        return rows.withColumn("_number", F.row_number().over(Window.partitionBy(source_col).orderBy(*within)).cast("bigint") - 1)
-    cuts = rows.approxQuantile(id_col, [i / slices for i in range(1, slices)], 0.1 / slices)
-    cut = F.array(*(F.lit(float(c)) for c in sorted(set(cuts))))
-    rows = rows.withColumn("_slice", F.coalesce(F.size(F.filter(cut, lambda c: c < F.col(id_col))), F.lit(0)))
-    counts = rows.groupBy(F.col(source_col).alias("_of"), "_slice").count()
-    before = Window.partitionBy("_of").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.withColumn("_first", F.coalesce(F.sum("count").over(before), F.lit(0))).select("_of", F.col("_slice").alias("_at"), "_first")
-    rows = rows.withColumn("_number", F.row_number().over(Window.partitionBy(source_col, "_slice").orderBy(*within)).cast("bigint") - 1)
-    rows = rows.join(first, F.col(source_col).eqNullSafe(F.col("_of")) & (F.col("_slice") == F.col("_at")), "left")
-    return rows.withColumn("_number", F.col("_number") + F.col("_first")).drop("_of", "_at", "_first", "_slice")
+    tie, place, at = unused(rows, "tie"), unused(rows, "place"), unused(rows, "at")
+    plain = [F.col(c) for c, t in rows.dtypes if not t.startswith("map")]
+    rows = rows.withColumns({tie: F.xxhash64(*plain), place: F.monotonically_increasing_id()})
+    order = [F.col(source_col), F.col(id_col).asc_nulls_first(), F.col(tie), F.col(place)]
+    n = max(1, -(-total // SLICE_ROWS))
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop(tie, place)
+    ranged = staged(ranged.withColumn(at, F.monotonically_increasing_id()), "mix-rows")
+    runs = ranged.groupBy(F.col(source_col).alias("_of"), F.shiftright(at, 33).alias("_part")).agg(F.count("*").alias("_n"), F.min(at).alias("_from"))
+    before = Window.partitionBy("_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = staged(runs.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from")).drop("_n", "_from"), "mix-runs")
+    of, part, shift = unused(ranged, "of"), unused(ranged, "part"), unused(ranged, "shift")
+    # A row for each source and partition that hold a row in common: their numbers' sum at most.
+    first = small(runs.toDF(of, part, shift), runs.count())
+    joined = ranged.join(first, F.col(source_col).eqNullSafe(F.col(of)) & (F.shiftright(at, 33) == F.col(part)), "left")
+    return joined.withColumn(name, F.col(at) + F.col(shift)).drop(of, part, shift, at)

@@ -84,3 +84,32 @@ def test_more_sources_than_slots(spark):
     assert sorted(r["doc_id"] for r in out) == list(range(2500))
     assert len({(r["mix_position"]) for r in out}) == 2500 and any(r["in_mix"] for r in out)
     assert all(r["mix_release"] <= r["mix_slot"] < r["mix_due"] for r in out)
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.5337, "b": 0.3331, "c": 0.1332}, {"big": 0.1} | {f"s{i}": 0.001 for i in range(900)}, {"x": 7, "y": 0.01, "z": 1e-4}])
+def test_given_weights_are_met_over_many_slots(weights):
+    share = m.whole(weights)
+    total = sum(Fraction(str(w)) for w in weights.values())
+    one = m.schedule(share)
+    assert all(Fraction(w, len(one)) == Fraction(str(weights[k])) / total for k, w in share.items())
+    named = list(weights)
+    part = {k: Fraction(str(weights[k])) / total for k in named}
+    seen, times = Counter(), 100_000 // len(one) + 1
+    for t, (k, _) in enumerate((one * times)[:100_000]):
+        seen[k] += 1
+        assert abs(seen[k] - part[k] * (t + 1)) < 1
+        if t % 997 == 0:
+            assert all(abs(seen[x] - part[x] * (t + 1)) < 1 for x in named)
+
+
+def test_weights_without_a_short_period_are_rounded_by_less_than_a_part():
+    weights = {"a": 2**0.5, "b": 1.0, "c": 3**0.5, "d": 1e-9}
+    share = m.whole(weights, 10_000)
+    assert sum(share.values()) == 10_000 and share["d"] == 1
+    assert all(abs(share[k] - 10_000 * w / sum(weights.values())) < 2 for k, w in weights.items())
+
+
+def test_a_clashing_column_and_ties(spark):
+    df = spark.createDataFrame([(1, "s", i % 2, "n") for i in range(100)], "doc_id long, source string, tie_0 int, number_0 string").repartition(7)
+    out = m.mixed(df, {"s": 1}).collect()
+    assert sorted(r["mix_position"] for r in out) == list(range(100)) and set(out[0].asDict()) == {*df.columns, *m.MADE}
