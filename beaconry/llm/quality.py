@@ -3,8 +3,8 @@
 Eight heuristic labellers look at a document and vote good (+1), bad (-1) or abstain (0). How often each
 pattern of votes occurs is counted over all documents (3^8 patterns at most come to the driver); EM over the
 counts estimates the share of good documents and, for each labeller, how it votes on good and on bad ones.
-The posterior of a pattern then labels a bounded sample of documents (`TRAIN_ROWS`), which trains a logistic
-scorer on hashed features: byte trigrams, shapes (letter case, digits, punctuation) in fives, repeated
+The posterior of a pattern then labels a bounded sample of different texts (`TRAIN_ROWS`; one with n copies weighs
+1 + log n), which trains a logistic scorer on hashed features: byte trigrams, shapes (letter case, digits, punctuation) in fives, repeated
 words. The scorer, not the votes, judges every document, so what labellers abstain on is judged as well.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType
 
 from .common import unused
 
-#: The scorer is fitted on so many documents at most, taken by the hash of id and text.
+#: The scorer is fitted on so many different texts at most, taken by their hash.
 TRAIN_ROWS = 6000
 BITS = 11
 SEED = 7
@@ -127,13 +127,15 @@ def features(raw: bytes) -> np.ndarray:
     return np.sqrt(out)
 
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 250, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 250, decay: float = 1e-4, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels, by Adam over all rows; the same rows give the same weights."""
     w, b, m, s = np.zeros(x.shape[1] + 1, np.float32), 0.0, 0.0, 0.0
+    part = np.ones(len(x)) if weight is None else weight
+    part = (part / max(1e-9, part.sum())).astype(np.float32)
     x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
     for t in range(1, rounds + 1 if len(x) else 1):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        g = x1.T @ (p - y).astype(np.float32) / len(x) + decay * w
+        g = x1.T @ ((p - y) * part).astype(np.float32) + decay * w
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w = (w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     b = float(w[-1])
@@ -143,7 +145,7 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 250, decay: float = 1
 def scored(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, str]:
     """`docs` with one double column more (its name is returned): P(good), from the fitted scorer.
 
-    Null, empty and blank texts score 0: nothing speaks for them. All rows stay, repeated ones too, and each gets
+    Null, empty and blank texts score 0: nothing speaks for them; ties at a threshold are the caller's (0.5 is kept by kept()). All rows stay, repeated ones too, and each gets
     the score of its text. An empty table is returned empty. Whole texts are looked at.
     """
     raw = F.col(text_col).cast("binary")
@@ -155,17 +157,18 @@ def scored(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS
 
     thin = max(1, -(-total * 11 // (train_rows * 10)))
     sample = docs.select(raw.alias("t")).where(F.pmod(F.xxhash64("t", F.lit(SEED)), F.lit(thin)) == 0).where(F.length(F.trim(F.col("t").cast("string"))) > 0)
+    sample = sample.groupBy("t").agg(F.count("*").alias("n"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([posterior.get(votes(x), 0.5) for x in texts], pa.float64()), pa.array([features(x).astype("<f2").tobytes() for x in texts], pa.binary())], ["y", "x"]
+                [pa.array([posterior.get(votes(x), 0.5) for x in texts], pa.float64()), pa.array([features(x).astype("<f2").tobytes() for x in texts], pa.binary()), batch.column(1)], ["y", "x", "n"]
             )
 
-    rows = sample.mapInArrow(featured, "y double, x binary").orderBy(F.xxhash64("x"), "x", "y").limit(train_rows).collect()
+    rows = sample.mapInArrow(featured, "y double, x binary, n bigint").orderBy(F.xxhash64("x"), "x", "y").limit(train_rows).collect()
     x = np.stack([np.frombuffer(r["x"], "<f2") for r in rows]).astype(np.float32) if rows else np.zeros((0, 1 << BITS), np.float32)
-    weights, bias = fit_scorer(x, np.array([r["y"] for r in rows], np.float32))
+    weights, bias = fit_scorer(x, np.array([r["y"] for r in rows], np.float32), weight=1 + np.log(np.array([r["n"] for r in rows], float)))
     del rows, x
 
     @arrow_udf("double")

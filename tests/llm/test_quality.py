@@ -58,3 +58,20 @@ def test_monotony_looks_at_the_whole_text():
     assert q.monotony([f"w{i}".encode() for i in range(200)] * 50) == 0
     assert abs(q.monotony(head + [b"x"] * 10) - 9 / 400) < 1e-9
     assert q.votes(b" ".join(head + spam))[5] == "b" and q.votes(b" ".join(head))[5] == "g"
+
+
+def test_the_scores_are_those_of_plain_code(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [(10_000 + i, "one text, many times.") for i in range(300)] + [(20_000, None), (20_001, "")]
+    out, name = q.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = {r["doc_id"]: r[name] for r in out.collect()}
+    texts = [t.encode() for _, t in rows if t and not t.isspace()]
+    patterns, copies = {}, {}
+    for t in texts:
+        patterns[q.votes(t)] = patterns.get(q.votes(t), 0) + 1
+        copies[t] = copies.get(t, 0) + 1
+    _, _, posterior = q.fit_labels(patterns)
+    x = q.np.stack([q.features(t).astype("<f2").astype(q.np.float32) for t in copies])
+    w, b = q.fit_scorer(x, q.np.array([posterior[q.votes(t)] for t in copies], q.np.float32), weight=1 + q.np.log(q.np.array(list(copies.values()), float)))
+    for i, t in rows:
+        want = 0.0 if not t else 1 / (1 + q.np.exp(-(float(q.features(t.encode()) @ w) + b)))
+        assert abs(got[i] - want) < 1e-3 and (abs(want - 0.5) < 1e-3 or (got[i] >= 0.5) == (want >= 0.5))
