@@ -21,10 +21,10 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import staged
 
-#: Labelled rows that train the scorer at most, taken by the hash of their text.
+#: Labelled rows that train the scorer at most, taken by the hash of their id.
 TRAIN_ROWS = 20_000
-#: Features that the scorer weighs at most: those with the strongest evidence (a log-likelihood ratio of MIN_EVIDENCE at least).
-MAX_FEATURES, MIN_EVIDENCE = 50_000, 20.0
+#: Features that the scorer weighs: those of the labelled rows with so much evidence (log-likelihood ratio) for toxicity.
+MIN_EVIDENCE = 20.0
 PREFIXES = (4, 5, 6)
 MEMO = 300_000
 #: A chunk that is longer than this with its runs folded isn't one word: its pieces are read one by one, long ones with word edges.
@@ -145,8 +145,8 @@ class Reader:
         return {"costs": self.costs, "known": {}}
 
     def words_of(self, chunk: str) -> list[str]:
-        """The words of a chunk (what stands between blanks), and their restored forms if it looks disguised."""
-        return WORD.findall(chunk) + self.undone(chunk)
+        """The words of a chunk (what stands between blanks), restored if it looks disguised."""
+        return self.undone(chunk) or WORD.findall(chunk)
 
     def undone(self, chunk: str) -> list[str]:
         """The restored words of a chunk, none if it doesn't look disguised."""
@@ -189,18 +189,19 @@ class Reader:
         return [f"={word}", *(word[:k] for k in PREFIXES if len(word) >= k)]
 
     def features(self, text: str | None, wanted: dict[str, int] | None = None) -> set:
-        """Distinct features of a whole text; with `wanted`, their columns there."""
+        """Distinct features of a whole text, restored; with `wanted`, their columns there."""
         if not text:
             return set()
         low, out, known = text.lower(), set(), self.known
+        if SPELLED.search(low):
+            out.update(self.columns(self.spelled(low), wanted))
+            low = SPELLED.sub(" ", low)
         if len(known) > MEMO:
             known.clear()
         chunks = set(low.split())
         for chunk in chunks.difference(known):
             known[chunk] = self.columns(self.words_of(chunk), wanted)
         out.update(*map(known.__getitem__, chunks))
-        if SPELLED.search(low):
-            out.update(self.columns(self.spelled(low), wanted))
         return out
 
     def columns(self, words: list[str], wanted: dict[str, int] | None) -> tuple:
@@ -261,11 +262,11 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.lit(0.0).alias("score"))
     seen = sample.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     strong = seen.withColumn("e", evidence(F.col("t"), F.col("c"), n[1], n[0])).where(F.col("e") >= MIN_EVIDENCE)
-    chosen = [r["f"] for r in strong.orderBy(F.desc("e"), "f").limit(MAX_FEATURES).select("f").collect()]
-    wanted = {f: i for i, f in enumerate(chosen)}
+    # Every such feature stands in several of the TRAIN_ROWS rows.
+    wanted = {f: i for i, f in enumerate(sorted(r["f"] for r in strong.select("f").collect()))}
     table = docs.sparkSession.createDataFrame([(f, i) for f, i in wanted.items()], "f string, i int")
     kept = sample.withColumn("row", F.monotonically_increasing_id()).select("row", "y", F.explode_outer("features").alias("f"))
-    # The table of chosen features has MAX_FEATURES rows at most.
+    # The table has a row for each feature that is on the driver.
     rows = kept.join(F.broadcast(table), "f", "left").groupBy("row").agg(F.first("y").alias("y"), F.collect_list("i").alias("cols")).collect()
     weights, bias = fit(sorted((sorted(r["cols"]), r["y"]) for r in rows), len(wanted))
     model = docs.sparkSession.sparkContext.broadcast((wanted, weights, bias))
@@ -280,12 +281,15 @@ def scorer(reader, model):
     def score(texts: pa.Array) -> pa.Array:
         wanted, weights, bias = model.value
         own = Reader(reader.value.costs)
-        own.known = MEMOS.setdefault(model._path or str(id(model)), {})
+        name = model._path or str(id(model))
+        if name not in MEMOS:
+            MEMOS.clear()
+        own.known = MEMOS.setdefault(name, {})
         z = np.array([sum(weights[i] for i in own.features(t, wanted)) + bias for t in texts.to_pylist()])
         return pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return score
 
 
-#: By model, a task's memory of chunks; one worker serves many tasks.
+#: The last model's memory of chunks (MEMO at most); one worker serves many tasks.
 MEMOS: dict[str, dict] = {}

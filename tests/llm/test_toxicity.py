@@ -88,3 +88,33 @@ def test_a_word_before_a_spelled_one_does_not_hide_it(reader):
 def test_decoding_takes_time_in_proportion(reader):
     seen = "1d10t" * 2000
     assert len(reader.restore(seen).replace(" ", "")) == len(seen)
+
+
+def test_the_scores_are_those_of_restored_words(spark, reader):
+    """The query's scores against plain counts over restored texts, fitted and applied row by row."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{x}.parquet") for x in ("documents", "labels"))
+    got = {r["doc_id"]: r["score"] for r in t.scored(docs, labels).collect()}
+    import math
+    import zlib
+
+    own = t.Reader(t.language_model(docs, "text"))
+    words = {r["doc_id"]: own.features(r["text"]) for r in docs.collect()}
+    teach = [(r["doc_id"], r["toxic"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] in words]
+    n = [sum(y == k for _, y in teach) for k in (0, 1)]
+
+    def ratio(c, k):
+        part = lambda x, rows: x * math.log(x / ((c + k) * rows / sum(n))) if x else 0.0
+        return 2 * (part(k, n[1]) + part(c, n[0])) if k / n[1] > c / n[0] else 0.0
+
+    seen = {f for i, _ in teach for f in words[i]}
+    count = {f: [sum(f in words[i] for i, y in teach if y == k) for k in (0, 1)] for f in seen}
+    strong = sorted(f for f in seen if ratio(*count[f]) >= t.MIN_EVIDENCE)
+    at = {f: j for j, f in enumerate(strong)}
+    weights, bias = t.fit(sorted((sorted(at[f] for f in words[i] if f in at), y) for i, y in teach), len(strong))
+    for i, found in words.items():
+        want = 1 / (1 + math.exp(-(sum(weights[at[f]] for f in found if f in at) + bias)))
+        assert abs(got[i] - want) < 1e-6
+
+
+def test_raw_forms_are_no_features(reader):
+    assert reader.features("you 1d10t") == {*reader.parts("you"), *reader.parts("idiot")}
