@@ -57,7 +57,7 @@ def with_references(pages: DataFrame, id_col: str, payload_col: str) -> DataFram
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"").cast("binary"))
     rows = pages.withColumn("payload", payload).withColumn("digest", F.sha2("payload", 256))
     large = F.length("payload") >= MIN_REVISIT_BYTES
-    rows = rows.withColumn("digest_key", F.when(large, F.col("digest")).otherwise(F.concat_ws(":", F.lit("small"), F.col(id_col))))
+    rows = rows.withColumn("digest_key", F.when(large, F.col("digest")).otherwise(F.concat_ws(":", F.lit("small"), F.col(id_col), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))))
     groups = (
         rows.where(large)
         .groupBy(F.col("digest").alias("digest_key"))
@@ -242,15 +242,16 @@ def frames(stream) -> Iterator[bytes]:
 def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool = True, strict: bool = True) -> DataFrame:
     """The records of the manifest's archives, with validated headers, lengths and digests.
 
-    A record that doesn't hold ends the job if `strict`, else gives a row with only `archive` and `error`.
+    A record that doesn't hold ends the job if `strict`, else gives a row with only `archive` and `error`; so does an
+    archive that has not as many records as the manifest says, such as one that was cut after a whole frame.
     Archives are dealt out one by one; the number of tasks is the number of archives.
     """
     schema = pa.schema([(n, t) for n, t in zip(RECORD.replace(",", "").split()[::2], (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string()), strict=True)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                rows, size = [], 0
+            for path, expected in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                rows, size, seen = [], 0, 0
                 fs, base = pafs.FileSystem.from_uri(path)
                 with fs.open_input_stream(base, compression=None) as stream:
                     for raw in frames(stream):
@@ -260,16 +261,22 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool =
                             if strict:
                                 raise
                             row = dict.fromkeys(schema.names) | {"archive": path, "error": str(e)}
+                        seen += 1
                         rows.append(row if with_payload else row | {"payload": None})
                         size += len(raw)
                         if len(rows) >= 1000 or with_payload and size >= 8_000_000:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
+                if seen != expected:
+                    wrong = f"{seen} records, where the manifest has {expected}"
+                    if strict:
+                        raise BadRecord(wrong)
+                    rows.append(dict.fromkeys(schema.names) | {"archive": path, "error": wrong})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     n = max(1, manifest.count())
-    return manifest.select("path").repartition(n).mapInArrow(read, RECORD)
+    return manifest.select("path", "records").repartition(n).mapInArrow(read, RECORD)
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:

@@ -78,3 +78,18 @@ def test_empty_table(spark):
     out = warc.archived(spark.createDataFrame([], "page_id long, url string, html string"))
     assert out.collect() == []
     assert common.shared_dir(spark)
+
+
+def test_an_archive_cut_after_a_frame_is_found_out(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from beaconry.llm import warc
+
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "x" * i) for i in range(5)] + [(None, "u", "s"), (None, "v", "s")], "page_id long, url string, html string").coalesce(1)
+    rows = warc.with_references(pages, "page_id", "html")
+    manifest = warc.write_archives(rows, f"file://{tmp_path}/w", "page_id", "url")
+    assert warc.read_archives(spark, manifest).count() == 7
+    more = manifest.withColumn("records", F.col("records") + 1)
+    with pytest.raises(Exception, match="where the manifest has"):
+        warc.read_archives(spark, more).collect()
+    assert warc.read_archives(spark, more, strict=False).where("error is not null").count() == manifest.count()
