@@ -137,7 +137,11 @@ def unit(m: np.ndarray) -> np.ndarray:
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each row of a with the same row of b; equal rows give equal bits wherever they stand."""
+    """Cosine of each row of a with the same row of b; equal rows give equal bits wherever they stand.
+
+    Rows are scaled by powers of two first, which changes no bit of the result but where squares would over- or underflow.
+    """
+    a, b = (np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1]) for m in (a, b))
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
@@ -205,10 +209,15 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
         rough[qi[:, None] == mi[None, :]] = -np.inf
         take = min(k, len(mi))
         least = np.partition(rough, len(mi) - take, axis=1)[:, len(mi) - take]
-        a, b = np.nonzero((rough >= least[:, None] - 1e-9) & np.isfinite(rough))
-        out = pd.DataFrame({"query_id": qi[a], "vec_id": mi[b], "score": cosines(q[a], m[b])})
-        out = out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable").drop_duplicates(["query_id", "vec_id"])
-        return out.groupby("query_id", sort=False).head(k)
+        out = []
+        for i in range(len(qi)):  # one by one, as all of a block's vectors may tie
+            at = np.flatnonzero((rough[i] >= least[i] - 1e-9) & np.isfinite(rough[i]))
+            exact = cosines(np.broadcast_to(q[i], (len(at), q.shape[1])), m[at]) if len(at) else np.empty(0)
+            best, ids, scores = np.lexsort((mi[at], -exact)), mi[at], exact
+            _, first = np.unique(ids[best], return_index=True)  # an id that is repeated counts once, with its best score
+            best = best[np.sort(first)][:k]
+            out.append(pd.DataFrame({"query_id": qi[i], "vec_id": ids[best], "score": scores[best]}))
+        return pd.concat(out)
 
     found = turns.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInPandas(nearest, "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

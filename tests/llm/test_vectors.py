@@ -76,3 +76,15 @@ def test_the_walk_takes_the_lists_within_the_ratio(ratio):
         seen, agreed = seen + len(want), agreed + len(want & set(got.tolist()))
         assert set(got.tolist()) <= want
     assert agreed >= 0.97 * seen
+
+
+def test_huge_components_and_many_ties(spark):
+    import numpy as np
+
+    from beaconry.llm import vectors as v
+
+    assert v.cosines(np.array([[1e200, 1e200]]), np.array([[1e-200, 1e-200]]))[0] == 1.0
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(3000)] + [(5000, [3.0, 1.0, 0.0]), (5001, [3.0, 1.1, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    out = v.neighbours(df, df.where("vec_id in (50, 5000)"), k=3).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])) if r["query_id"] == 50] == [(50, 1, 0), (50, 2, 1), (50, 3, 2)]
