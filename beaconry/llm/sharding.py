@@ -16,11 +16,8 @@ from bisect import bisect_left
 from dataclasses import dataclass
 from fractions import Fraction
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 VNODES = 64
 #: Rows that one task ranks at most, on average.
@@ -73,11 +70,19 @@ def placed(counts: dict[int, int], ring: list[tuple[int, int]], shards: int, loa
 
 
 def arc_of(ring: list[tuple[int, int]]):
-    at = np.array([p for p, _ in ring], np.int64)
-
-    @arrow_udf("int")
-    def find(hashes: pa.Array) -> pa.Array:
-        return pa.array((np.searchsorted(at, hashes.to_numpy(zero_copy_only=False), "left") % len(at)).astype(np.int32))
+    """The arc of a column of positions, in SQL functions: the points before its cell, and those of its cell that it passes."""
+    at = [p for p, _ in ring]
+    bits = max(1, (len(at) - 1).bit_length())
+    width = 1 << (64 - bits)
+    cells = [(-(1 << 63) + i * width, -(1 << 63) + (i + 1) * width) for i in range(1 << bits)]
+    before = F.array(*(F.lit(bisect_left(at, lo)) for lo, _ in cells))
+    inside = F.array(*(F.array(*(F.lit(p) for p in at[bisect_left(at, lo) : bisect_left(at, hi)])).cast("array<bigint>") for lo, hi in cells))
+
+    def find(position: str) -> Column:
+        h = F.col(position)
+        cell = (F.shiftright(h, 64 - bits) + (1 << (bits - 1))).cast("int")
+        passed = F.size(F.filter(F.get(inside, cell), lambda p: p < h))
+        return ((F.get(before, cell) + passed) % len(at)).cast("int")
 
     return find
 
