@@ -16,16 +16,15 @@ names no other attempt uses, and only those in the committed manifest are read.
 from __future__ import annotations
 
 import os
-import re
 import struct
-import sys
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,10 +36,10 @@ HEAD = struct.Struct("<QI")
 FOOT = struct.Struct("<I")
 SEQUENCE = struct.Struct("<BBq")
 INDEX = struct.Struct("<QQ")
-#: Chunks, and words, whose ids a task remembers, so that frequent ones are encoded once.
-MEMO = 250_000
-#: Latin letters and at most one closing mark.
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+#: Words and other chunks whose ids a task remembers, so that frequent words are encoded once.
+MEMO = 600_000
+#: Latin letters, and ASCII marks after them.
+PLAIN = r"^(?P<word>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 #: A shard is closed beyond this many bytes.
 SHARD_BYTES = 256_000_000
 
@@ -102,10 +101,10 @@ class ChunkEncoder:
     """Encodes whole texts chunk by chunk with a `tokenizers` file whose words never cross a blank.
 
     The vocabulary's normalizer and pre-tokenizer treat what stands between blanks and line feeds alone,
-    so a text's ids are those of its chunks in a row, and frequent chunks are encoded once per task. A chunk of
-    Latin letters with at most one closing mark is, for a lower-casing vocabulary, the lower-case word and
-    the mark: such words share an entry and go straight to the model. All others go through the whole
-    tokenizer. The test suite compares with encoding whole texts.
+    so a text's ids are those of its chunks in a row. The distinct chunks of a batch are found by Arrow, and their ids
+    dealt to all places at once. A chunk of Latin letters and, after them, ASCII marks is, for a lower-casing vocabulary,
+    the lower-case word and the marks, both of which are remembered by the task; words go
+    straight to the model. All other chunks go through the whole tokenizer. The test suite compares with encoding whole texts.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -122,61 +121,82 @@ class ChunkEncoder:
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.end = b"" if self.end_id is None else self.packed([self.end_id])
+        self.forget()
         letters = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
         self.plain = self.lower_cases() and self.shown(letters)
 
-    def packed(self, ids: list[int]) -> bytes:
-        out = array("H" if self.width == 2 else "I", ids)
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
+    def forget(self) -> None:
+        """Entry 0 of the table of known ids is that of an empty text."""
+        self.words, self.marks = pa.array([], pa.large_string()), pa.array([""], pa.large_string())
+        self.word_at, self.mark_at = np.empty(0, np.int32), np.zeros(1, np.int32)
+        self.flat, self.sizes = np.empty(0, self.dtype), np.zeros(1, np.int32)
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def lower_cases(self) -> bool:
         """Whether case is ignored, letters part from marks, and words stand alone, as far as a probe tells."""
-        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        return ids("Éa Bß. b") == ids("éa") + ids("bß") + ids(".") + ids("b")
+        whole, *parts = self.whole(["Éa Bß.;! b**", "éa", "bß", ".;!", "b", "**"])
+        return whole == sum(parts, [])
 
     def shown(self, letters: str) -> dict[int, str]:
         """How the pre-tokenizer shows each letter to the model."""
         pre = self.tokenizer.pre_tokenizer
         return {ord(c): pre.pre_tokenize_str(c)[0][0] for c in letters}
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encodes the chunks that aren't known yet; words are remembered apart from the chunks they stand in."""
-        known, words, rest = self.known, self.words, []
-        for c in chunks:
-            m = PLAIN.fullmatch(c) if self.plain else None
-            if not m:
-                rest.append(c)
-                continue
-            word, mark = m[1].lower(), m[2]
-            ids = words.get(word)
-            if ids is None:
-                ids = words[word] = self.packed([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.plain))])
-            if mark:
-                if mark not in known:
-                    known[mark] = self.packed(self.tokenizer.encode(mark, add_special_tokens=False).ids)
-                ids += known[mark]
-            known[c] = ids
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[c] = self.packed(e.ids)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def spelled(self, words: list[str]) -> list[list[int]]:
+        """The ids of lower-case words, from the model itself."""
+        tokenize, plain = self.model.tokenize, self.plain
+        return [[t.id for t in tokenize(w if w.isascii() else w.translate(plain))] for w in words]
+
+    def enter(self, ids: list[list[int]]) -> np.ndarray:
+        """Adds these ids to the table; returns their entries."""
+        first = len(self.sizes)
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), self.dtype)])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int32, len(ids))])
+        return np.arange(first, len(self.sizes), dtype=np.int32)
+
+    def found(self, wanted: pa.Array, known: pa.Array, at: np.ndarray, read) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """What is known, its entries, and those of the wanted texts; new ones are read and added."""
+        distinct = wanted.dictionary_encode()
+        place = pc.index_in(distinct.dictionary, known)
+        new = distinct.dictionary.filter(place.is_null())
+        if len(new):
+            known, at = pa.concat_arrays([known, new]), np.concatenate([at, self.enter(read(new.to_pylist()))])
+            place = pc.index_in(distinct.dictionary, known)
+        return known, at, at[place.to_numpy()][distinct.indices.to_numpy()]
+
+    def entries(self, chunks: pa.Array) -> np.ndarray:
+        """Of each distinct chunk the entries of its word and of its marks; a chunk that isn't plain is an entry of its own."""
+        if len(self.sizes) > MEMO:
+            self.forget()
+        out, plain = np.zeros((len(chunks), 2), np.int32), np.zeros(len(chunks), bool)
+        if self.plain:
+            parts = pc.extract_regex(chunks, PLAIN)
+            plain = parts.is_valid().to_numpy(zero_copy_only=False)
+            parts = parts.drop_null()
+            word, marks = pc.utf8_lower(pc.struct_field(parts, "word")), pc.struct_field(parts, "marks")
+            self.words, self.word_at, out[plain, 0] = self.found(word, self.words, self.word_at, self.spelled)
+            self.marks, self.mark_at, out[plain, 1] = self.found(marks, self.marks, self.mark_at, self.whole)
+        rest = np.flatnonzero(~plain)
+        out[rest, 0] = self.enter(self.whole(chunks.take(pa.array(rest)).to_pylist()))
+        return out
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a batch, the end id added."""
         if self.tokenizer is None:
             self.load()
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ") if text else []
-            if len(self.known) > MEMO:
-                self.known.clear()
-            if len(self.words) > MEMO:
-                self.words.clear()
-            new = set(chunks).difference(self.known)
-            if new:
-                self.learn(new)
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, chunks)) + self.end, self.dtype)
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        at = self.entries(coded.dictionary)[coded.indices.to_numpy()].ravel()  # word, marks, word, marks ...
+        size = self.sizes[at]
+        ends = np.cumsum(size, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        start = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        every = self.flat[np.repeat(start[at] - (ends - size), size) + np.arange(total)]
+        bounds = np.append(0, ends[1::2])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        end = np.array([] if self.end_id is None else [self.end_id], self.dtype)
+        return [np.concatenate([every[i:j], end]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 class Shard:
@@ -206,7 +226,7 @@ class Shard:
 def write_records(docs: DataFrame, folder: str, encoder: ChunkEncoder, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes all texts in ascending id order below `folder`; returns the committed manifest.
 
-    Null texts count as empty; null ids come first; equal ids follow their texts' order.
+    Null texts count as empty; null ids come first; equal ids follow the order of their texts' hashes.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +235,7 @@ def write_records(docs: DataFrame, folder: str, encoder: ChunkEncoder, id_col: s
         part, shard, done = TaskContext.get().partitionId(), None, []
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for doc_id, tokens in zip(ids, encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, tokens in zip(ids, encoder.encode(batch.column(1)), strict=True):
                 shard = shard or Shard(folder)
                 shard.add(serialized(doc_id, tokens, encoder.width), len(tokens))
                 if shard.at >= shard_bytes:
@@ -230,7 +250,10 @@ def write_records(docs: DataFrame, folder: str, encoder: ChunkEncoder, id_col: s
         )
 
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id, or of none, are many partitions' work if they are many: their hashes and places part them.
+    narrow = narrow.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    order = ["doc_id", "hash", "place"]
+    ordered = narrow.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return staged(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
