@@ -5,8 +5,8 @@
 2. The share of equal b-bit codes, corrected for chance collisions, estimates a pair's similarity. Of each band bucket
    those members stay to which another one comes near (a semi-join: the first such is enough).
 3. At first only stars are candidates: every member with its bucket's first and last one. Each class confirms its best
-   star edge on full sets, then the best one to each other component; then members meet the centre of their bucket's
-   largest other component, as long as that links many. Connected components are formed after each round.
+   star edge on full sets; then members meet the centre of their bucket's largest component, if it is another, as long
+   as that links many. Connected components are formed after each round.
 4. What is left are pairs that share a bucket but not a component. Members of such buckets get a longer sketch and
    the start of their set, rare shingles first. Pairs whose sizes and finer estimate may reach the threshold and
    whose starts overlap (all linked pairs' do) are confirmed, each once, in the first bucket that it shares.
@@ -264,17 +264,9 @@ def links(classes: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
     stars = members.select("rep", F.explode(F.array("low", "high")).alias("hub")).where("rep <> hub").distinct()
     likely = staged(likeliest(stars, sketch, threshold), "stars")
     best = likely.groupBy("rep").agg(F.max_by("hub", F.struct("likeness", "hub")).alias("hub"))
-    edges = confirmed(ordered(best), sets, threshold)
+    edges = staged(confirmed(ordered(best), sets, threshold), "links")
     parts = components(edges)
 
-    # Second round: of what joins two components by a star, each member's best to each other component.
-    mine = parts.select(F.col("node").alias("rep"), F.col("component").alias("p"))
-    other = parts.select(F.col("node").alias("hub"), F.col("component").alias("q"))
-    apart = likely.join(mine, "rep", "left").join(other, "hub", "left").withColumns({"p": F.coalesce("p", "rep"), "q": F.coalesce("q", "hub")}).where("p <> q")
-    best = apart.groupBy("rep", "q").agg(F.max_by("hub", F.struct("likeness", "hub")).alias("hub"))
-    edges = staged(edges.unionByName(confirmed(ordered(best), sets, threshold)), "links")
-    parts = components(as_edges(parts).unionByName(edges))
-
     # Further rounds: the centre of a bucket's largest component, with the bucket's members outside it.
     while True:
         placed = staged(placed_in(members, parts), "placed")
@@ -304,8 +296,9 @@ def links(classes: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
     least = F.ceil(threshold * (F.col("n_shingles_x") + F.col("n_shingles_y")) / (100 + threshold) - 1e-9).cast("int")  # shared, if linked
     start = lambda n: F.slice(f"rare_{n}", F.lit(1), F.greatest(F.lit(0), F.col(f"n_shingles_{n}").cast("int") - least + 1))
     rest = side("x").join(side("y").drop("i"), "band").where(near & first & F.arrays_overlap(start("x"), start("y")))
-    rest = rest.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
-    return components(as_edges(parts).unionByName(confirmed(staged(rest.distinct(), "pairs"), sets, threshold)))
+    rest = staged(rest.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct(), "pairs")
+    found = staged(confirmed(rest, sets, threshold), "links")
+    return parts if found.isEmpty() else components(as_edges(parts).unionByName(found))
 
 
 def like(n: str, m: str, threshold: int) -> Column:

@@ -127,13 +127,15 @@ def features(raw: bytes) -> np.ndarray:
     return np.sqrt(out)
 
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 250, decay: float = 1e-4, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, by Adam over all rows; the same rows give the same weights."""
-    w, b, m, s = np.zeros(x.shape[1] + 1, np.float32), 0.0, 0.0, 0.0
-    part = np.ones(len(x)) if weight is None else weight
+def fit_scorer(x1: np.ndarray, y: np.ndarray, rounds: int = 250, decay: float = 1e-4, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels, by Adam over all rows; the same rows give the same weights.
+
+    The last column of `x1` is the bias's: ones.
+    """
+    w, b, m, s = np.zeros(x1.shape[1], np.float32), 0.0, 0.0, 0.0
+    part = np.ones(len(x1)) if weight is None else weight
     part = (part / max(1e-9, part.sum())).astype(np.float32)
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    for t in range(1, rounds + 1 if len(x) else 1):
+    for t in range(1, rounds + 1 if len(x1) else 1):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
         g = x1.T @ ((p - y) * part).astype(np.float32) + decay * w
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
@@ -166,9 +168,11 @@ def scored(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS
                 [pa.array([posterior.get(votes(x), 0.5) for x in texts], pa.float64()), pa.array([features(x).astype("<f2").tobytes() for x in texts], pa.binary()), batch.column(1)], ["y", "x", "n"]
             )
 
-    rows = sample.mapInArrow(featured, "y double, x binary, n bigint").orderBy(F.xxhash64("x"), "x", "y").limit(train_rows).collect()
-    x = np.stack([np.frombuffer(r["x"], "<f2") for r in rows]).astype(np.float32) if rows else np.zeros((0, 1 << BITS), np.float32)
-    weights, bias = fit_scorer(x, np.array([r["y"] for r in rows], np.float32), weight=1 + np.log(np.array([r["n"] for r in rows], float)))
+    rows = sample.mapInArrow(featured, "y double, x binary, n bigint").orderBy(F.xxhash64("x"), "x", "y").limit(train_rows).toArrow()
+    x = np.ones((len(rows), (1 << BITS) + 1), np.float32)
+    for i, one in enumerate(rows["x"]):
+        x[i, :-1] = np.frombuffer(one.as_buffer(), "<f2")
+    weights, bias = fit_scorer(x, rows["y"].to_numpy().astype(np.float32), weight=1 + np.log(rows["n"].to_numpy().astype(float)))
     del rows, x
 
     @arrow_udf("double")

@@ -71,6 +71,7 @@ def test_the_scores_are_those_of_plain_code(spark):
         copies[t] = copies.get(t, 0) + 1
     _, _, posterior = q.fit_labels(patterns)
     x = q.np.stack([q.features(t).astype("<f2").astype(q.np.float32) for t in copies])
+    x = q.np.hstack([x, q.np.ones((len(x), 1), q.np.float32)])
     w, b = q.fit_scorer(x, q.np.array([posterior[q.votes(t)] for t in copies], q.np.float32), weight=1 + q.np.log(q.np.array(list(copies.values()), float)))
     for i, t in rows:
         want = 0.0 if not t else 1 / (1 + q.np.exp(-(float(q.features(t.encode()) @ w) + b)))
