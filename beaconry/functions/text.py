@@ -46,11 +46,11 @@ def plausible_company(text: Column) -> Column:
     return F.when(fine, hint).otherwise("")
 
 
-def case_name(name: Column, depth: int = 4) -> Column:
-    """A case's name without parentheses, nested up to `depth`, and without a closing ET AL."""
-    out = F.coalesce(name, F.lit(""))
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"\([^()]*\)", "")
+def case_name(name: Column) -> Column:
+    """A case's name without parentheses, however deeply nested, and without a closing ET AL."""
+    text = F.coalesce(name, F.lit(""))
+    opened = F.length(F.regexp_replace(text, r"[^(]", ""))  # each pass closes one at least
+    out = F.aggregate(F.sequence(F.lit(0), opened), text, lambda x, _: F.regexp_replace(x, r"\([^()]*\)", ""))
     return F.btrim(squeezed(F.regexp_replace(out, r"(?i),?\s*ET\s+AL\.?\s*$", "")), F.lit(" ,"))
 
 

@@ -33,8 +33,12 @@ def edited(state: DataFrame, edits: DataFrame, key: str, rules: dict[str, Column
 
 
 def disposed(queue: DataFrame, decisions: DataFrame) -> DataFrame:
-    """A review queue after decisions (event_id, candidate, accept): every row with that event and candidate, null or not."""
-    d = decisions.select(F.col("event_id").alias("_e"), F.col("candidate").alias("_c"), "accept")
+    """A review queue after decisions (event_id, candidate, accept): every row with that event and candidate, null or not.
+
+    Of several decisions on one, the last counts if they have a column `decided_at`, else an acceptance does.
+    """
+    order = F.struct("decided_at", "accept") if "decided_at" in decisions.columns else F.col("accept")
+    d = decisions.groupBy(F.col("event_id").alias("_e"), F.col("candidate").alias("_c")).agg(F.max_by("accept", order).alias("accept"))
     rows = queue.join(d, (F.col("event_id") == F.col("_e")) & F.col("candidate").eqNullSafe(F.col("_c")), "left")
     return rows.withColumn("disposition", F.when(F.col("accept"), "accepted").when(~F.col("accept"), "rejected").otherwise(F.col("disposition"))).drop("_e", "_c", "accept")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,10 +22,11 @@ def goldens_met(goldens: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def price_at(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Each call (model, day, chars, max_out) with its estimated cost at the price in force that day."""
-    p = prices.select(F.col("model").alias("_m"), "start", "per_million_in", "per_million_out")
-    met = calls.join(F.broadcast(p), (F.col("model") == F.col("_m")) & (F.col("start") <= F.col("day")), "left")
-    last = met.groupBy(*calls.columns).agg(F.max_by(F.struct("per_million_in", "per_million_out"), "start").alias("p"))
-    return last.select(*calls.columns, F.round((F.col("chars") / 4 * F.col("p.per_million_in") + F.col("max_out") * F.col("p.per_million_out")) / 1e6, 9).alias("cost"))
+    until = F.lead("start").over(Window.partitionBy("model").orderBy("start"))
+    p = prices.dropDuplicates(["model", "start"]).select(F.col("model").alias("_m"), "start", until.alias("_until"), "per_million_in", "per_million_out")
+    in_force = (F.col("start") <= F.col("day")) & (F.col("_until").isNull() | (F.col("day") < F.col("_until")))
+    met = calls.join(p, (F.col("model") == F.col("_m")) & in_force, "left")
+    return met.select(*calls.columns, F.round((F.col("chars") / 4 * F.col("per_million_in") + F.col("max_out") * F.col("per_million_out")) / 1e6, 9).alias("cost"))
 
 
 def located(points: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -33,8 +34,8 @@ def located(points: DataFrame, boxes: DataFrame) -> DataFrame:
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     # Boxes are a fixed table of regions.
-    met = points.join(F.broadcast(boxes), inside)
-    return met.groupBy(*points.columns).agg(F.min_by("region", F.struct(area, F.col("region"))).alias("region"))
+    met = points.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(boxes), inside)
+    return met.groupBy(*points.columns, "_row").agg(F.min_by("region", F.struct(area, F.col("region"))).alias("region")).drop("_row")
 
 
 def term_hits(titles: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from ..session import checkpointed
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
@@ -146,16 +148,23 @@ def review_rows(resolutions: DataFrame) -> DataFrame:
     return resolutions.where("status = 'review'").select("event_id", F.explode("candidates").alias("candidate"), F.col("method").alias("reason"), "confidence")
 
 
-def rolled_up(entities: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
+def rolled_up(entities: DataFrame, edges: DataFrame, steps: int = 10) -> DataFrame:
     """entity_id and top: the uppermost active ancestor. The first parent by id counts, else the entity's own hint.
 
-    The walk stops at a parent that isn't in `entities`, and in a cycle at the first node met again.
+    The walk goes on, checkpointed every `steps` steps, until no row moves; it stops at a parent that isn't in
+    `entities`, and in a cycle at the first node met again.
     """
     parents = edges.groupBy(F.col("child").alias("entity_id")).agg(F.min("parent").alias("edge"))
     up = entities.join(parents, "entity_id", "left").select("entity_id", F.coalesce("edge", "parent_id").alias("parent"))
     up = up.join(entities.select(F.col("entity_id").alias("parent")), "parent", "left_semi")
     rows = entities.select("entity_id", F.col("entity_id").alias("top"), F.array("entity_id").alias("seen"), F.lit(False).alias("done"))
-    for _ in range(depth):
+    up, moved = checkpointed(up), 0
+    while True:
+        if moved and moved % steps == 0:
+            rows = checkpointed(rows)
+            if rows.where("not done").isEmpty():
+                return rows.select("entity_id", "top")
+        moved += 1
         step = rows.join(up.select(F.col("entity_id").alias("top"), F.col("parent").alias("next")), "top", "left")
         go = ~F.col("done") & F.col("next").isNotNull()
         again = F.array_contains("seen", F.col("next"))
@@ -165,4 +174,3 @@ def rolled_up(entities: DataFrame, edges: DataFrame, depth: int = 10) -> DataFra
             F.when(go, F.array_append("seen", F.col("next"))).otherwise(F.col("seen")).alias("seen"),
             (F.col("done") | F.col("next").isNull() | F.coalesce(again, F.lit(False))).alias("done"),
         )
-    return rows.select("entity_id", "top")
