@@ -223,7 +223,7 @@ SELECT event_type, count(*) AS docs, count(*) FILTER (len(ids) > 0) AS with_ids,
     "a04_fresh_read": f"""WITH {SIGNALS}, n AS (SELECT status, count(*) AS n FROM signals GROUP BY status),
 c ("case", reason) AS (VALUES ('fresh', ''), ('old', 'expired'), ('other', 'filter mismatch'), ('naive', 'unreadable'), ('none', 'missing'))
 SELECT status, CASE WHEN reason = '' THEN n + 1 ELSE n END AS n, reason, "case" FROM n, c""",
-    "l02_products": """WITH s AS (SELECT l_orderkey AS id, l_linenumber AS i, l_suppkey AS k FROM lineitem), p AS (SELECT s_suppkey AS k, place, CAST((s_nationkey + place) % 5 AS VARCHAR) AS product FROM supplier, range(2) t(place) WHERE s_suppkey % 3 <> 0),
+    "l02_products": """WITH s AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_suppkey AS VARCHAR)) AS i, l_suppkey AS k FROM lineitem), p AS (SELECT s_suppkey AS k, place, CAST((s_nationkey + place) % 5 AS VARCHAR) AS product FROM supplier, range(2) t(place) WHERE s_suppkey % 3 <> 0),
 f AS (SELECT id, product, min((i, place)) AS spot FROM s JOIN p USING (k) GROUP BY ALL)
 SELECT id, products FROM (SELECT DISTINCT id FROM s) LEFT JOIN (SELECT id, string_agg(product, ';' ORDER BY spot, product) AS products FROM f GROUP BY id) USING (id)""",
     "e07_feedback": """WITH f AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'maybe' WHEN quality = 1 THEN 'up' ELSE 'down' END AS verdict, CASE doc_id % 3 WHEN 0 THEN 'stale' WHEN 1 THEN 'odd' END AS r FROM labels)
