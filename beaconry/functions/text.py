@@ -10,6 +10,8 @@ CORPORATE_SUFFIXES = [
     "inc", "incorporated", "corp", "corporation", "co", "company", "llc", "llp", "lp", "plc", "ltd", "limited",
     "holdings", "holding", "group",
 ]
+# Words one of which a company named in a notice's title must have.
+LEGAL_FORMS = ["inc", "incorporated", "llc", "lc", "llp", "lp", "ltd", "limited", "corp", "corporation", "company", "co", "plc"]
 # Tags that count as the watchlist's own industry.
 PEER_INDUSTRIES = ["energy", "energy and utilities", "utilities", "oil and gas"]
 TRACKER_HOSTS = ["ransomware.live"]
@@ -92,7 +94,7 @@ def sentences_with(text: Column, pattern: str, most: int = 2) -> Column:
     return F.slice(F.filter(parts, lambda s: (s != "") & s.rlike(pattern)), 1, most)
 
 
-def named_company(title: Column, suffixes: list[str] = CORPORATE_SUFFIXES) -> Column:
+def named_company(title: Column, suffixes: list[str] = LEGAL_FORMS) -> Column:
     """What stands before the first semicolon, if it reads as a company: 80 characters, two words, a corporate word."""
     part = F.trim(F.substring_index(title, ";", 1))
     tokens = F.filter(F.transform(F.split(part, r"\s+"), lambda t: F.lower(F.regexp_replace(t, r"(?U)[^\w]", ""))), lambda t: t != "")

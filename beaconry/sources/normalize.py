@@ -40,6 +40,61 @@ def catalog(records: DataFrame, cutoff: str) -> DataFrame:
     return rows.select(F.col("v.cveID").alias("native_id"), F.coalesce("v.dateAdded", F.lit("")).alias("event_date")).where(in_window(F.col("event_date"), cutoff, keep_undated=True))
 
 
+def fulltext_hits(pages: DataFrame) -> DataFrame:
+    """Search answers (entity_id, matched_name, JSON `payload`) as a row per entity and hit; a url only for numeric company codes."""
+    hit = "hits array<struct<_id string, _source struct<ciks array<string>, adsh string, file_date string>>>"
+    h = pages.select("entity_id", "matched_name", F.explode(F.from_json("payload", f"hits struct<{hit}>")["hits"]["hits"]).alias("h"))
+    code = F.regexp_replace(F.trim(F.coalesce(F.get("h._source.ciks", F.lit(0)), F.lit(""))), "^0+", "")
+    hit_id = F.coalesce("h._id", F.lit(""))
+    at = F.instr(hit_id, ":")
+    number = F.coalesce(F.nullif(F.substring_index(hit_id, ":", 1), F.lit("")), "h._source.adsh", F.lit(""))
+    file = F.when(at > 0, F.substr(hit_id, at + 1)).otherwise("")
+    url = F.when(code.rlike(r"^\d+$") & (number != ""), F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), code, F.lit("/"), F.replace(number, F.lit("-"), F.lit("")), F.lit("/"), file))
+    return h.select("entity_id", "matched_name", F.concat_ws(":", "entity_id", hit_id).alias("native_id"), F.coalesce("h._source.file_date", F.lit("")).alias("event_date"), F.coalesce(url, F.lit("")).alias("url"))
+
+
+def documents(pages: DataFrame) -> DataFrame:
+    """Pages of a regulator's documents as a row per document, its JSON whole in `payload`."""
+    each = pages.select(F.explode(F.from_json("payload", "results array<string>")["results"]).alias("payload"))
+    field = lambda n: F.coalesce(F.get_json_object("payload", f"$.{n}"), F.lit(""))
+    return each.select(field("document_number").alias("native_id"), field("publication_date").alias("event_date"), field("html_url").alias("url"), "payload")
+
+
+def advisories(items: DataFrame, cutoff: str) -> DataFrame:
+    """Advisories: the last part of the link's path names one, else its guid; unreadable dates stay, undated."""
+    path = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce("link", F.lit(""))), r"^[A-Za-z][\w+.\-]*://[^/?#]*", ""), r"(?s)/*(?:[?#].*)?$", "")
+    slug = F.coalesce(F.nullif(F.substring_index(path, "/", -1), F.lit("")), F.trim("guid"), F.lit(""))
+    return rss_items(items.withColumn("guid", slug), cutoff)
+
+
+def cves(pages: DataFrame) -> DataFrame:
+    """Pages of vulnerabilities, dated by the day they were published."""
+    v = pages.select(F.explode(F.from_json("payload", "vulnerabilities array<struct<cve struct<id string, published string>>>")["vulnerabilities"]).alias("v"))
+    return v.select(F.coalesce("v.cve.id", F.lit("")).alias("native_id"), F.substring(F.trim(F.coalesce("v.cve.published", F.lit(""))), 1, 10).alias("event_date"))
+
+
+def calendar(months: DataFrame, site: str, today: str) -> DataFrame:
+    """Calendar months (year, month, JSON `payload`): dated by the selected zone, else any, else the day of the grid; past days go."""
+    items = "allItems array<struct<url string, day string, dateInfoByTimeZone array<struct<isSelected boolean, eventStartDate string>>>>"
+    rows = months.select("year", "month", F.explode(F.from_json("payload", items)["allItems"]).alias("i"))
+    days = lambda infos: F.get(F.filter(F.transform(infos, lambda x: F.regexp_extract(x["eventStartDate"], r"^(\d{4}-\d{2}-\d{2})", 1)), lambda d: d != ""), F.lit(0))
+    infos, grid = F.col("i.dateInfoByTimeZone"), F.trim("i.day")
+    of_grid = F.when(grid.rlike(r"^\d+$"), F.format_string("%04d-%02d-%02d", "year", "month", grid.cast("int")))
+    day = F.coalesce(days(F.filter(infos, lambda x: x["isSelected"])), days(infos), of_grid, F.lit(""))
+    path = F.trim(F.coalesce("i.url", F.lit("")))
+    out = rows.select(path.alias("native_id"), day.alias("event_date"), F.when(path.startswith("/"), F.concat(F.lit(site), path)).otherwise(path).alias("url"))
+    return out.where((F.col("event_date") == "") | (F.col("event_date") >= today))
+
+
+def awards(pages: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Pages of awards with all four required fields; given `terms` (term), only those whose recipient is one of them, letter case aside."""
+    each = pages.select(F.explode(F.from_json("payload", "results array<string>")["results"]).alias("payload"))
+    names = {"Award ID": "native_id", "Recipient Name": "recipient", "Awarding Agency": "agency", "Start Date": "event_date"}
+    rows = each.select(*(F.trim(F.get_json_object("payload", f"$['{n}']")).alias(a) for n, a in names.items()), "payload")
+    rows = rows.where(" and ".join(f"coalesce({a}, '') <> ''" for a in names.values()))
+    return rows if terms is None else rows.join(terms.select(F.lower("term").alias("_t")), F.lower("recipient") == F.col("_t"), "left_semi")
+
+
 def capacity(records: DataFrame) -> DataFrame:
     """Plant capacity: a key of three parts, blank if any is; periods of a year, month or day as dates."""
     p = F.from_json("payload", "plantid string, generatorid string, period string")
@@ -98,8 +153,13 @@ def listings(records: DataFrame) -> DataFrame:
 
 
 def rss_items(items: DataFrame, cutoff: str) -> DataFrame:
-    """RSS items (title, link, guid, pub_date): the guid else the link names it; unreadable dates stay, undated."""
+    """RSS items (title, link, guid, pub_date): the guid else the link names it; unreadable dates stay, undated.
+
+    Years of two digits up to 68 are of this century.
+    """
     text = F.regexp_replace("pub_date", r"^\s*\w+,\s*", "")
-    at = F.coalesce(F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(text, F.lit("d MMM yy HH:mm:ss Z")))
-    out = items.select(F.coalesce(F.nullif(F.trim("guid"), F.lit("")), F.trim("link")).alias("native_id"), iso(at).alias("event_date"), "title", F.col("link").alias("url"))
+    text = F.regexp_replace(text, r"^(\d{1,2}\s+\w{3}\s+)(69|[7-9]\d)\s", "$119$2 ")
+    text = F.regexp_replace(text, r"^(\d{1,2}\s+\w{3}\s+)(\d{2})\s", "$120$2 ")
+    at = F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss Z"))
+    out = items.select(F.coalesce(F.nullif(F.trim("guid"), F.lit("")), F.trim("link"), F.lit("")).alias("native_id"), iso(at).alias("event_date"), "title", F.col("link").alias("url"))
     return out.where(in_window(F.col("event_date"), cutoff, keep_undated=True))
