@@ -74,6 +74,19 @@ def novel_tokens(authored: Column, source: Column, vocabulary: list[str]) -> Col
     return F.filter(new, lambda t: ~((t == last) & F.exists(known, lambda k: k.startswith(t))))
 
 
+def texts_refreshed(state: DataFrame, candidates: DataFrame, version: str, vocabulary: list[str]) -> DataFrame:
+    """Stored signals (signal_id, version, status, headline) with the headline and version of a newer rule's candidate (signal_id, headline, source).
+
+    Dismissed rows stay, as do those whose new headline has a word that neither the source text nor the vocabulary has.
+    """
+    new = candidates.select("signal_id", F.col("headline").alias("_h"), F.col("source").alias("_s"))
+    rows = state.join(new, "signal_id", "left")
+    sound = F.size(novel_tokens(F.col("_h"), F.col("_s"), vocabulary)) == 0
+    go = F.coalesce(F.col("_h").isNotNull() & ~F.col("version").eqNullSafe(F.lit(version)) & ~F.col("status").eqNullSafe(F.lit("dismissed")) & sound, F.lit(False))
+    out = {"headline": F.when(go, F.col("_h")).otherwise(F.col("headline")), "version": F.when(go, version).otherwise(F.col("version"))}
+    return rows.withColumns(out).drop("_h", "_s")
+
+
 def reconciled(state: DataFrame, processed: DataFrame, emitted: DataFrame) -> DataFrame:
     """Statuses after a run: what its processed events no longer give is retracted, what they give again restored.
 

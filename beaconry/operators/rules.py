@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from .classify import CANDIDATE, OFFICER_ITEM
 
-RULE = [*CANDIDATE, "name_hint", "locators"]
+RULE = [*CANDIDATE, "name_hint", "locators", "tier"]
 
 # Verbs and titles of appointments.
 APPOINTING = ["appoints", "names", "hires", "taps", "promotes", "elevates", "welcomes"]
@@ -33,6 +33,18 @@ CYBER_PHRASES = [
     "data security incident", "data-security incident", "security breach", "network breach", "security incident", "ransomware",
     "unauthorized access", "malware attack", "information security incident", "data theft",
 ]
+# Further verbs that the security press uses, and marks of an attacker's claim.
+PRESS_VERBS = [
+    *(v for v in VICTIM_VERBS if not v.startswith(("statement", "updates"))), "confirmed", "disclosed", "announced", "reported", "notified",
+    r"responding\s+to", r"hit\s+by", r"struck\s+by", r"impacted\s+by", r"affected\s+by", r"targeted\s+by",
+]
+CLAIM = (
+    r"(?i)claims?\s+to\s+have\s+(?:breached|hacked|stolen|attacked|hit)|claims?\s+(?:responsibility|the\s+breach)|(?:data\s+)?leak\s+site|"
+    r"(?:up\s+for|put\s+up\s+for|offered\s+for|listed\s+for)\s+sale|data\s+for\s+sale|extortion\s+(?:attempt|demand|scheme)?|"
+    r"ransomware\s+gang\s+claims|allegedly\s+(?:breached|hacked|stole)"
+)
+CLAIM_SOURCES = ["bleepingcomputer"]
+CORROBORATED, UNCONFIRMED = "corroborated", "unconfirmed_early_warning"
 # Agencies, terms and confidences of the rule on regulators' documents.
 ENERGY_AGENCY, TRANSPORT_AGENCY = "federal-energy-regulatory-commission", "transportation-security-administration"
 RULEMAKING = ["Rule", "Proposed Rule"]
@@ -73,13 +85,13 @@ def _cited(*pieces: Column) -> Column:
     return F.filter(F.array(*pieces), lambda e: e["text"].isNotNull())
 
 
-def _card(trigger: str, headline: Column, confidence, cited: Column, scope="account", hint: Column | None = None, entity: Column | None = None, order: int = 0) -> Column:
+def _card(trigger: str, headline: Column, confidence, cited: Column, scope="account", hint: Column | None = None, entity: Column | None = None, order: int = 0, tier: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(
         F.lit(trigger).alias("trigger_id"), as_column(scope).alias("scope"), (none if entity is None else entity).alias("entity_id"), headline.alias("headline"),
         F.transform(cited, lambda e: e["text"]).alias("evidence"), as_column(confidence).cast("double").alias("confidence"), F.lit(order).alias("order"),
-        (none if hint is None else hint).alias("name_hint"), F.transform(cited, lambda e: e["locator"]).alias("locators"),
+        (none if hint is None else hint).alias("name_hint"), F.transform(cited, lambda e: e["locator"]).alias("locators"), (none if tier is None else tier).alias("tier"),
     )
 
 
@@ -139,7 +151,52 @@ def company_statements(press: DataFrame) -> DataFrame:
     rows = press.withColumn("_t", t.plain_text(F.coalesce("title", F.lit(""))))
     company, rest = _grammar(F.col("_t"), VICTIM_VERBS)
     rows = rows.where(rest.rlike(f"(?i){'|'.join(CYBER_PHRASES)}")).withColumn("_who", t.plausible_company(company)).where("_who <> ''")
-    return _emitted(rows, _card("own_incident", F.col("_t"), 0.85, _cited(_piece(F.col("_t"), "title")), hint=F.col("_who")))
+    return _emitted(rows, _card("own_incident", F.col("_t"), 0.85, _cited(_piece(F.col("_t"), "title")), hint=F.col("_who"), tier=F.lit("confirmed")))
+
+
+def leak_listings(listings: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """Victim listings (crew, victim, industry) by how the victim's name was resolved (raw_event_id, status, entity_id, confidence).
+
+    A match gives the account's own card; no match a peer's if the industry tag is the watchlist's; what needs review gives none.
+    """
+    rows = listings.withColumn("victim", blank(F.col("victim"))).where("victim <> ''").join(resolutions.select("raw_event_id", "status", "entity_id", F.col("confidence").alias("_sure")), "raw_event_id")
+    rows = rows.withColumns({"event_date": F.substring(F.coalesce("event_date", F.lit("")), 1, 10), "crew": blank(F.col("crew"))})
+    site = F.when(F.col("crew") != "", F.concat(F.lit("the "), "crew", F.lit(" ransomware leak site"))).otherwise("a ransomware leak site")
+    seen = F.when(F.col("event_date") != "", F.concat(F.lit(", discovered "), "event_date")).otherwise("")
+    listed = F.concat(F.lit('ransomware.live lists "'), "victim", F.lit('" '))
+    own = F.concat(listed, F.lit("as a victim on "), site, seen, F.lit("."))
+    peer = F.concat(listed, F.lit("on a ransomware leak site"), seen, F.lit(". Unverified: no company, regulator, or SEC confirmation."))
+    tier = F.lit(UNCONFIRMED)
+    return _emitted(
+        rows,
+        F.when(F.col("status") == "matched", _card("own_incident", F.concat(F.lit("Listed on "), site, F.lit(" - unverified early warning")), F.least(F.lit(0.5), "_sure"), _cited(_piece(own, "victim")), entity=F.col("entity_id").cast("string"), tier=tier)),
+        F.when((F.col("status") == "none") & t.is_peer_industry(F.col("industry")), _card("peer_incident", F.concat(F.lit("Sector peer "), "victim", F.lit(" listed on a ransomware leak site - unverified early warning")), 0.45, _cited(_piece(peer, "victim")), "sector", order=1, tier=tier)),
+    )
+
+
+def press_disclosures(press: DataFrame) -> DataFrame:
+    """Security press titles with `name`: the company that discloses an incident; '' if its name is garbled, null where none does."""
+    rows = press.withColumn("title", t.plain_text(F.coalesce("title", F.lit(""))))
+    company, rest = _grammar(F.col("title"), PRESS_VERBS)
+    return rows.withColumn("name", F.when(rest.rlike(f"(?i){'|'.join(CYBER_PHRASES)}"), t.plausible_company(company)))
+
+
+def press_incidents(disclosures: DataFrame, resolutions: DataFrame, tier: str = CORROBORATED) -> DataFrame:
+    """`press_disclosures` (with `source`) by how their names were resolved; some sources' claims without a company give an unnamed peer.
+
+    A name without a resolution, like one that needs review, gives no card.
+    """
+    found = resolutions.select("raw_event_id", "status", "entity_id", F.col("confidence").alias("_sure"))
+    rows = disclosures.where("title <> ''").join(found, "raw_event_id", "left").withColumn("event_date", F.substring(F.coalesce("event_date", F.lit("")), 1, 10))
+    named, title = F.coalesce(F.col("name"), F.lit("")) != "", F.col("title")
+    said = F.concat(F.lit("Security-press reporting indicates "), "name", F.lit(" disclosed a cybersecurity incident. Industry match is unverified."))
+    claim = F.lit("Security-press reporting references an unverified attacker or leak-site breach claim against an organization.")
+    return _emitted(
+        rows,
+        F.when(named & (F.col("status") == "matched"), _card("own_incident", title, F.least(F.lit(0.7), "_sure"), _cited(_piece(title, "title")), entity=F.col("entity_id").cast("string"), tier=F.lit(tier))),
+        F.when(named & (F.col("status") == "none"), _card("peer_incident", F.concat(F.lit("Possible sector peer: "), "name", F.lit(" disclosed a cybersecurity incident - security-press reported")), 0.6, _cited(_piece(said, "source")), "sector", order=1, tier=F.lit(tier))),
+        F.when(F.col("name").isNull() & F.col("source").isin(CLAIM_SOURCES) & title.rlike(CLAIM), _card("peer_incident", F.lit("Possible sector peer named in an unverified breach claim - early warning"), 0.45, _cited(_piece(claim, "source")), "sector", order=2, tier=F.lit(UNCONFIRMED))),
+    )
 
 
 def regulatory_documents(documents: DataFrame) -> DataFrame:
@@ -248,6 +305,8 @@ RULES = {
     "appointments": Rule("1.0", ["presswire"], appointments),
     "officer_filings": Rule("1.0", ["filings"], officer_filings),
     "company_statements": Rule("1.0", ["presswire"], company_statements),
+    "leak_listings": Rule("1.2", ["ransomware_live"], leak_listings),
+    "press_incidents": Rule("1.2", ["the_record", "bleepingcomputer"], press_incidents),
     "regulatory_documents": Rule("1.1", ["federal_register"], regulatory_documents),
     "settled_decrees": Rule("1.0", ["epa_echo"], settled_decrees),
     "qualifying_awards": Rule("1.0", ["usaspending"], qualifying_awards),

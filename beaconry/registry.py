@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLES.
-PLANS = ["scoring", "feed", "precision", "resolve", "ingest", "text", "classify", "reports", "worklists", "rules"]
+PLANS = ["scoring", "feed", "precision", "resolve", "ingest", "text", "classify", "reports", "worklists", "rules", "obligations"]
 
 
 def _plans():
