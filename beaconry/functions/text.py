@@ -1,9 +1,13 @@
-"""Text predicates and projections: column in, column out, all of it inside whole-stage code."""
+"""Text predicates and projections: column in, column out, inside whole-stage code but for HTML's entities (an Arrow UDF)."""
 
 from __future__ import annotations
 
+import html as _html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Trailing corporate words dropped from names.
 CORPORATE_SUFFIXES = [
@@ -33,12 +37,15 @@ def normalized_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(squeezed(spaced), rf"(?:(?:^|\s)(?:{words}))+$", ""))
 
 
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Numeric and all named entities of HTML resolved; null stays."""
+    return text.map(_html.unescape, na_action="ignore")
+
+
 def plain_text(html: Column) -> Column:
-    """Tags out, the common entities resolved, white space squeezed."""
-    out = F.regexp_replace(html, r"<[^>]+>", " ")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(sign))
-    return squeezed(out)
+    """Tags out, entities resolved, white space squeezed; null stays."""
+    return squeezed(unescaped(F.regexp_replace(html, r"<[^>]+>", " ")))
 
 
 def plausible_company(text: Column) -> Column:
