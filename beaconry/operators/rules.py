@@ -59,6 +59,9 @@ AWARDING_PART = "cybersecurity and infrastructure security agency"
 # Case types with their confidence.
 CASE_TYPES = {"Corrective Action Order": 0.85, "Notice of Probable Violation": 0.8, "Warning Letter": 0.7}
 CASE_SUBSECTORS = ["midstream", "lng"]
+# Words of a deal, and words of market talk that rule a title out.
+DEAL = r"(?iU)\b(?:mergers?|merged|merges|merging|acquisitions?|acquires?|acquired|acquiring|divestitures?|divests?|divesting|takeovers?|to\s+buy|combines\s+with)\b"
+MARKET_TALK = r"(?iU)\b(?:stocks?|shares?|price\s+targets?|dividends?|watchlist|bullish|bearish|earnings|buy\s+and\s+hold|hand\s+over\s+fist|underperforming|rallied)\b"
 
 DOCUMENT = (
     "title string, abstract string, type string, publication_date string, effective_on string, comments_close_on string, "
@@ -294,6 +297,21 @@ def pipeline_cases(cases: DataFrame, resolutions: DataFrame, tops: DataFrame, en
     return _emitted(rows, _card("pipeline_enforcement_action", headline, F.least(sure, F.col("_sure")), cited, entity=F.col("entity_id").cast("string")))
 
 
+def deals(articles: DataFrame, terms: list[str]) -> DataFrame:
+    """Article titles on a deal, not on the market, with a card per watchlist term named: a trial that is reported, not stored.
+
+    `terms` is a configured list: it becomes one pattern, in which longer terms win over shorter ones at the same place.
+    """
+    rows = articles.withColumn("_t", t.squeezed(F.coalesce("title", F.lit("")))).where(F.col("_t").rlike(DEAL) & ~F.col("_t").rlike(MARKET_TALK))
+    listed = sorted(terms, key=lambda x: (-len(x), x))
+    pattern = r"(?iU)\b(?:" + "|".join(r"\s+".join(rf"\Q{w}\E" for w in x.split()) for x in listed) + r")\b" if listed else r"$^"
+    hits = F.regexp_extract_all("_t", F.lit(pattern), 0)
+    first = F.filter(hits, lambda x, i: ~F.exists(F.slice(hits, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
+    rows = rows.withColumn("_term", F.explode(first))
+    headline = t.cut_to(F.concat("_term", F.lit(" in M&A coverage: "), "_t"), 140)
+    return _emitted(rows, _card("ma_divestiture", headline, 0.6, _cited(_piece(F.col("_t"), "title")), hint=F.col("_term")))
+
+
 class Rule(NamedTuple):
     version: str
     sources: list[str]
@@ -310,5 +328,6 @@ RULES = {
     "regulatory_documents": Rule("1.1", ["federal_register"], regulatory_documents),
     "settled_decrees": Rule("1.0", ["epa_echo"], settled_decrees),
     "qualifying_awards": Rule("1.0", ["usaspending"], qualifying_awards),
+    "deals": Rule("0.1", ["gdelt"], deals),
     "pipeline_cases": Rule("1.0", ["phmsa"], pipeline_cases),
 }

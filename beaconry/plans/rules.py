@@ -109,6 +109,27 @@ def c14_pipeline_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(rules.pipeline_cases(cases, found, resolve.rolled_up(entities, edges), entities), "entity_id", "headline")
 
 
+DEAL_TITLES = "CASE k % 5 WHEN 0 THEN 'Building  acquires Machinery ; BUILDING rises' WHEN 1 THEN 'Automobile stocks: merger ahead' WHEN 2 THEN 'Furniture deal expires' WHEN 3 THEN 'Household Goods of ' || o_custkey || ' to   buy Rebuilding' END"
+
+
+def c11_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11: deals in titles, one card per term named."""
+    terms = ["building", "machinery", "automobile", "furniture", "household", "household goods"]
+    return _told(rules.deals(_orders(spark, sf_dir, {"title": DEAL_TITLES}), terms), "name_hint", "headline")
+
+
+def s10_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of all pages and its hash, whole."""
+    return normalize.page_snapshots(table(spark, sf_dir, "pages").where("url is not null"))
+
+
+def s16_listing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as listings, a third of them keyed by a hash of their sorted JSON."""
+    own, day = "CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS STRING) ELSE '' END", "date_format(ts, 'yyyy-MM-dd HH:mm:ss')"
+    payload = f"to_json(named_struct('victim', CAST(event_id AS STRING), 'id', {own}, 'group', event_type, 'discovered', CASE WHEN event_id % 2 = 0 THEN {day} ELSE '' END, 'attackdate', {day}, 'activity', 'energy'))"
+    return normalize.listings(table(spark, sf_dir, "events").select(F.expr(payload).alias("payload")))
+
+
 def s02_fulltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as search answers of two hits, with padded, wordy and missing company codes."""
     code = "CASE p_partkey % 4 WHEN 0 THEN array('000' || p_partkey) WHEN 1 THEN array('x1') WHEN 2 THEN array() ELSE array(CAST(p_partkey AS STRING), '7') END"
@@ -149,8 +170,8 @@ def s15_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    c01_appointments, c02_officer_filings, c04_company_statements, c08_regulatory, c12_decrees, c13_awards, c14_pipeline_cases,
-    s02_fulltext, s03_documents, s05_advisories, s07_cves, s12_calendar, s15_awards,
+    c01_appointments, c02_officer_filings, c04_company_statements, c08_regulatory, c11_deals, c12_decrees, c13_awards, c14_pipeline_cases,
+    s02_fulltext, s03_documents, s05_advisories, s07_cves, s10_page_texts, s12_calendar, s15_awards, s16_listing_keys,
 )}
 
 _RAW = "SELECT *, o_orderkey AS k, 'r' || o_orderkey AS raw_event_id, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders"
@@ -201,6 +222,14 @@ UNION ALL SELECT raw_event_id, 'nerc_enforcement', 'account', 'Acme ' || k || '
 c AS (SELECT *, CASE k % 5 WHEN 0 THEN 'Corrective Action Order' WHEN 1 THEN 'Notice of Probable Violation' ELSE 'Warning Letter' END AS kind FROM ({_RAW}) JOIN t ON e = o_custkey WHERE k % 5 < 3 AND k % 13 <> 0 AND k % 4 <> 0 AND s IN ('BUILDING', 'MACHINERY'))
 SELECT raw_event_id, 'pipeline_enforcement_action' AS trigger_id, CAST(e AS VARCHAR) AS entity_id, 'PHMSA ' || kind || ': Customer ' || e AS headline, least(CASE k % 5 WHEN 0 THEN 0.85e0 WHEN 1 THEN 0.8e0 ELSE 0.7e0 END, CASE WHEN k % 3 = 0 THEN 0.75e0 ELSE 1e0 END) AS confidence,
  concat_ws(' / ', 'CPF ' || k || ': ' || kind || ' against Customer ' || e, CASE WHEN k % 2 = 0 THEN 'Opened 1/2/01' END, 'Severity: ' || kind) AS evidence, CASE WHEN k % 2 = 0 THEN 'case,opened_date,severity' ELSE 'case,severity' END AS locators FROM c""",
+    "c11_deals": f"""WITH a AS (SELECT *, regexp_replace({DEAL_TITLES}, '\\s+', ' ', 'g') AS t FROM ({_RAW}) WHERE k % 5 IN (0, 3)), h AS (SELECT *, unnest(CASE WHEN k % 5 = 0 THEN ['Building', 'Machinery'] ELSE ['Household Goods'] END) AS term FROM a)
+SELECT raw_event_id, 'ma_divestiture' AS trigger_id, term AS name_hint, term || ' in M&A coverage: ' || t AS headline, 0.6e0 AS confidence, t AS evidence, 'title' AS locators FROM h""",
+    "s10_page_texts": r"""WITH a AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages WHERE url IS NOT NULL),
+b AS (SELECT url, regexp_replace(h, '<[^>]+>', ' ', 'g') AS h FROM a), t AS (SELECT url, trim(regexp_replace(replace(replace(replace(replace(h, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b)
+SELECT url, text, sha256(url || chr(10) || text) AS content_hash FROM t""",
+    "s16_listing_keys": """WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') AS day, CAST(event_id AS VARCHAR) AS v FROM events)
+SELECT CASE WHEN event_id % 3 <> 0 THEN v ELSE 'h:' || substr(sha256('{"activity":"energy","attackdate":"' || day || '","discovered":"' || CASE WHEN event_id % 2 = 0 THEN day ELSE '' END || '","group":"' || event_type || '","id":"","victim":"' || v || '"}'), 1, 24) END AS native_id,
+ day[:10] AS event_date, event_type AS crew, v AS victim, 'energy' AS industry FROM e""",
     "s02_fulltext": """WITH h AS (SELECT *, unnest(['0-' || p_partkey || ':a:b.htm', '9-' || p_size]) AS id FROM part)
 SELECT p_partkey AS entity_id, p_partkey || ':' || id AS native_id, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '2001-02-03' END AS event_date,
  CASE WHEN p_partkey % 4 IN (0, 3) AND p_partkey > 0 THEN 'https://www.sec.gov/Archives/edgar/data/' || p_partkey || '/' || CASE WHEN starts_with(id, '0') THEN '0' || p_partkey || '/a:b.htm' ELSE '9' || p_size || '/' END ELSE '' END AS url FROM h""",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..operators.classify import identified
 from ..operators.state import upserted
 
 
@@ -38,6 +39,17 @@ def upsert_stream(events: DataFrame, table: VersionedTable, checkpoint: str, key
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def classify_stream(events: DataFrame, rule, table: VersionedTable, checkpoint: str) -> StreamingQuery:
+    """Applies a rule to the new events of a stream: signals that the table hasn't got by id are added, stored ones stay as they are."""
+
+    def step(batch: DataFrame, n: int) -> None:
+        old = table.read(n - 1)
+        new = identified(rule(batch)).select(old.columns).join(old.select("signal_id"), "signal_id", "left_anti")
+        table.write(old.unionByName(new), n)
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def daily_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
     """Counts per day and source of a stream with a watermark: a day is given once no event of it may come any more."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")

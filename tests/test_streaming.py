@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from beaconry.operators import rules
 from beaconry.operators.state import upserted
 from beaconry.streaming import ingest
 
@@ -35,3 +36,16 @@ def test_upserts_repeat_and_do_not_mind_order(spark):
     assert rows == [("a", 1.0, 1, 5), ("b", 2.0, 3, 4), ("c", None, 7, 7)]
     again = upserted(once, batch.orderBy(F.desc("o")).repartition(3), "key", "o", ["payload", "first_seen"], ["last_seen"])
     assert sorted(map(tuple, again.collect())) == rows
+
+
+def test_a_rule_over_a_stream_adds_each_signal_once(spark, tmp_path):
+    schema = "raw_event_id string, title string, event_date string"
+    titles = [[("a", "Norwind confirms data breach", None), ("b", "Rain", None)], [("a", "Norwind confirms data breach again", None), ("c", "Sudwind reports cyber-attack", "2024-01-02")]]
+    for rows in titles:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    table = ingest.VersionedTable(spark, str(tmp_path / "state"), "signal_id string, name_hint string, confidence double")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = ingest.classify_stream(stream, rules.company_statements, table, str(tmp_path / "ck"))
+    query.awaitTermination()
+    got = sorted(map(tuple, table.read(query.lastProgress["batchId"]).collect()))
+    assert got == [("own_incident:a:account", "Norwind", 0.85), ("own_incident:c:account", "Sudwind", 0.85)]
