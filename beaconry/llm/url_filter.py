@@ -103,17 +103,19 @@ def cascade(listed: DataFrame, others: DataFrame) -> list[Level]:
     levels: list[Level] = []
     inside, outside = listed.cache(), others.cache()
     kept = [inside, outside]
-    n = inside.count()
-    while n:
-        level = level_of(inside, n, 1 + len(levels))
-        levels.append(level)
-        if len(levels) > MAX_LEVELS:
-            raise ValueError("the cascade doesn't end: a key is listed both ways")
-        inside, outside = outside.where(holds(F.col("key"), level)).cache(), inside
-        kept.append(inside)
+    try:
         n = inside.count()
-    for x in kept:
-        x.unpersist()
+        while n:
+            level = level_of(inside, n, 1 + len(levels))
+            levels.append(level)
+            if len(levels) > MAX_LEVELS:
+                raise ValueError("the cascade doesn't end: a key is listed both ways")
+            inside, outside = outside.where(holds(F.col("key"), level)).cache(), inside
+            kept.append(inside)
+            n = inside.count()
+    finally:
+        for x in kept:
+            x.unpersist()
     return levels
 
 
@@ -139,8 +141,9 @@ def judged(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: s
     own = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     rows = [(k, k in blocking) for k in sorted(listed)]
     table = spark.createDataFrame(rows, "key string, block boolean")
-    universe = own.select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key")).distinct()
-    others = universe.where(~F.col("key").isin(sorted(listed))) if len(listed) <= 1000 else universe.join(table, "key", "left_anti")
+    universe = own.select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key"), F.lit(False).alias("listed"))
+    marked = universe.unionByName(table.select("key", F.lit(True).alias("listed"))).groupBy("key").agg(F.max("listed").alias("listed"))
+    others = marked.where("not listed").select("key")
     known = cascade(table.select("key"), others)
     blocks = cascade(table.where("block").select("key"), table.where(~F.col("block")).select("key"))
     fits = unused(own, "fits")

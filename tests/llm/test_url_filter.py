@@ -63,3 +63,14 @@ def test_edges(spark):
     assert [r["verdict"] for r in u.judged(one, [u.Rule("org", "/", True)]).collect()] == ["block", "block"]
     with pytest.raises(ValueError, match="bound"):
         u.level_of(one.select(F.col("url").alias("key")), 10**9, 1)
+
+
+def test_long_lists_take_the_same_way(spark):
+    rules = [u.Rule(f"h{i}.org", "/" if i % 2 else "/x", i % 3 == 0) for i in range(3000)]
+    pages = spark.createDataFrame([(i, f"http://a.h{i}.org/x{i}") for i in range(0, 4000, 7)], "page_id long, url string")
+    out = u.judged(pages, rules)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        i = r["page_id"]
+        rule = rules[i] if i < 3000 else None
+        assert (r["rule"], r["verdict"]) == ((rule.key, "block" if rule.block else "allow") if rule else (None, "allow"))
