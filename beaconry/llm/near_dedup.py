@@ -255,7 +255,8 @@ def links(classes: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
     banded = classes.select("rep", F.posexplode("bands").alias("i", "band"))
     buckets = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("band")
     members = banded.join(buckets, "band", "left_semi").join(classes.select("rep", "n_shingles", "sketch"), "rep")
-    members = staged(alike(staged(members, "buckets"), threshold, least_estimate(threshold), "sketch"), "alike")
+    members = staged(members, "buckets")
+    members = staged(alike(members, members, threshold, least_estimate(threshold), "sketch"), "alike")
     ends = members.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     sketch = staged(members.select("rep", "n_shingles", "sketch").distinct(), "sketches")
     sets = staged(sets_of(texts, sketch.select("rep"), k), "sets")
@@ -279,24 +280,28 @@ def links(classes: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
         if links_found * WORTH_A_ROUND < tries or not links_found:
             break
 
-    # A bucket whose members are all of one component has nothing left to find.
+    # A bucket whose members are all of one component has nothing left to find. Of any pair of different
+    # components one is outside the bucket's largest, so the members of the largest never meet each other.
     left = placed_in(members, parts)
-    open_buckets = left.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("band")
-    left = staged(left.join(open_buckets, "band", "left_semi"), "left")
+    open_buckets = largest(left).where("parts > 1").select("band", "of")
+    left = staged(left.join(open_buckets, "band").withColumn("inner", F.col("part") == F.col("of")).drop("of"), "left")
     fine = staged(finer(sets.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "fine")
     cut = least_estimate(threshold, FINE, 1, FINE_SIGMAS)
-    left = staged(alike(left.join(fine.withColumnRenamed("doc_id", "rep"), "rep"), threshold, cut, "fine", "part"), "left")
+    left = staged(left.join(fine.withColumnRenamed("doc_id", "rep"), "rep"), "left")
+    outer = left.where("not inner")
+    near_outer = alike(left.where("inner"), outer, threshold, cut, "fine", "part")
+    left = staged(near_outer.unionByName(alike(outer, left, threshold, cut, "fine", "part")), "left")
     rare = rare_first(sets.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), threshold)
     short = classes.select("rep", F.transform("bands", lambda b: F.hash(b)).alias("bands"))
     left = staged(left.join(rare.withColumnRenamed("doc_id", "rep"), "rep").join(short, "rep"), "left")
-    side = lambda n: left.select("i", "band", *(F.col(c).alias(f"{c}_{n}") for c in ("rep", "part", "n_shingles", "fine", "rare", "bands")))
+    side = lambda n: left.select("i", "band", "inner", *(F.col(c).alias(f"{c}_{n}") for c in ("rep", "part", "n_shingles", "fine", "rare", "bands")))
     first = F.array_position(F.zip_with("bands_x", "bands_y", lambda p, q: p == q), True) == F.col("i") + 1
-    near = (F.col("rep_x") < F.col("rep_y")) & (F.col("part_x") != F.col("part_y")) & like("n_shingles_x", "n_shingles_y", threshold)
+    near = (F.col("inner") | (F.col("rep_x") < F.col("rep_y"))) & (F.col("part_x") != F.col("part_y")) & like("n_shingles_x", "n_shingles_y", threshold)
     near &= estimate(F.col("fine_x"), F.col("fine_y"), FINE, 1) >= cut
     least = F.ceil(threshold * (F.col("n_shingles_x") + F.col("n_shingles_y")) / (100 + threshold) - 1e-9).cast("int")  # shared, if linked
     start = lambda n: F.slice(f"rare_{n}", F.lit(1), F.greatest(F.lit(0), F.col(f"n_shingles_{n}").cast("int") - least + 1))
-    rest = side("x").join(side("y").drop("i"), "band").where(near & first & F.arrays_overlap(start("x"), start("y")))
-    rest = staged(rest.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct(), "pairs")
+    rest = side("x").where("not inner").drop("inner").join(side("y").drop("i"), "band").where(near & first & F.arrays_overlap(start("x"), start("y")))
+    rest = staged(rest.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct(), "pairs")
     found = staged(confirmed(rest, sets, threshold), "links")
     return parts if found.isEmpty() else components(as_edges(parts).unionByName(found))
 
@@ -306,14 +311,20 @@ def like(n: str, m: str, threshold: int) -> Column:
     return 100 * F.least(F.col(n), F.col(m)) >= threshold * F.greatest(F.col(n), F.col(m))
 
 
-def alike(members: DataFrame, threshold: int, cut: float, sketch: str, part: str = "rep") -> DataFrame:
-    """The rows of bucket members to which another of the bucket (and of another `part`) comes near: one such is enough."""
+def alike(members: DataFrame, others: DataFrame, threshold: int, cut: float, sketch: str, part: str = "rep") -> DataFrame:
+    """The rows of bucket members to which one of the others in the bucket (and of another `part`) comes near: one such is enough."""
     bits, codes = (1, FINE) if sketch == "fine" else (B, CODES)
-    other = members.select("band", *(F.col(c).alias(f"_{c}") for c in {"n_shingles", sketch, part}))
-    near = (members["band"] == other["band"]) & (F.col(part) != F.col(f"_{part}")) & like("n_shingles", "_n_shingles", threshold)
+    other = others.select(*(F.col(c).alias(f"_{c}") for c in ("band", "n_shingles", sketch, part)))
+    near = (F.col("band") == F.col("_band")) & (F.col(part) != F.col(f"_{part}")) & like("n_shingles", "_n_shingles", threshold)
     return members.join(other, near & (estimate(F.col(sketch), F.col(f"_{sketch}"), codes, bits) >= cut), "left_semi")
 
 
+def largest(placed: DataFrame) -> DataFrame:
+    """Per bucket its part with the most members as `of`, and the number of its parts."""
+    counts = placed.groupBy("band", "part").count()
+    return counts.groupBy("band").agg(F.max_by("part", F.struct("count", -F.col("part"))).alias("of"), F.count("*").alias("parts"))
+
+
 def likeliest(pairs: DataFrame, sketch: DataFrame, threshold: int) -> DataFrame:
     """rep, hub and likeness of those pairs whose sizes and sketches may reach the threshold."""
     hub = sketch.select(F.col("rep").alias("hub"), F.col("n_shingles").alias("_m"), F.col("sketch").alias("_x"))
@@ -336,8 +347,7 @@ def to_centres(placed: DataFrame, edges: DataFrame, sketch: DataFrame, threshold
     degree = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
     nodes = placed.select("part", "rep").distinct().join(degree, "rep", "left")
     centres = nodes.groupBy("part").agg(F.max_by("rep", F.struct(F.coalesce("count", F.lit(0)), -F.col("rep"))).alias("hub"))
-    largest = placed.groupBy("band", "part").count().groupBy("band").agg(F.max_by("part", F.struct("count", -F.col("part"))).alias("of"))
-    pairs = placed.select("band", "rep", "part").join(largest, "band").where("part <> of").select("rep", "of").distinct()
+    pairs = placed.select("band", "rep", "part").join(largest(placed), "band").where("part <> of").select("rep", "of").distinct()
     pairs = pairs.join(centres.withColumnRenamed("part", "of"), "of").where("rep <> hub").select("rep", "hub").distinct()
     return likeliest(pairs, sketch, threshold).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
