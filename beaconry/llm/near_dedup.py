@@ -211,11 +211,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest reachable node), by alternating large and small stars.
 
-    Each round is written to the shared folder; hubs are handled by minima per node, joined back.
+    Each round is written to the shared folder; hubs are handled by minima per node, joined back. It ends when all
+    edges are stars about their smallest node.
     """
     e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
     while True:
+        roles = e.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("below")), F.struct(F.col("v").alias("n"), F.lit(0).alias("below")))).alias("x"))
+        tangled = roles.groupBy("x.n").agg(F.sum("x.below").alias("below"), F.count("*").alias("edges")).where("below > 0 and edges > 1")
+        if not tangled.count():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -223,10 +227,6 @@ def components(edges: DataFrame) -> DataFrame:
         linked = large.join(least, "u")
         small = linked.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         e = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
-        if now == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = now
 
 
 def grouped(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
