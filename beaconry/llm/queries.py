@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, mixing, near_dedup, quality, sharding, token_records, toxicity, url_filter, vectors, warc
+from . import decontaminate, filter_audit, hard_negatives, mixing, near_dedup, quality, sharding, token_records, toxicity, url_filter, vectors, warc
 from .common import table
 
 SHARDS = 8
@@ -91,6 +91,12 @@ def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How five filters interact in all 120 orders, from a stream over all files of the documents."""
+    labels = table(spark, sf_dir, "labels")
+    return filter_audit.audited(filter_audit.streamed(spark, f"{sf_dir}/documents.parquet"), labels)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector among all others, scored exactly by subset-sum tables."""
     rows = table(spark, sf_dir, "embeddings")
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pfair_mix": op8_pfair_mix,
     "op9_weak_quality": op9_weak_quality,
     "op10_bounded_ring": op10_bounded_ring,
+    "op12_filter_audit": op12_filter_audit,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -160,6 +167,31 @@ r (rhost, rpath, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es
 m AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
       FROM v JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM v LEFT JOIN m USING (page_id)""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             map {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+                  'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > first_id, false)} AS m
+      FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, good, toxic, m, count(*) AS n FROM f GROUP BY ALL),
+x (a) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT p.a || q.a || r.a || s.a || t.a AS filter_order FROM x p, x q, x r, x s, x t
+      WHERE len(list_distinct([p.a, q.a, r.a, s.a, t.a])) = 5),
+e AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+y AS (SELECT part, filter_order, step, good, toxic, n, m[filter_order[step]] AS fails,
+             len([z FOR z IN string_split(filter_order[1:step - 1], '') IF m[z]]) > 0 AS gone,
+             len([z FOR z IN map_values(m) IF z]) AS many
+      FROM c, e),
+g AS (SELECT part, filter_order, step, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails AND many = 1 THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN fails AND NOT gone AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone AND toxic THEN n ELSE 0 END) AS toxic_lost
+      FROM y GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley
+FROM g""",
     "op13_hard_negatives": """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
