@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, hard_negatives, mixing, near_dedup, quality, sharding, token_records, toxicity, url_filter, vectors, warc
+from . import decontaminate, filter_audit, hard_negatives, mixing, near_dedup, phrases, quality, sharding, token_records, toxicity, url_filter, vectors, warc
 from .common import table
 
 SHARDS = 8
@@ -91,6 +91,11 @@ def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op11_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts by locally consistent parsing."""
+    return phrases.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How five filters interact in all 120 orders, from a stream over all files of the documents."""
     labels = table(spark, sf_dir, "labels")
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pfair_mix": op8_pfair_mix,
     "op9_weak_quality": op9_weak_quality,
     "op10_bounded_ring": op10_bounded_ring,
+    "op11_phrase_fingerprints": op11_phrase_fingerprints,
     "op12_filter_audit": op12_filter_audit,
     "op13_hard_negatives": op13_hard_negatives,
 }
