@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLES.
-PLANS = ["scoring", "feed", "precision", "resolve", "ingest", "text", "classify", "reports", "worklists", "rules", "obligations", "licences", "displays"]
+PLANS = [
+    "scoring", "feed", "precision", "resolve", "ingest", "text", "classify", "reports", "worklists", "rules", "obligations", "licences", "displays",
+    "tables",
+]
 
 
 def _plans():
