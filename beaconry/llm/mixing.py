@@ -5,17 +5,16 @@ floor(j * P / w) and due by ceil((j + 1) * P / w). In each slot, of the released
 As the shares fill the period exactly, every block meets its window, so after any number of slots a
 source's blocks deviate from its weight's part by less than one block.
 
-Weights are taken exactly: floats as the decimals that they print as. Their common period is what the schedule repeats, so
-one period is made on the driver (it depends on the weights, not on the size of the data) and a document finds its
-slot from its block's number alone: slot = period * P + the share's offset. Weights without a common period of
-`PERIOD` slots or fewer are rounded to parts of `PERIOD`: then a source leaves its given weight by at most one
-block in `PERIOD` slots.
+Weights are taken exactly, floats as the decimals that they print as, and windows are found in whole numbers of any length. Where the
+period is short, one period is made and repeated: it depends on the weights alone. Otherwise every block of the table is scheduled;
+blocks are made so long that there are `MOST_SLOTS` at most (beyond one a source), so the schedule doesn't grow with the table.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
@@ -24,11 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import staged, unused
 
-#: The longest period that is made.
-PERIOD = 1_000_000
+#: The longest period that is made to be repeated, and the most blocks (but for one a source) that are scheduled otherwise.
+PERIOD, MOST_SLOTS = 1_000_000, 1_000_000
 BLOCK_ROWS = 8
-#: Temperature weights are whole parts of so many, or of so many a source if there are more sources.
-PARTS, SOURCE_PARTS = 10_000, 20
 #: Tables up to so many rows (slots; sources by partition) are broadcast.
 BROADCAST_ROWS = 100_000
 #: Rows that a task numbers, on average.
@@ -61,41 +58,50 @@ def fraction(w) -> Fraction:
     return Fraction(str(w)) if isinstance(w, float) else Fraction(w)
 
 
-def whole(weights: dict[str | None, float], longest: int = PERIOD) -> dict[str | None, int]:
-    """The weights as whole shares without a common factor; rounded only if their sum is beyond `longest`."""
+def whole(weights: dict[str | None, float], longest: int | None = None) -> dict[str | None, int]:
+    """The weights as whole shares without a common factor; rounded only if their sum is beyond `longest`, where that is given."""
     checked(weights)
     exact = {k: fraction(w) for k, w in weights.items()}
     scale = math.lcm(*(x.denominator for x in exact.values()))
     out = {k: int(x * scale) for k, x in exact.items()}
     common = math.gcd(*out.values()) or 1
     out = {k: w // common for k, w in out.items()}
-    return out if sum(out.values()) <= longest else shares(weights, longest)
+    return out if longest is None or sum(out.values()) <= longest else shares(weights, longest)
 
 
 def schedule(share: dict[str | None, int]) -> list[tuple[str | None, int]]:
     """One period: (source, block number in the period) of each slot, earliest deadline first among the released."""
+    return [(k, j) for k, j, *_ in scheduled(share, share)]
+
+
+def scheduled(share: dict[str | None, int], blocks: dict[str | None, int]) -> Iterator[tuple[str | None, int, int, int, int]]:
+    """(source, block, slot, release, due) of so many blocks of each source, slot by slot: earliest deadline first among the released.
+
+    While no source has run out no slot stays empty; after that, slots without a released block do.
+    """
     period = sum(share.values())
-    release = lambda k, j: j * period // share[k]
-    due = lambda k, j: -(-(j + 1) * period // share[k])
-    waiting = [(release(k, 0), due(k, 0), str(k), i, 0) for i, k in enumerate(share)]
+    window = lambda k, j: (j * period // share[k], -(-(j + 1) * period // share[k]))
+    names = list(share)
+    waiting = [(*window(k, 0), str(k), i, 0) for i, k in enumerate(share) if blocks.get(k)]
     heapq.heapify(waiting)
-    names, ready, out = list(share), [], []
-    for t in range(period):
+    ready, t = [], 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
             r, d, name, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (d, name, i, j))
-        d, name, i, j = heapq.heappop(ready)
+            heapq.heappush(ready, (d, name, i, j, r))
+        d, name, i, j, r = heapq.heappop(ready)
         assert t < d, "a deadline is missed"
-        out.append((names[i], j))
-        if j + 1 < share[names[i]]:
-            heapq.heappush(waiting, (release(names[i], j + 1), due(names[i], j + 1), name, i, j + 1))
-    return out
+        yield names[i], j, t, r, d
+        if j + 1 < blocks[names[i]]:
+            heapq.heappush(waiting, (*window(names[i], j + 1), name, i, j + 1))
+        t += 1
 
 
-def temperature_weights(docs: DataFrame, exponent: float, source_col: str = "source") -> dict[str | None, int]:
-    """Target weights: each source's rows to the power `exponent`, as whole parts. One row a source comes to the driver."""
-    sizes = {r[0]: float(r[1]) ** exponent for r in docs.groupBy(source_col).count().collect()}
-    return shares(sizes, max(PARTS, SOURCE_PARTS * len(sizes))) if sizes else {}
+def temperature_weights(docs: DataFrame, exponent: float, source_col: str = "source") -> dict[str | None, float]:
+    """Target weights: each source's rows to the power `exponent`. One row a source comes to the driver."""
+    return {r[0]: float(r[1]) ** exponent for r in docs.groupBy(source_col).count().collect()}
 
 
 MADE = ["mix_block", "mix_release", "mix_due", "mix_slot", "mix_position", "in_mix"]
@@ -104,28 +110,44 @@ MADE = ["mix_block", "mix_release", "mix_due", "mix_slot", "mix_position", "in_m
 def mixed(docs: DataFrame, weights: dict[str | None, float], period: int = PERIOD, block_rows: int = BLOCK_ROWS, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """`docs` with mix_block, mix_release, mix_due, mix_slot, mix_position and in_mix; columns of those names are replaced.
 
-    A source's rows are numbered in order of id (nulls first; repeated ids in an order of their hashes) and cut into blocks.
+    A source's rows are numbered in order of id (nulls first; repeated ids in an order of their hashes) and cut into blocks of block_rows, or
+    of more where the weights have no period of `period` slots or fewer and the table more than MOST_SLOTS such blocks.
     mix_position orders all rows: slot by slot, and within the block by number. in_mix is true as far as the weights can be
     met: up to the slot where the first source runs out. All rows are returned; past that slot the remaining sources go on by
     their own deadlines. A last block may be short. A source without a weight has no slot (nulls, in_mix false), so without any
-    weight no row has. Null is a source like any other. `period` is the longest that is made; with very many sources it is
-    longer, so that any number can be scheduled.
+    weight no row has. Null is a source like any other. Weights so far apart that slots have no 64-bit number raise ValueError.
     """
-    share = whole(weights, max(period, SOURCE_PARTS * len(weights))) if weights else {}
+    share = whole(weights) if weights else {}
     length = sum(share.values())
     sizes = {r[0]: r[1] for r in docs.groupBy(source_col).count().collect()}
-    horizon = min((-(-sizes.get(k, 0) // block_rows) * length // w for k, w in share.items()), default=0)
-    slots = slot_table(docs, share)
-    known = slots.where("_turn = 0").select("_source", "_share")
+    repeated = length <= period
+    if not repeated:
+        block_rows = max(block_rows, -(-sum(sizes.get(k, 0) for k in share) // MOST_SLOTS))
+    blocks = {k: -(-sizes.get(k, 0) // block_rows) for k in share}
+    horizon = min((blocks[k] * length // w + (blocks[k] * length % w > 0) for k, w in share.items()), default=0)
 
     base = docs.drop(*MADE)
     number = unused(base, "number")
     rows = numbered(base, source_col, id_col, sum(sizes.values()), number)
     rows = rows.withColumn("mix_block", F.floor(F.col(number) / block_rows))
-    part, turn, source = unused(base, "share"), unused(base, "turn"), unused(base, "source")
+    rows = in_period(rows, share, source_col) if repeated else in_whole(rows, share, blocks, block_rows, source_col)
+    return rows.withColumns(
+        {
+            "mix_position": F.col("mix_slot") * block_rows + F.col(number) % block_rows,
+            "in_mix": F.coalesce(F.col("mix_slot") < F.lit(min(horizon, 1 << 62)), F.lit(False)),
+        }
+    ).drop(number)
+
+
+def in_period(rows: DataFrame, share: dict[str | None, int], source_col: str) -> DataFrame:
+    """`rows` with the windows and slots of their blocks, from one period of the schedule."""
+    length = sum(share.values())
+    slots = slot_table(rows, share)
+    known = slots.where("_turn = 0").select("_source", "_share")
+    part, turn, source = unused(rows, "share"), unused(rows, "turn"), unused(rows, "source")
     rows = rows.join(small(known.toDF(source, part), len(share)), F.col(source_col).eqNullSafe(F.col(source)), "left").drop(source)
     rows = rows.withColumn(turn, F.col("mix_block") % F.col(part))
-    offset, due = unused(base, "offset"), unused(base, "due")
+    offset, due = unused(rows, "offset"), unused(rows, "due")
     at = slots.select("_source", "_turn", "_offset").toDF(source, due, offset)
     rows = rows.join(small(at, length), F.col(source_col).eqNullSafe(F.col(source)) & (F.col(turn) == F.col(due)), "left")
     p = F.lit(length).cast("bigint")
@@ -135,12 +157,18 @@ def mixed(docs: DataFrame, weights: dict[str | None, float], period: int = PERIO
             "mix_due": F.ceil((F.col("mix_block") + 1) * p / F.col(part)),
             "mix_slot": F.floor(F.col("mix_block") / F.col(part)) * p + F.col(offset),
         }
-    ).withColumns(
-        {
-            "mix_position": F.col("mix_slot") * block_rows + F.col(number) % block_rows,
-            "in_mix": F.coalesce(F.col("mix_slot") < horizon, F.lit(False)),
-        }
-    ).drop(number, part, turn, source, due, offset)
+    ).drop(part, turn, source, due, offset)
+
+
+def in_whole(rows: DataFrame, share: dict[str | None, int], blocks: dict[str | None, int], block_rows: int, source_col: str) -> DataFrame:
+    """`rows` with the windows and slots of their blocks, from the schedule of all blocks."""
+    table = list(scheduled(share, blocks))
+    if table and max(d for *_, d in table) * block_rows >= 1 << 62:
+        raise ValueError("weights are too far apart for the table's sizes")
+    columns = [pa.array(c, t) for c, t in zip(zip(*table, strict=True), (pa.string(), *[pa.int64()] * 4), strict=True)] if table else [pa.array([], t) for t in (pa.string(), *[pa.int64()] * 4)]
+    source, block = unused(rows, "source"), unused(rows, "block")
+    at = rows.sparkSession.createDataFrame(pa.table(columns, [source, block, "mix_slot", "mix_release", "mix_due"]))
+    return rows.join(small(at, len(table)), F.col(source_col).eqNullSafe(F.col(source)) & (F.col("mix_block") == F.col(block)), "left").drop(source, block)
 
 
 def small(table: DataFrame, rows: int) -> DataFrame:

@@ -113,3 +113,47 @@ def test_a_clashing_column_and_ties(spark):
     df = spark.createDataFrame([(1, "s", i % 2, "n") for i in range(100)], "doc_id long, source string, tie_0 int, number_0 string").repartition(7)
     out = m.mixed(df, {"s": 1}).collect()
     assert sorted(r["mix_position"] for r in out) == list(range(100)) and set(out[0].asDict()) == {*df.columns, *m.MADE}
+
+
+def test_weights_without_a_period_are_met_exactly_over_all_slots():
+    sizes = {"hot": 340_000, "mid": 59_992, "tiny": 8}
+    share = m.whole({k: float(n) ** 0.9 for k, n in sizes.items()})
+    total = sum(share.values())
+    assert total > m.PERIOD
+    blocks = {k: 100_000 for k in sizes}
+    seen = Counter()
+    for t, (k, j, slot, release, due) in enumerate(m.scheduled(share, blocks)):
+        if t == 100_000:
+            break
+        assert slot == t and j == seen[k] and release <= t < due
+        seen[k] += 1
+        assert all(abs(seen[x] * total - share[x] * (t + 1)) < total for x in sizes)
+
+
+def test_rows_follow_the_schedule_of_all_blocks(spark, monkeypatch):
+    rows, df = docs(spark)
+    weights = {"a": 2**0.5, "b": 3**0.5, None: 1.0}
+    share = m.whole(weights)
+    for most, block_rows in ((1_000_000, 4), (100, 13)):
+        monkeypatch.setattr(m, "MOST_SLOTS", most)
+        out = m.mixed(df, weights, block_rows=4).collect()
+        assert len(out) == len(rows)
+        sizes = Counter(r[2] for r in rows)
+        blocks = {k: -(-sizes[k] // block_rows) for k in weights}
+        table = {(k, j): (t, r, d) for k, j, t, r, d in m.scheduled(share, blocks)}
+        for source in weights:
+            own = sorted((r for r in out if r["source"] == source), key=lambda r: r["mix_position"])
+            assert [r["doc_id"] for r in own] == sorted((r[0] for r in rows if r[2] == source), key=lambda i: (i is not None, i or 0))
+            for n, r in enumerate(own):
+                slot, release, due = table[source, n // block_rows]
+                assert (r["mix_block"], r["mix_slot"], r["mix_release"], r["mix_due"]) == (n // block_rows, slot, release, due)
+                assert r["mix_position"] == slot * block_rows + n % block_rows
+        inside = [r for r in out if r["in_mix"]]
+        for source, w in weights.items():
+            assert abs(sum(r["source"] == source for r in inside) - len(inside) * w / sum(weights.values())) <= 2 * block_rows
+
+
+def test_weights_too_far_apart(spark):
+    _, df = docs(spark)
+    with pytest.raises(ValueError, match="far apart"):
+        m.mixed(df, {"a": 1.0, "b": 1e-30})
