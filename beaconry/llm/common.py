@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from beaconry import session
 
@@ -56,3 +59,14 @@ def unused(df: DataFrame, stem: str) -> str:
     while f"{stem}_{n}" in taken:
         n += 1
     return f"{stem}_{n}"
+
+
+def longs(values: list[int]) -> Column:
+    """An array of numbers as one literal, however long."""
+    return F.lit(np.array(values, np.int64))
+
+
+def first_place(n: int, before: Callable[[Column], Column]) -> Column:
+    """How many of n places, which hold first and don't later, hold by `before` (of a place's number, null or false past the last): a binary search."""
+    steps = F.lit(np.array([1 << i for i in reversed(range(n.bit_length()))], np.int32))
+    return F.aggregate(steps, F.lit(0), lambda found, by: F.when(before(found + by - 1), found + by).otherwise(found))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import first_place, longs, staged
 
 LEVELS = (2, 3, 4)
 KEPT = 32
@@ -173,15 +173,8 @@ def edited(text: str, following: str) -> str:
 
 def range_of(bounds: list[tuple[int, int]], doc: Column, tie: Column) -> Column:
     """The number of the last of the bounds (descending ids, ascending ties) that isn't after the key, by binary search."""
-    ids, ties = (F.lit(np.array([b[i] for b in bounds], np.int64)) for i in (0, 1))
-    steps = F.lit(np.array([1 << i for i in reversed(range(len(bounds).bit_length()))], np.int32))
-
-    def step(found: Column, by: Column) -> Column:
-        at = found + by - 1
-        there = (F.get(ids, at) > doc) | ((F.get(ids, at) == doc) & (F.get(ties, at) <= tie))
-        return F.when(there, found + by).otherwise(found)
-
-    return F.aggregate(steps, F.lit(0), step) - 1
+    ids, ties = longs([b[0] for b in bounds]), longs([b[1] for b in bounds])
+    return first_place(len(bounds), lambda at: (F.get(ids, at) > doc) | ((F.get(ids, at) == doc) & (F.get(ties, at) <= tie))) - 1
 
 
 FINGERPRINTED = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -209,7 +202,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = len(bounds)
     placed = rows.withColumn("range", range_of(bounds, F.col("key"), F.col("tie")))
     at = F.col("range")
-    begins = (F.get(F.lit(np.array([b[0] for b in bounds], np.int64)), at) == F.col("key")) & (F.get(F.lit(np.array([b[1] for b in bounds], np.int64)), at) == F.col("tie"))
+    begins = (F.get(longs([b[0] for b in bounds]), at) == F.col("key")) & (F.get(longs([b[1] for b in bounds]), at) == F.col("tie"))
     here, there = F.struct(at.alias("range"), F.lit(False).alias("beyond")), F.struct(F.pmod(at - 1, F.lit(n)).alias("range"), F.lit(True).alias("beyond"))
     dealt = placed.withColumn("to", F.explode(F.when(begins, F.array(here, there)).otherwise(F.array(here)))).select("to.*", "id", "key", "tie", "t")
     dealt = dealt.repartitionById(n, F.col("range").cast("int")).sortWithinPartitions("range", "beyond", *order)

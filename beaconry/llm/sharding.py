@@ -16,10 +16,13 @@ from bisect import bisect_left
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import first_place, longs
+
 VNODES = 64
+MADE = ("doc_id", "size", "text_crc32", "shard", "slot")
 #: Rows that one task ranks at most, on average.
 SLICE_ROWS = 20_000
 
@@ -70,21 +73,9 @@ def placed(counts: dict[int, int], ring: list[tuple[int, int]], shards: int, loa
 
 
 def arc_of(ring: list[tuple[int, int]]):
-    """The arc of a column of positions, in SQL functions: the points before its cell, and those of its cell that it passes."""
-    at = [p for p, _ in ring]
-    bits = max(1, (len(at) - 1).bit_length())
-    width = 1 << (64 - bits)
-    cells = [(-(1 << 63) + i * width, -(1 << 63) + (i + 1) * width) for i in range(1 << bits)]
-    before = F.array(*(F.lit(bisect_left(at, lo)) for lo, _ in cells))
-    inside = F.array(*(F.array(*(F.lit(p) for p in at[bisect_left(at, lo) : bisect_left(at, hi)])).cast("array<bigint>") for lo, hi in cells))
-
-    def find(position: str) -> Column:
-        h = F.col(position)
-        cell = (F.shiftright(h, 64 - bits) + (1 << (bits - 1))).cast("int")
-        passed = F.size(F.filter(F.get(inside, cell), lambda p: p < h))
-        return ((F.get(before, cell) + passed) % len(at)).cast("int")
-
-    return find
+    """The arc of a column of positions, in SQL functions: a binary search for the points before it."""
+    at = longs([p for p, _ in ring])
+    return lambda position: first_place(len(ring), lambda i: F.get(at, i) < F.col(position)) % len(ring)
 
 
 def arc_at(ring: list[tuple[int, int]], position: int) -> int:
@@ -93,12 +84,13 @@ def arc_at(ring: list[tuple[int, int]], position: int) -> int:
 
 
 def sharded(docs: DataFrame, shards: int, load: Fraction | int = 1, vnodes: int = VNODES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of `docs`: doc_id, size, text_crc32, shard, slot and the columns named in `keep`.
+    """One row per row of `docs`: doc_id, size, text_crc32, shard, slot and the columns named in `keep` (but for those of these five names).
 
     size is the text's UTF-8 bytes plus 1; a null text counts as no bytes, also in its crc. Null ids share a position; rows of one id
     share an arc and are told apart by text checksum and size, which also rank them. With load 1, counts are at most one
     apart. An empty table gives no rows. Slots of a shard run from 0 without a gap.
     """
+    keep = [c for c in keep if c.lower() not in MADE]
     spark, ring, load = docs.sparkSession, points(shards, vnodes), Fraction(load)
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     facts = docs.select(
@@ -128,3 +120,17 @@ def sharded(docs: DataFrame, shards: int, load: Fraction | int = 1, vnodes: int
         (F.col("_rank") - F.col("_start") + F.col("_slot")).cast("bigint").alias("slot"),
         *(F.col(f"_keep_{c}").alias(c) for c in keep),
     )
+
+
+def in_order(placed: DataFrame, segment: str, at: str) -> DataFrame:
+    """Slots dealt anew, so that each shard's rows follow each other in order of `segment` and, in it, of `at`.
+
+    A segment is a run of rows in order, of a size that one task holds, such as a file of a table that was written in order. Ties of `at`
+    get slots in an order of their ids and checksums. Shards and columns stay.
+    """
+    sizes = placed.groupBy("shard", F.col(segment).alias("_segment")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("shard").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("shard", "_segment", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # a row a segment and shard
+    rank = F.row_number().over(Window.partitionBy("shard", segment).orderBy(at, "doc_id", "text_crc32")) - 1
+    rows = placed.withColumn("slot", rank).join(base.withColumnRenamed("shard", "_shard"), (F.col("shard") == F.col("_shard")) & F.col(segment).eqNullSafe(F.col("_segment")))
+    return rows.withColumn("slot", (F.col("slot") + F.col("_base")).cast("bigint")).select(placed.columns)
