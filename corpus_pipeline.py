@@ -6,6 +6,7 @@ Each stage works on all that its predecessor kept, is written as Parquet in the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from beaconry.llm import decontaminate, mixing, near_dedup, quality, sharding
 from beaconry.llm.common import staged, table
@@ -34,8 +35,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives each document its shard and its slot there."""
-    return sharding.sharded(docs, SHARDS, keep=("lang", "source"))
+    """Gives each document its shard and its slot there: a shard's slots are in the order in which the rows were written, which is the mix's.
+
+    A row's file and its number there stand for that order and find its text again, so that texts are dealt out once. Takes rows as read from files.
+    """
+    file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    rows = docs.select("*", file.alias("file"), F.col("_metadata.row_index").alias("row"))
+    placed = sharding.sharded(rows, SHARDS, keep=("file", "row"))
+    placed = sharding.in_order(placed, "file", "row").drop("doc_id")
+    return rows.join(placed, ["file", "row"]).select("doc_id", "size", "text_crc32", "shard", "slot", "lang", "source", "n_chars", "text")
 
 
 STAGES = [
