@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -34,11 +35,13 @@ SYMBOLS = b"#$%&*|"
 CONTINUATION = bytes(range(0x80, 0xC0))
 #: The bit of filter E among the failed ones.
 REPEATED = 1 << FILTERS.index("E")
-#: Files in a micro-batch.
-FILES = 8
+#: Files in a micro-batch at least, and micro-batches in a run at most.
+FILES, BATCHES = 4, 16
 CHANGES = "part string, failed int, good boolean, toxic boolean, n bigint"
-#: The smallest id of a text, what the text fails by itself, and how many documents have that id, by labels and part.
-STATE = "low bigint, failed int, cells array<string>, counts array<bigint>"
+#: Of each text in a slot its smallest id, what it fails by itself, and how many documents have that id, by cell: the two labels as 0 or 1, then the part.
+STATE = "digest array<binary>, low array<bigint>, failed array<int>, cell array<string>, n array<bigint>"
+#: Texts in a slot, on average. A call of Python costs as much as some hundred texts do.
+SLOT_TEXTS = 512
 
 
 def own_failures(raw: bytes) -> int:
@@ -80,44 +83,64 @@ def combined(rows: DataFrame) -> DataFrame:
 
 
 def counted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the part counters by one text's documents of a micro-batch."""
-    low, own, cells = None, 0, Counter()
+    """Changes of the part counters by a micro-batch's documents of the texts of one slot."""
+    lows: dict[bytes, tuple[int, int, Counter]] = {}  # by text: the smallest id, the text's own failures, that id's documents by cell
     if state.exists:
-        low, own, names, counts = state.get
-        cells = Counter({(name[2:], name[0] == "1", name[1] == "1"): int(n) for name, n in zip(names, counts, strict=True)})
-    changes, before = Counter(), (low, dict(cells))
+        for digest, low, failed, cell, n in zip(*state.get, strict=True):
+            lows.setdefault(bytes(digest), (low, failed, Counter()))[2][cell] += n
+    changes, moved = Counter(), False
     for frame in frames:
-        for i, part, failed, good, toxic, n in zip(*(frame[c].tolist() for c in ("id", "part", "failed", "good", "toxic", "n")), strict=True):
-            if i != i or i is None:  # settled
-                changes[part, failed, good, toxic] += n
+        for digest, i, part, failed, good, toxic, n in zip(*(frame[c].tolist() for c in ("digest", "id", "part", "failed", "good", "toxic", "n")), strict=True):
+            cell = f"{good:d}{toxic:d}{part}"
+            if i is None or i != i:  # settled
+                changes[cell, failed] += n
                 continue
-            own = failed
+            low, own, cells = lows.get(digest) or (None, failed, None)
             if low is None or i < low:
-                for (p, g, t), m in cells.items():
-                    changes[p, own, g, t] -= m
-                    changes[p, own | REPEATED, g, t] += m
+                for earlier, m in (cells or {}).items():
+                    changes[earlier, own] -= m
+                    changes[earlier, own | REPEATED] += m
                 low, cells = i, Counter()
+                lows[digest] = low, own, cells
             if i == low:
-                cells[part, good, toxic] += n
-                changes[part, own, good, toxic] += n
+                cells[cell] += n
+                changes[cell, own] += n
+                moved = True
             else:
-                changes[part, own | REPEATED, good, toxic] += n
-    if low is not None and (low, cells) != before:
-        state.update((int(low), own, [f"{g:d}{t:d}{p}" for p, g, t in cells], list(cells.values())))
-    rows = [(*k, n) for k, n in changes.items() if n]
-    yield pd.DataFrame(dict(zip(("part", "failed", "good", "toxic", "n"), zip(*rows, strict=True), strict=True)) if rows else {"part": [], "failed": [], "good": [], "toxic": [], "n": []})
+                changes[cell, own | REPEATED] += n
+    if moved:
+        rows = [(digest, int(low), int(own), cell, int(n)) for digest, (low, own, cells) in lows.items() for cell, n in cells.items()]
+        state.update(tuple(map(list, zip(*rows, strict=True))))
+    out = [(cell[2:], failed, cell[0] == "1", cell[1] == "1", n) for (cell, failed), n in changes.items() if n]
+    yield pd.DataFrame(out, columns=["part", "failed", "good", "toxic", "n"])
 
 
-def streamed(spark: SparkSession, path: str, files: int = FILES) -> DataFrame:
+def streamed(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """A table's files as a stream of so many files a micro-batch. The table is a folder or, which a stream takes as a pattern only, one file."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
+    whole = spark.read.parquet(path)
+    files = files or max(FILES, -(-len(whole.inputFiles()) // BATCHES))
+    return spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def counters(docs: DataFrame, labels: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
+def slots_of(spark: SparkSession, folder: str, texts: int) -> int:
+    """Slots of the state for so many texts. The first run with a folder settles their number for all later ones."""
+    path = f"{folder}/slots"
+    try:
+        return spark.read.schema("slots bigint").parquet(path).first()["slots"]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    slots = max(64, -(-texts // SLOT_TEXTS))
+    spark.createDataFrame([(slots,)], "slots bigint").coalesce(1).write.parquet(path)
+    return slots
+
+
+def counters(docs: DataFrame, labels: DataFrame, folder: str, texts: int, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """part, failed (bits of the filters that fail), good, toxic and n of a stream of documents, read until it has no more.
 
     `folder`, shared by driver and executors, keeps the stream's place, its state and its changes. A run with an earlier run's folder
-    reads only what is new, and its counters are those of all files together. The state store is the session's choice.
+    reads only what is new, and its counters are those of all files together. The state store is the session's choice; `texts` says for how
+    many texts it is laid out (more make its slots larger).
     """
     spark = docs.sparkSession
     mark = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False))).alias(c)
@@ -125,7 +148,8 @@ def counters(docs: DataFrame, labels: DataFrame, folder: str, id_col: str = "doc
     marks = staged(marks.withColumnRenamed("quality", "good"), "marks")
     known = facts(docs, id_col, text_col, part_col).join(marks, F.col("id") == F.col("_id"), "left").drop("_id")
     known = known.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("good", "toxic")})
-    changes = combined(known).groupBy("digest").applyInPandasWithState(counted, CHANGES, STATE, "update", GroupStateTimeout.NoTimeout)
+    slot = F.pmod(F.xxhash64("digest"), F.lit(slots_of(spark, folder, texts)))
+    changes = combined(known).withColumn("slot", slot).groupBy("slot").applyInPandasWithState(counted, CHANGES, STATE, "update", GroupStateTimeout.NoTimeout)
 
     def step(batch: DataFrame, n: int) -> None:
         batch.groupBy("part", "failed", "good", "toxic").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{folder}/changes/batch={n}")
@@ -160,7 +184,7 @@ def report(counts: DataFrame) -> DataFrame:
     return out.withColumn("shapley", F.sum("removed").over(Window.partitionBy("part", "letter"))).drop("letter")
 
 
-def audited(docs: DataFrame, labels: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
+def audited(docs: DataFrame, labels: DataFrame, folder: str | None = None, texts: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """The audit of a stream of documents: part, filter_order, step (its filter is the order's letter of that place) and the counts.
 
     kept: left after the step. removed: gone here. redundant: fails this filter, gone before. unique_fails: fails no other filter.
@@ -170,4 +194,4 @@ def audited(docs: DataFrame, labels: DataFrame, folder: str | None = None, id_co
     others fail it, and rows that repeat an id and a text don't fail it for each other. A label counts if any row of the id has it.
     Every part that has a document has all 600 rows; an empty table has none. Extra columns take no part.
     """
-    return report(counters(docs, labels, folder or new_dir(docs.sparkSession, "filter-audit"), id_col, text_col, part_col))
+    return report(counters(docs, labels, folder or new_dir(docs.sparkSession, "filter-audit"), texts, id_col, text_col, part_col))

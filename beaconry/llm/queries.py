@@ -98,8 +98,8 @@ def op11_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How five filters interact in all 120 orders, from a stream over all files of the documents."""
-    labels = table(spark, sf_dir, "labels")
-    return filter_audit.audited(filter_audit.streamed(spark, f"{sf_dir}/documents.parquet"), labels)
+    docs, labels = filter_audit.streamed(spark, f"{sf_dir}/documents.parquet"), table(spark, sf_dir, "labels")
+    return filter_audit.audited(docs, labels, texts=table(spark, sf_dir, "documents").count())
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,11 +81,11 @@ def test_equal_to_plain_code_and_kept_up_to_date(spark, tmp_path):
 def test_a_batch_that_is_repeated_replaces_its_changes(spark, tmp_path):
     folder, state = str(tmp_path / "in"), str(tmp_path / "state")
     written(spark, [(5, "same", "en"), (9, "same", "en")], folder, 2)
-    a.counters(a.streamed(spark, folder, 1), marks(spark, []), state)
+    a.counters(a.streamed(spark, folder, 1), marks(spark, []), state, 10)
     last = max((tmp_path / "state/query/commits").glob("[0-9]*"), key=lambda p: int(p.name))
     last.unlink()  # as if it had failed after its changes were written
     (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
-    again = a.counters(a.streamed(spark, folder, 1), marks(spark, []), state)
+    again = a.counters(a.streamed(spark, folder, 1), marks(spark, []), state, 10)
     assert result(again.select("part", "failed", "n")) == [("en", 1, 1), ("en", 1 | a.REPEATED, 1)]
 
 
