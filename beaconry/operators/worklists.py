@@ -105,12 +105,11 @@ def badges(flags: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(c, name) for name, c in flags.items())))
 
 
-def read_or_recomputed(state: DataFrame, live: DataFrame, stored: DataFrame, filters: str, basis: str, now: str, most_hours: float = 26.0) -> DataFrame:
-    """The stored aggregate if its state row is fresh, else the live one, with the reason ('' if stored)."""
-    one = live.sparkSession.range(1).join(state.limit(1), F.lit(True), "left")
+def staleness(filters: str, basis: str | None, now: str, most_hours: float = 26.0) -> Column:
+    """Why a stored aggregate with a state row (filters, basis, as_of) may not be served; '' if it may. A missing row has null filters."""
     stamp, at = F.expr("try_cast(as_of AS timestamp)"), F.lit(now).cast("timestamp")
     age = (F.unix_timestamp(at) - F.unix_timestamp(stamp)) / 3600
-    reason = (
+    return (
         F.when(F.col("filters").isNull(), "missing")
         .when(F.col("filters") != filters, "filter mismatch")
         .when(~F.col("basis").eqNullSafe(F.lit(basis)), "basis changed")
@@ -118,9 +117,16 @@ def read_or_recomputed(state: DataFrame, live: DataFrame, stored: DataFrame, fil
         .when((age > most_hours) | (age < 0), "expired")
         .otherwise("")
     )
-    why = F.broadcast(one.select(reason.alias("reason")))  # one row
-    kept = stored.join(why.where("reason = ''"))
-    return kept.unionByName(live.join(why.where("reason <> ''")))
+
+
+def read_or_recomputed(state: DataFrame, live: DataFrame, stored: DataFrame, filters: str, basis: str | None, now: str, most_hours: float = 26.0) -> DataFrame:
+    """The stored aggregate if its state row is fresh, else the live one, with the reason ('' if stored).
+
+    The state row is read first, so only one of the two is in the plan.
+    """
+    one = live.sparkSession.range(1).join(state.limit(1), F.lit(True), "left")
+    why = one.select(staleness(filters, basis, now, most_hours).alias("reason")).first()["reason"]
+    return (live if why else stored).withColumn("reason", F.lit(why))
 
 
 def mapped_products(obligations: DataFrame, products: DataFrame, key: str, standards: str) -> DataFrame:

@@ -1,62 +1,158 @@
-"""The batch operators driven by Structured Streaming."""
+"""The batch operators driven by Structured Streaming.
+
+State by key is Spark's own (a streaming aggregation in the state store); what a micro-batch changes is written as rows of its
+own, under its number, so nothing is rewritten as the state grows and a batch that is repeated replaces its own rows only.
+"""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.classify import identified
-from ..operators.state import upserted
+from ..operators.classify import identified, reconciled
 
+#: Column with a micro-batch's number in a change log.
+BATCH = "batch"
 
-class VersionedTable:
-    """A state table as Parquet snapshots `v=<n>`, each written whole before the next batch reads it.
 
-    A batch that is repeated after a failure finds the version it has to start from by its own number.
-    """
+def file_stream(spark: SparkSession, path: str, schema, files: int = 16) -> DataFrame:
+    """The files of a folder as a stream, so many a micro-batch, oldest first."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+class ChangeLog:
+    """Rows by micro-batch in a shared folder."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: str):
         self.spark, self.folder, self.schema = spark, folder, schema
 
-    def read(self, version: int) -> DataFrame:
-        if version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={version}")
+    def write(self, rows: DataFrame, n: int) -> None:
+        """A micro-batch's rows. Written again, they replace themselves."""
+        rows.write.mode("overwrite").parquet(f"{self.folder}/changes/{BATCH}={n}")
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """All rows with their batch, or those before a batch's number."""
+        try:
+            rows = self.spark.read.schema(f"{self.schema}, {BATCH} bigint").parquet(f"{self.folder}/changes")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], f"{self.schema}, {BATCH} bigint")
+        return rows if before is None else rows.where(F.col(BATCH) < before)
+
+    def latest(self, key: str, before: int | None = None, by: str | None = None, only: DataFrame | None = None) -> DataFrame:
+        """Each key's last row, without the batch; with `by` and `only`, of those rows whose `by` is one of `only`'s."""
+        rows = self.read(before)
+        if by is not None:
+            rows = rows.join(only.select(by).distinct(), by, "left_semi")
+        rest = [c for c in rows.columns if c not in (key, BATCH)]
+        last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), BATCH).alias("_r"))
+        return last.select(key, "_r.*").select([c for c in rows.columns if c != BATCH])
+
+
+def upserts(events: DataFrame, key: str, order: list[str], kept: list[str], touched: list[str]) -> DataFrame:
+    """Keyed upserts as a streaming aggregation: per key the `kept` columns as first met and the `touched` ones as last met, by `order`.
+
+    `order` begins with what tells deliveries apart (a run's number or time); then the result doesn't depend on how they are split into batches.
+    """
+    at = F.struct(*order)
+    met = events.groupBy(key).agg(F.min_by(F.struct(*kept), at).alias("f"), F.max_by(F.struct(*touched), at).alias("l"))
+    return met.select(key, *(F.col(f"f.{c}").alias(c) for c in kept), *(F.col(f"l.{c}").alias(c) for c in touched))
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/v={version}")
 
+def upsert_stream(events: DataFrame, log: ChangeLog, checkpoint: str, key: str, order: list[str], kept: list[str], touched: list[str]) -> StreamingQuery:
+    """Runs keyed upserts over what a stream has now: each micro-batch logs the keys that it met, as they are after it."""
+    rows = upserts(events, key, order, kept, touched)
+    return rows.writeStream.foreachBatch(log.write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def upsert_stream(events: DataFrame, table: VersionedTable, checkpoint: str, key: str, order: str, kept: list[str], touched: list[str]) -> StreamingQuery:
-    """Runs keyed upserts over a stream of events: batch n makes version n from version n - 1, so a retry repeats the same."""
 
-    def step(batch: DataFrame, n: int) -> None:
-        table.write(upserted(table.read(n - 1), batch, key, order, kept, touched), n)
+#: What the log of signals has besides the rule's own columns, and the ledger of deliveries.
+LOGGED, LEDGER = ("signal_id", "raw_event_id", "status", "change"), "raw_event_id string, delivered bigint"
 
-    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def classify_stream(events: DataFrame, rule: Callable[[DataFrame], DataFrame], log: ChangeLog, ledger: ChangeLog, checkpoint: str, dismissed: DataFrame | None = None) -> StreamingQuery:
+    """Applies a rule to the events of a stream and logs how its signals change: new, retracted, restored or refreshed.
 
-def classify_stream(events: DataFrame, rule, table: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Applies a rule to the new events of a stream: signals that the table hasn't got by id are added, stored ones stay as they are."""
+    `delivered` numbers an event's deliveries (a run's number or time). A signal is active if its event's last delivery gives it, and
+    retracted if only others do, however the deliveries are split into batches and in whichever order those come. Signals of events that aren't
+    delivered stay as they are; those in `dismissed` (signal_id) are dismissed and never touched. A row that repeats a delivery counts once.
+    The log has signal_id, raw_event_id, the rule's columns that its schema names (as the last delivery that counts gave them), status and change.
+    """
 
     def step(batch: DataFrame, n: int) -> None:
-        old = table.read(n - 1)
-        new = identified(rule(batch)).select(old.columns).join(old.select("signal_id"), "signal_id", "left_anti")
-        table.write(old.unionByName(new), n)
+        batch = batch.where("raw_event_id is not null").persist()
+        try:
+            log.write(signal_changes(batch, rule, log, ledger, n, dismissed), n)
+            ledger.write(batch.groupBy("raw_event_id").agg(F.max("delivered").alias("delivered")), n)
+        finally:
+            batch.unpersist()
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def daily_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """Counts per day and source of a stream with a watermark: a day is given once no event of it may come any more."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
+def signal_changes(batch: DataFrame, rule: Callable[[DataFrame], DataFrame], log: ChangeLog, ledger: ChangeLog, n: int, dismissed: DataFrame | None = None) -> DataFrame:
+    """The rows that micro-batch n adds to the log of signals. Of log and ledger only rows of its own events are looked up."""
+    columns = [c.split()[0] for c in log.schema.split(", ")]
+    fields = [c for c in columns if c not in LOGGED]
+    last = batch.groupBy("raw_event_id").agg(F.max("delivered").alias("delivered"))
+    ids = last.select("raw_event_id")
+    seen = ledger.read(before=n).join(ids, "raw_event_id", "left_semi").groupBy("raw_event_id").agg(F.max("delivered").alias("_seen"))
+    # Deliveries that come after a later one of their event only add signals that no other gave, as retracted ones.
+    counting = last.join(seen, "raw_event_id", "left").where(F.coalesce(F.col("delivered") >= F.col("_seen"), F.lit(True))).select("raw_event_id", "delivered")
+    given = lambda rows: identified(rule(rows)).select("signal_id", "raw_event_id", *fields)
+    now, ever = given(batch.join(counting, ["raw_event_id", "delivered"], "left_semi").dropDuplicates(["raw_event_id"])), given(batch)
+    before = log.latest("signal_id", before=n, by="raw_event_id", only=ids).drop("change")
+    if dismissed is not None:
+        before = before.join(dismissed.select("signal_id"), "signal_id", "left_anti")
+        now, ever = (x.join(dismissed.select("signal_id"), "signal_id", "left_anti") for x in (now, ever))
 
+    fresh = now.join(before, "signal_id", "left_anti").withColumns({"status": F.lit("active"), "change": F.lit("new")})
+    lost = ever.join(now, "signal_id", "left_anti").join(before, "signal_id", "left_anti").withColumns({"status": F.lit("retracted"), "change": F.lit("retracted")})
+    again = now.select("signal_id", F.struct(*fields).alias("_now"))
+    known = reconciled(before.withColumn("_was", F.col("status")), counting, now).join(again, "signal_id", "left")
+    change = F.when(F.col("status") != F.col("_was"), F.when(F.col("status") == "retracted", "retracted").otherwise("restored")).when(~F.col("_now").eqNullSafe(F.struct(*fields)), "refreshed")
+    known = known.withColumn("change", F.when(F.col("_now").isNotNull() | (F.col("status") != F.col("_was")), change)).where("change is not null")
+    known = known.withColumns({f: F.when(F.col("_now").isNotNull(), F.col(f"_now.{f}")).otherwise(F.col(f)) for f in fields})
+    return fresh.select(columns).unionByName(lost.select(columns)).unionByName(known.select(columns))
 
-def counted(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """The daily counts of a finite stream, as an in-memory table (for tests and small runs)."""
-    name = f"counts_{uuid.uuid4().hex}"
-    daily_counts(events).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+
+def daily_counts(events: DataFrame, late: str = "2 days", by: str = "event_type") -> DataFrame:
+    """Counts per day and `by` of a stream with a watermark, in append mode: a day is given once no event of it counts any more."""
+    day = F.window("ts", "1 day").alias("w")
+    return events.withWatermark("ts", late).groupBy(day, by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), by, "n")
+
+
+COUNTED, LATEST = "day timestamp, {by} string, n bigint", "top timestamp"
+
+
+def count_stream(events: Callable[[], DataFrame], folder: str, late: str = "2 days", by: str = "event_type") -> None:
+    """Counts what a stream has now by day: closed days in one log below `folder`, rows that came after their day was closed in another.
+
+    `events` gives the stream anew for each of the two queries; both see the same micro-batches. A day is closed when it ends before
+    the latest time of all earlier micro-batches less `late`, which is where the watermark stands; a run with an earlier run's
+    folder goes on from there. Rows without a time count nowhere.
+    """
+    spark = events().sparkSession
+    closed, tardy, tops = (ChangeLog(spark, f"{folder}/{name}", schema) for name, schema in (("closed", COUNTED.format(by=by)), ("late", COUNTED.format(by=by)), ("tops", LATEST)))
+    run = lambda rows, step, name, mode: rows.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{folder}/{name}-query").trigger(availableNow=True).start().awaitTermination()
+
+    def tardy_rows(batch: DataFrame, n: int) -> None:
+        mark = tops.read(before=n).agg((F.max("top") - F.expr(f"interval '{late}'")).alias("mark")).first()["mark"]
+        day = F.window("ts", "1 day")
+        behind = batch.where("ts is not null").where(day["end"] <= F.lit(mark)) if mark is not None else batch.limit(0)
+        tardy.write(behind.groupBy(day["start"].alias("day"), by).agg(F.count("*").alias("n")), n)
+        tops.write(batch.agg(F.max("ts").alias("top")), n)
+
+    run(daily_counts(events(), late, by), closed.write, "closed", "append")
+    run(events(), tardy_rows, "late", "append")
+
+
+def counted(spark: SparkSession, folder: str, by: str = "event_type") -> DataFrame:
+    """day, `by`, n (counted in time) and late of the closed days of a count_stream's folder."""
+    read = lambda name: ChangeLog(spark, f"{folder}/{name}", COUNTED.format(by=by)).read().groupBy("day", by).agg(F.sum("n").alias("n"))
+    both = read("closed").join(read("late").withColumnRenamed("n", "late"), ["day", by], "full_outer")
+    return both.select("day", by, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("late", F.lit(0)).alias("late"))

@@ -1,31 +1,18 @@
-"""Streams give what the batch operators give over the same rows."""
+"""Streams give what the batch operators give over the same rows, after any split into batches and after restarts."""
 
+import datetime
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from beaconry.operators import rules
+from beaconry.operators.classify import identified
 from beaconry.operators.state import upserted
 from beaconry.streaming import ingest
 
-SF = "/root/testdata/sf0.001"
-STATE = "key string, payload double, first_seen long, last_seen long"
-
-
-def test_upserts_and_counts(spark, tmp_path):
-    e = spark.read.parquet(f"{SF}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.concat_ws(":", "event_type", "props").alias("key"), "event_id", F.col("value").alias("payload"), F.col("event_id").alias("first_seen"), F.col("event_id").alias("last_seen"))
-    for i in range(3):
-        e.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    table = ingest.VersionedTable(spark, str(tmp_path / "state"), STATE)
-    query = ingest.upsert_stream(stream, table, str(tmp_path / "ck"), "key", "event_id", ["payload", "first_seen"], ["last_seen"])
-    query.awaitTermination()
-    last = query.lastProgress["batchId"]
-    got = {r["key"]: r for r in table.read(last).collect()}
-    want = {r["key"] for r in e.select("key").distinct().collect()}
-    assert set(got) == want and len(want) > 100
-
-    day = {(str(r["day"])[:10], r["event_type"]): r["n"] for r in ingest.counted(spark, spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))).collect()}
-    batch = {(str(r["d"]), r["event_type"]): r["count"] for r in e.groupBy(F.to_date("ts").alias("d"), "event_type").count().collect()}
-    assert day == batch
+STATE = "key string, payload double, first_seen bigint, last_seen bigint"
+EVENTS = "run int, event_id bigint, key string, payload double"
 
 
 def test_upserts_repeat_and_do_not_mind_order(spark):
@@ -38,14 +25,112 @@ def test_upserts_repeat_and_do_not_mind_order(spark):
     assert sorted(map(tuple, again.collect())) == rows
 
 
-def test_a_rule_over_a_stream_adds_each_signal_once(spark, tmp_path):
-    schema = "raw_event_id string, title string, event_date string"
-    titles = [[("a", "Norwind confirms data breach", None), ("b", "Rain", None)], [("a", "Norwind confirms data breach again", None), ("c", "Sudwind reports cyber-attack", "2024-01-02")]]
-    for rows in titles:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    table = ingest.VersionedTable(spark, str(tmp_path / "state"), "signal_id string, name_hint string, confidence double")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = ingest.classify_stream(stream, rules.company_statements, table, str(tmp_path / "ck"))
-    query.awaitTermination()
-    got = sorted(map(tuple, table.read(query.lastProgress["batchId"]).collect()))
-    assert got == [("own_incident:a:account", "Norwind", 0.85), ("own_incident:c:account", "Sudwind", 0.85)]
+def written(spark, rows, schema, folder):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_upserts_of_a_stream(spark, tmp_path, files):
+    rng = random.Random(files)
+    folder, log = str(tmp_path / "in"), ingest.ChangeLog(spark, str(tmp_path / "state"), STATE)
+    rows, state = [], spark.createDataFrame([], STATE)
+
+    def run():
+        events = ingest.file_stream(spark, folder, EVENTS, files).withColumns({"first_seen": F.col("event_id"), "last_seen": F.col("event_id")})
+        ingest.upsert_stream(events, log, str(tmp_path / "ck"), "key", ["run", "event_id"], ["payload", "first_seen"], ["last_seen"]).awaitTermination()
+
+    for r in range(2):  # the second run is a restart with new files
+        new = [(r, r * 1000 + i, rng.choice("abcdefgh") + str(r * rng.randrange(2)), rng.choice([None, 1.5, 2.5])) for i in range(60)]
+        for k in range(3):
+            written(spark, new[k::3], EVENTS, folder)
+        run()
+        batch = spark.createDataFrame(new, EVENTS).selectExpr("key", "payload", "event_id", "event_id as first_seen", "event_id as last_seen")
+        state = upserted(state, batch, "key", "event_id", ["payload", "first_seen"], ["last_seen"])
+        rows += new
+        assert sorted(map(tuple, log.latest("key").collect())) == sorted(map(tuple, state.collect()))
+    n = log.read().agg(F.max("batch")).first()[0]
+    assert log.read().where(F.col("batch") == n).count() <= 16  # a batch logs the keys that it met
+    run()
+    assert sorted(map(tuple, log.latest("key").collect())) == sorted(map(tuple, state.collect()))
+
+
+PRESS = "raw_event_id string, delivered bigint, title string, event_date string"
+SIGNALS = "signal_id string, raw_event_id string, name_hint string, confidence double, status string, change string"
+
+
+def after(spark, rows):
+    """Plainly: what each delivery gives by itself; the last one of an event counts."""
+    given = {}
+    for k, row in enumerate(rows):
+        given[row[:2]] = k
+    alone = spark.createDataFrame([(f"{e}#{d}", d, title, day) for e, d, title, day in rows], PRESS)
+    found = {r["raw_event_id"]: r["name_hint"] for r in identified(rules.company_statements(alone)).collect()}
+    out = {}
+    for e in {r[0] for r in rows}:
+        by = {d: found.get(f"{e}#{d}") for x, d in given if x == e}
+        if any(v is not None for v in by.values()):
+            last = by[max(by)]
+            out[e] = ("active", last) if last is not None else ("retracted", None)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_rule_over_a_stream_after_any_split(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    titles = ["Norwind confirms data breach", "Sudwind reports cyber-attack", "Rain", None, "Norwind confirms data breach again"]
+    rows = [(f"e{i}", d, rng.choice(titles), None) for i in range(9) for d in range(rng.randrange(1, 4))]
+    rng.shuffle(rows)  # later deliveries may come first
+    folder = str(tmp_path / "in")
+    for k in range(3):
+        written(spark, rows[k::3], PRESS, folder)
+    log, ledger = ingest.ChangeLog(spark, str(tmp_path / "log"), SIGNALS), ingest.ChangeLog(spark, str(tmp_path / "ledger"), ingest.LEDGER)
+    for files in (1, 2):
+        ingest.classify_stream(ingest.file_stream(spark, folder, PRESS, files), rules.company_statements, log, ledger, str(tmp_path / "ck")).awaitTermination()
+    got = {r["raw_event_id"]: (r["status"], r["name_hint"] if r["status"] == "active" else None) for r in log.latest("signal_id").collect()}
+    assert got == after(spark, rows)
+    assert {r["change"] for r in log.read().collect()} <= {"new", "retracted", "restored", "refreshed"}
+
+
+def test_a_rule_retracts_restores_and_leaves_the_dismissed(spark, tmp_path):
+    folder, log = str(tmp_path / "in"), ingest.ChangeLog(spark, str(tmp_path / "log"), SIGNALS)
+    ledger = ingest.ChangeLog(spark, str(tmp_path / "ledger"), ingest.LEDGER)
+    dismissed = spark.createDataFrame([("own_incident:b:account",)], "signal_id string")
+    changes = []
+    for d, title in enumerate(["Norwind confirms data breach", "Norwind", "Norwind confirms data breach", "Sudwind confirms data breach", "Sudwind confirms data breach"]):
+        written(spark, [(e, d, title, None) for e in ("a", "b", None)], PRESS, folder)
+        ingest.classify_stream(ingest.file_stream(spark, folder, PRESS), rules.company_statements, log, ledger, str(tmp_path / "ck"), dismissed if d else None).awaitTermination()
+        changes.append(sorted((r["raw_event_id"], r["change"], r["name_hint"]) for r in log.read().where(F.col("batch") == d).collect()))
+    assert changes == [
+        [("a", "new", "Norwind"), ("b", "new", "Norwind")],
+        [("a", "retracted", "Norwind")],
+        [("a", "restored", "Norwind")],
+        [("a", "refreshed", "Sudwind")],
+        [],
+    ]
+
+
+def test_daily_counts_and_late_rows(spark, tmp_path):
+    schema, folder, out = "ts timestamp, event_type string", str(tmp_path / "in"), str(tmp_path / "out")
+    at = lambda day, hour=0: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day, hours=hour)
+    seen, batches = {}, [
+        [(at(0), "a"), (at(0, 23), "a"), (at(3), "b"), (at(3, 1), "b")],
+        [(at(0, 5), "a"), (at(1), "b"), (at(2), "a"), (None, "a")],  # the first is late: its day ended two days before the latest time; the next isn't
+        [],
+        [(at(9), "a"), (at(1, 3), "b")],
+        [(at(1, 4), "b"), (at(8), "c")],
+    ]
+    mark = None
+    for k, rows in enumerate(batches):
+        written(spark, rows, schema, folder)
+        ingest.count_stream(lambda: ingest.file_stream(spark, folder, schema, 1), out)
+        for ts, kind in rows:
+            if ts is not None:
+                day = ts.replace(hour=0)
+                late = mark is not None and day + datetime.timedelta(days=1) <= mark
+                counts = seen.setdefault((day, kind), [0, 0])
+                counts[late] += 1
+        tops = [t for r in batches[: k + 1] for t, _ in r if t]
+        mark = max(tops) - datetime.timedelta(days=2)
+        closed = {d: tuple(n) for d, n in seen.items() if d[0] + datetime.timedelta(days=1) <= mark}
+        got = {(r["day"], r["event_type"]): (r["n"], r["late"]) for r in ingest.counted(spark, out).collect()}
+        assert got == closed
