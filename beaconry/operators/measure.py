@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .terms import named_terms
+
 
 def richness(rows: DataFrame, by: str, text: str, short: int = 6) -> DataFrame:
     """Per group: rows, mean and median words, and the share of rows with fewer than `short` words."""
@@ -29,17 +31,37 @@ def price_at(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return met.select(*calls.columns, F.round((F.col("chars") / 4 * F.col("per_million_in") + F.col("max_out") * F.col("per_million_out")) / 1e6, 9).alias("cost"))
 
 
+#: The level of boxes without a finite size.
+UNBOUNDED = 2000
+
+
 def located(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Points (id, x, y) with the smallest box (region, x0, y0, x1, y1) around them; those outside all are left out."""
+    """Points (id, x, y) with the smallest box (region, x0, y0, x1, y1; sides included) around them; those outside all are left out.
+
+    Each box is of the level whose grid cells (powers of two) are just as wide as its longer side, so it meets at most four of
+    them; a point looks into its own cell of every level that has boxes. Of boxes as small as each other the first region counts. A row of
+    points that is repeated has a row each; points and boxes with a null or NaN side meet nothing.
+    """
+    width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    real = [~F.isnan(F.col(c).cast("double")) for c in ("x0", "y0", "x1", "y1")]
+    sound = boxes.where((width >= 0) & (height >= 0) & real[0] & real[1] & real[2] & real[3])
+    side = F.greatest(width, height, F.lit(1e-9)).cast("double")
+    level = F.when(side < 1e300, F.ceil(F.log2(side)).cast("int")).otherwise(UNBOUNDED)
+    cell = lambda v, n: F.when(n == UNBOUNDED, F.lit(0.0)).otherwise(F.floor(F.col(v).cast("double") / F.pow(F.lit(2.0), n.cast("double"))).cast("double"))
+    sized = sound.withColumn("_level", level)
+    n = F.col("_level")
+    both = lambda v: F.array_distinct(F.array(cell(f"{v}0", n), cell(f"{v}1", n)))
+    listed = sized.withColumn("_cx", F.explode(both("x"))).withColumn("_cy", F.explode(both("y")))
+    levels = sized.agg(F.array_sort(F.collect_set("_level")).alias("_levels"))  # some dozens of numbers
+    rows = points.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(levels), F.lit(True)).withColumn("_level", F.explode("_levels")).drop("_levels")
+    rows = rows.withColumns({"_cx": cell("x", n), "_cy": cell("y", n)})
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    # Boxes are a fixed table of regions.
-    met = points.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(boxes), inside)
-    return met.groupBy(*points.columns, "_row").agg(F.min_by("region", F.struct(area, F.col("region"))).alias("region")).drop("_row")
+    met = rows.join(listed, ["_level", "_cx", "_cy"]).where(inside & ~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double")))
+    return met.groupBy(*points.columns, "_row").agg(F.min_by("region", F.struct(width * height, F.col("region"))).alias("region")).drop("_row")
 
 
 def term_hits(titles: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """Watchlist terms in each title, longest first and apart, in order of appearance, each once."""
-    pattern = r"(?iU)\b(" + "|".join(r"\s+".join(rf"\Q{w}\E" for w in t.split()) for t in sorted(terms, key=lambda t: (-len(t), t))) + r")\b"
-    hits = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: F.lower(F.regexp_replace(x, r"\s+", " "))))
-    return titles.select(key, hits.alias("terms")).where(F.size("terms") > 0)
+    hits = named_terms(titles.sparkSession, F.col(text), terms)
+    rows = titles.select(key, hits.alias("terms"))
+    return rows.withColumn("terms", F.array_distinct(F.transform("terms", lambda x: F.lower(F.regexp_replace(x, r"(?U)\s+", " "))))).where(F.size("terms") > 0)

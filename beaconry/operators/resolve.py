@@ -1,6 +1,6 @@
 """Entity resolution: identifiers, collision guard, exact names, then fuzzy names with lossless blocking.
 
-The watchlist is configuration-sized and its dimensions are broadcast only below `MOST_BROADCAST` rows; else Spark joins by key.
+All joins are by key; Spark broadcasts a side only if its statistics are below its own limit.
 """
 
 from __future__ import annotations
@@ -11,15 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import normalized_name
+from ..session import checkpointed
 
 REVIEW, MATCH = 0.75, 0.90
 NEAREST_NAMES = 8
-MOST_BROADCAST = 100_000
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
@@ -148,29 +147,38 @@ def review_rows(resolutions: DataFrame) -> DataFrame:
     return resolutions.where("status = 'review'").select("event_id", F.explode("candidates").alias("candidate"), F.col("method").alias("reason"), "confidence")
 
 
-def rolled_up(entities: DataFrame, edges: DataFrame, steps: int = 10) -> DataFrame:
+def rolled_up(entities: DataFrame, edges: DataFrame, steps: int = 1) -> DataFrame:
     """entity_id and top: the uppermost active ancestor. The first parent by id counts, else the entity's own hint.
 
-    The walk goes on, checkpointed every `steps` steps, until no row moves; it stops at a parent that isn't in
-    `entities`, and in a cycle at the first node met again.
+    The way up stops at a parent that isn't in `entities`, and in a cycle at its first node that is met: an entity in a cycle is its own
+    top. Pointers are doubled, so a way of n steps takes some log2(n) rounds, checkpointed every `steps`; entities that have arrived rest.
     """
     parents = edges.groupBy(F.col("child").alias("entity_id")).agg(F.min("parent").alias("edge"))
-    up = entities.join(parents, "entity_id", "left").select("entity_id", F.coalesce("edge", "parent_id").alias("parent"))
-    up = up.join(entities.select(F.col("entity_id").alias("parent")), "parent", "left_semi")
-    rows = entities.select("entity_id", F.col("entity_id").alias("top"), F.array("entity_id").alias("seen"), F.lit(False).alias("done"))
-    up, moved = checkpointed(up), 0
-    while True:
-        if moved and moved % steps == 0:
-            rows = checkpointed(rows)
-            if rows.where("not done").isEmpty():
-                return rows.select("entity_id", "top")
-        moved += 1
-        step = rows.join(up.select(F.col("entity_id").alias("top"), F.col("parent").alias("next")), "top", "left")
-        go = ~F.col("done") & F.col("next").isNotNull()
-        again = F.array_contains("seen", F.col("next"))
-        rows = step.select(
-            "entity_id",
-            F.when(go, F.col("next")).otherwise(F.col("top")).alias("top"),
-            F.when(go, F.array_append("seen", F.col("next"))).otherwise(F.col("seen")).alias("seen"),
-            (F.col("done") | F.col("next").isNull() | F.coalesce(again, F.lit(False))).alias("done"),
-        )
+    up = entities.join(parents, "entity_id", "left").select("entity_id", F.coalesce("edge", "parent_id").alias("to"))
+    up = up.join(entities.select(F.col("entity_id").alias("to")).distinct(), "to", "left_semi").select("entity_id", "to").dropDuplicates(["entity_id"])
+    nodes = entities.select("entity_id").distinct()
+    n = nodes.count()
+    start = checkpointed(nodes.join(up, "entity_id", "left").select("entity_id", F.coalesce("to", "entity_id").alias("to"), F.col("to").isNull().alias("done")))
+    tops = _doubled(start, n, steps)
+    lost = tops.where("not done")
+    if lost.isEmpty():
+        return tops.select("entity_id", F.col("to").alias("top"))
+    # After n steps and more only nodes of cycles are pointed to. They are tops themselves, and those that lead to them stop there.
+    cycles = checkpointed(lost.select(F.col("to").alias("entity_id")).distinct().withColumn("_c", F.lit(True)))
+    again = start.join(cycles, "entity_id", "left")
+    again = again.select("entity_id", F.when(F.col("_c"), F.col("entity_id")).otherwise(F.col("to")).alias("to"), (F.col("done") | F.coalesce("_c", F.lit(False))).alias("done"))
+    return _doubled(checkpointed(again), n, steps).select("entity_id", F.col("to").alias("top"))
+
+
+def _doubled(start: DataFrame, n: int, steps: int) -> DataFrame:
+    """Pointers (entity_id, to, done) after doubling until all are done, or for so many rounds that n steps are passed. Done nodes point to themselves at first."""
+    rows = start
+    for k in range(1, n.bit_length() + 2):
+        active = rows.where("not done")
+        if active.isEmpty():
+            break
+        there = rows.select(F.col("entity_id").alias("to"), F.col("to").alias("_to"), F.col("done").alias("_done"))
+        moved = active.select("entity_id", "to").join(there, "to").select("entity_id", F.col("_to").alias("to"), F.col("_done").alias("done"))
+        rows = rows.where("done").unionByName(moved)
+        rows = rows if k % steps else checkpointed(rows)
+    return checkpointed(rows)

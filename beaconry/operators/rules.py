@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from .classify import CANDIDATE, OFFICER_ITEM
+from .terms import named_terms
 
 RULE = [*CANDIDATE, "name_hint", "locators", "tier"]
 
@@ -65,7 +66,7 @@ MARKET_TALK = r"(?iU)\b(?:stocks?|shares?|price\s+targets?|dividends?|watchlist|
 
 DOCUMENT = (
     "title string, abstract string, type string, publication_date string, effective_on string, comments_close_on string, "
-    "agencies array<struct<slug string, name string>>, docket_ids array<string>, cfr_references array<struct<title string, part string>>"
+    "agencies array<string>, docket_ids array<string>, cfr_references array<string>"
 )
 
 
@@ -157,12 +158,19 @@ def company_statements(press: DataFrame) -> DataFrame:
     return _emitted(rows, _card("own_incident", F.col("_t"), 0.85, _cited(_piece(F.col("_t"), "title")), hint=F.col("_who"), tier=F.lit("confirmed")))
 
 
+def one_each(resolutions: DataFrame) -> DataFrame:
+    """One resolution per event, with its confidence as _sure: of several a match, then the surest, then the smallest entity."""
+    row = F.struct("status", "entity_id", F.col("confidence").alias("_sure"))
+    order = F.struct(F.col("status") != "matched", -F.coalesce("confidence", F.lit(0.0)), F.col("status"), F.col("entity_id"))
+    return resolutions.groupBy("raw_event_id").agg(F.min_by(row, order).alias("_r")).select("raw_event_id", "_r.*")
+
+
 def leak_listings(listings: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Victim listings (crew, victim, industry) by how the victim's name was resolved (raw_event_id, status, entity_id, confidence).
 
     A match gives the account's own card; no match a peer's if the industry tag is the watchlist's; what needs review gives none.
     """
-    rows = listings.withColumn("victim", blank(F.col("victim"))).where("victim <> ''").join(resolutions.select("raw_event_id", "status", "entity_id", F.col("confidence").alias("_sure")), "raw_event_id")
+    rows = listings.withColumn("victim", blank(F.col("victim"))).where("victim <> ''").join(one_each(resolutions), "raw_event_id")
     rows = rows.withColumns({"event_date": F.substring(F.coalesce("event_date", F.lit("")), 1, 10), "crew": blank(F.col("crew"))})
     site = F.when(F.col("crew") != "", F.concat(F.lit("the "), "crew", F.lit(" ransomware leak site"))).otherwise("a ransomware leak site")
     seen = F.when(F.col("event_date") != "", F.concat(F.lit(", discovered "), "event_date")).otherwise("")
@@ -189,7 +197,7 @@ def press_incidents(disclosures: DataFrame, resolutions: DataFrame, tier: str =
 
     A name without a resolution, like one that needs review, gives no card.
     """
-    found = resolutions.select("raw_event_id", "status", "entity_id", F.col("confidence").alias("_sure"))
+    found = one_each(resolutions)
     rows = disclosures.where("title <> ''").join(found, "raw_event_id", "left").withColumn("event_date", F.substring(F.coalesce("event_date", F.lit("")), 1, 10))
     named, title = F.coalesce(F.col("name"), F.lit("")) != "", F.col("title")
     said = F.concat(F.lit("Security-press reporting indicates "), "name", F.lit(" disclosed a cybersecurity incident. Industry match is unverified."))
@@ -213,7 +221,8 @@ def regulatory_documents(documents: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_e": F.nullif("effective_on", F.lit("")), "_c": F.nullif("comments_close_on", F.lit("")), "_all": F.concat_ws(" ", "title", "abstract")})
     rows = rows.where((F.col("title") != "") & (F.col("_e").isNotNull() | F.col("_c").isNotNull() | F.col("abstract").rlike(COMPLIANCE)))
     whole, title, kind = F.col("_all"), F.col("title"), F.col("kind")
-    of = lambda slug: F.coalesce(F.exists("agencies", lambda a: a["slug"] == slug), F.lit(False))
+    # Each entry by itself: one that isn't an object has no slug, and the others count.
+    of = lambda slug: F.coalesce(F.exists("agencies", lambda a: F.coalesce(F.get_json_object(a, "$.slug") == slug, F.lit(False))), F.lit(False))
     scope = F.when(F.col("_e").isNotNull(), "sector").otherwise("regulatory_calendar")
 
     def cited(pattern: str) -> Column:
@@ -223,7 +232,7 @@ def regulatory_documents(documents: DataFrame) -> DataFrame:
 
     terms = f"(?i){'|'.join(SECURITY_TERMS)}"
     from_docket = F.exists("docket_ids", lambda x: F.upper(F.trim(x)).rlike("^R[MD]"))
-    from_code = F.exists("cfr_references", lambda c: (c["title"] == "18") & (c["part"] == "40"))
+    from_code = F.exists("cfr_references", lambda c: F.coalesce((F.get_json_object(c, "$.title") == "18") & (F.get_json_object(c, "$.part") == "40"), F.lit(False)))
     context = whole.rlike(r"(?i:critical infrastructure protection)|\bCIP-\d{3}\b") | F.coalesce(from_docket, F.lit(False)) | F.coalesce(from_code, F.lit(False))
     # What makes a directive one for pipelines.
     directive = of(TRANSPORT_AGENCY) & kind.isin(RULEMAKING) & whole.rlike(terms) & whole.rlike("(?i)pipeline|lng|liquefied natural gas")
@@ -284,7 +293,7 @@ def pipeline_cases(cases: DataFrame, resolutions: DataFrame, tops: DataFrame, en
     """
     trade = entities.where(F.col("subsector").isin(CASE_SUBSECTORS)).select(F.col("entity_id").alias("top"))
     inside = tops.join(trade, "top", "left_semi").select("entity_id")
-    hits = resolutions.where("status = 'matched'").select("raw_event_id", "entity_id", F.col("confidence").alias("_sure")).join(inside, "entity_id", "left_semi")
+    hits = one_each(resolutions).where("status = 'matched'").select("raw_event_id", "entity_id", "_sure").join(inside, "entity_id", "left_semi")
     sure = F.element_at(F.create_map(*(F.lit(x) for kv in CASE_TYPES.items() for x in kv)), F.col("_type"))
     rows = cases.withColumns({"_type": blank(F.col("case_type")), "_op": blank(F.col("operator"))}).where(F.col("_type").isin(list(CASE_TYPES)) & (F.col("_op") != ""))
     rows = rows.join(hits, "raw_event_id").withColumn("event_date", F.coalesce("event_date", F.lit("")))
@@ -300,14 +309,13 @@ def pipeline_cases(cases: DataFrame, resolutions: DataFrame, tops: DataFrame, en
 def deals(articles: DataFrame, terms: list[str]) -> DataFrame:
     """Article titles on a deal, not on the market, with a card per watchlist term named: a trial that is reported, not stored.
 
-    `terms` is a configured list: it becomes one pattern, in which longer terms win over shorter ones at the same place.
+    `terms` is a configured list, of any length; longer terms win over shorter ones at the same place.
     """
     rows = articles.withColumn("_t", t.squeezed(F.coalesce("title", F.lit("")))).where(F.col("_t").rlike(DEAL) & ~F.col("_t").rlike(MARKET_TALK))
-    listed = sorted(terms, key=lambda x: (-len(x), x))
-    pattern = r"(?iU)\b(?:" + "|".join(r"\s+".join(rf"\Q{w}\E" for w in x.split()) for x in listed) + r")\b" if listed else r"$^"
-    hits = F.regexp_extract_all("_t", F.lit(pattern), 0)
+    rows = rows.withColumn("_hits", named_terms(articles.sparkSession, F.col("_t"), terms))
+    hits = F.col("_hits")
     first = F.filter(hits, lambda x, i: ~F.exists(F.slice(hits, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
-    rows = rows.withColumn("_term", F.explode(first))
+    rows = rows.withColumn("_term", F.explode(first)).drop("_hits")
     headline = t.cut_to(F.concat("_term", F.lit(" in M&A coverage: "), "_t"), 140)
     return _emitted(rows, _card("ma_divestiture", headline, 0.6, _cited(_piece(F.col("_t"), "title")), hint=F.col("_term")))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import list_cell
 
@@ -54,17 +58,59 @@ def list_rows(rows: DataFrame, key: str, cell: str, out: str) -> DataFrame:
 
 
 def identifiers_filled(rows: DataFrame, ids: DataFrame, key: str, column: str) -> DataFrame:
-    """Blank identifiers filled from `ids` (key, value); a value offered for several keys fills none."""
-    single = ids.withColumn("_n", F.count("*").over(Window.partitionBy("value"))).where("_n = 1").select(key, "value")
+    """Blank identifiers filled from `ids` (key, value); a value offered for several keys, or a null one, fills none."""
+    once = ids.where("value is not null").groupBy("value").agg(F.count("*").alias("_n"), F.first(key).alias(key))
+    single = once.where("_n = 1").select(key, "value")
     return rows.join(single, key, "left").withColumn(column, F.coalesce(F.nullif(F.trim(F.col(column)), F.lit("")), F.col("value"))).drop("value")
 
 
+MANIFEST = "name string, folder string, rows bigint, checksum string, columns string"
+
+
+def measured_table(df: DataFrame) -> DataFrame:
+    """One row: a table's rows and a checksum over all its cells, whatever their order."""
+    cells = [F.to_json(F.col(f"`{name}`")) if kind.startswith("map") else F.col(f"`{name}`") for name, kind in df.dtypes]
+    mark = F.xxhash64(*cells, F.concat_ws(",", *(c.isNull().cast("string") for c in cells))) if cells else F.lit(0)
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(mark.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("checksum"))
+
+
 def export_snapshot(tables: dict[str, DataFrame], folder: str) -> list[str]:
-    """Every table as Parquet below a folder of its own; the folders' names."""
-    out = []
+    """Every table as Parquet below a folder of its own, and at last a manifest of all of them; the tables' folders.
+
+    What stands in the files is measured, not what was to be written. While it is written, and if it is torn, the export can't be read.
+    """
+    if not tables or "manifest" in tables:
+        raise ValueError("an export needs tables, none of them called manifest")
+    rows, spark = [], next(iter(tables.values())).sparkSession
+    spark.createDataFrame([], MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        out.append(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        m = measured_table(spark.read.schema(df.schema).parquet(path)).first()
+        rows.append((name, path, m["rows"], m["checksum"], df.schema.json()))
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return [path for _, path, *_ in rows]
+
+
+def read_export(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of an export. Raises ValueError if it has no manifest or a table isn't as the manifest says."""
+    try:
+        manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect()  # a row a table
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        manifest = []
+    if not manifest:
+        raise ValueError(f"{folder} is no whole export")
+    out = {}
+    for r in manifest:
+        try:
+            out[r["name"]] = df = spark.read.schema(StructType.fromJson(json.loads(r["columns"]))).parquet(r["folder"])
+            m = measured_table(df).first()
+        except PySparkException as e:
+            raise ValueError(f"table {r['name']} of {folder} can't be read") from e
+        if (m["rows"], m["checksum"]) != (r["rows"], r["checksum"]):
+            raise ValueError(f"table {r['name']} of {folder} has {m['rows']} rows with another checksum or number than the manifest's {r['rows']}")
     return out
 
 
