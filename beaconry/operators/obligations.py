@@ -57,7 +57,7 @@ def considered(signals: DataFrame, documents: DataFrame, existing: DataFrame, cl
     rows = rows.join(documents.select("raw_event_id", F.from_json("payload", DOCUMENT).alias("p")), "raw_event_id", "left")
     rows = rows.withColumn("obligation_id", F.concat(F.lit("obligation:"), "signal_id")).join(existing.select("obligation_id", F.lit(True).alias("_old")), "obligation_id", "left")
     slug = _of_class(F.col("trigger_id"), classes, lambda c: c.agency)
-    name = F.get(F.filter("p.agencies", lambda a: a["slug"] == slug), F.lit(0))["name"]
+    name = F.get_json_object(F.get(F.filter("p.agencies", lambda a: F.get_json_object(a, "$.slug") == slug), F.lit(0)), "$.name")
     whole = F.concat_ws(" ", "p.title", "p.abstract")
     out = rows.select(
         "obligation_id",
