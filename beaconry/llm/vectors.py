@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Vectors that fit the centroids at most, taken by the hash of their ids.
+#: Vectors that fit the centroids, about so many at most: one an id, taken by the hash of their ids.
 SAMPLE = 20_000
 LIST_SIZE = 512
 MAX_LISTS = 4096
@@ -150,7 +150,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
 
     Rows with null ids, null, zero or non-finite vectors take no part, nor do vectors whose length isn't
     the commonest (ties: the shortest). Rows that share the query's id aren't its candidates; an id that is repeated is found once,
-    with its best score. Ties go to the smaller id. A query gets fewer than k rows only if there are fewer candidates.
+    with its best score. A query id that is repeated is one query too: a candidate's score is the best with any of its vectors. Ties go to the
+    smaller id. A query gets fewer than k rows only if there are fewer ids to find: one that its lists leave short looks into all lists.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -158,14 +159,16 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if not sizes:
         return spark.createDataFrame([], empty)
-    total, dims = sizes[0][0], -sizes[0][1]
+    dims = -sizes[0][1]
     rows = rows.where(F.size("v") == dims)
     asked = usable(queries, id_col, vector_col).where(F.size("v") == dims)
 
-    thin = max(1, -(-total // SAMPLE))
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(thin)) == 0).select("id", "v").toPandas().sort_values("id", kind="stable")
+    ids = rows.select("id").distinct().count()
+    thin = max(1, -(-ids // SAMPLE))
+    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(thin)) == 0).groupBy("id").agg(F.min("v").alias("v"))  # one vector an id
+    sample = drawn.toPandas().sort_values("id", kind="stable")
     sample = unit(np.stack(sample["v"].to_numpy())) if len(sample) else np.zeros((0, dims))
-    lists = int(min(MAX_LISTS, max(1, total // LIST_SIZE), max(1, len(sample) // 8)))
+    lists = int(min(MAX_LISTS, max(1, ids // LIST_SIZE), max(1, len(sample) // 8)))
     index = spark.sparkContext.broadcast(Centroids.fit(sample if len(sample) else np.eye(1, dims), lists))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +180,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own), pa.int32()), *(batch.column(c).take(pa.array(at)) for c in ("id", "v"))], ["list", "id", "v"])
 
     posted = staged(rows.mapInArrow(post, "list int, id bigint, v array<double>"), "postings")
-    counts = {r["list"]: r["count"] for r in posted.groupBy("list").count().collect()}
-    held = np.array([counts.get(i, 0) for i in range(len(index.value.at))])
+    held_ids = posted.groupBy("list", "id").agg(F.count("*").alias("n")).groupBy("list").agg(F.count("*").alias("ids"), F.sum("n").alias("n")).collect()  # a row a list
+    counts, ids_of = {r["list"]: r["n"] for r in held_ids}, {r["list"]: r["ids"] for r in held_ids}
+    held = np.array([ids_of.get(i, 0) for i in range(len(index.value.at))])
     want = REPLICAS * (k + 1)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,25 +194,20 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own), pa.int32()), *(batch.column(c).take(pa.array(at)) for c in ("id", "v"))], ["list", "id", "v"])
 
     looked = staged(asked.mapInArrow(look, "list int, id bigint, v array<double>"), "looked")
-    waiting = {r["list"]: r["count"] for r in looked.groupBy("list").count().collect()}
-    cuts = [(i, -(-counts[i] // BLOCK), -(-waiting[i] // QUERY_BLOCK)) for i in counts if i in waiting]
-    # One row a list: MAX_LISTS at most.
-    cut = F.broadcast(spark.createDataFrame(cuts, "list int, blocks int, turns int"))
-    keys = ["list", "block", "turn"]
-    cells = posted.join(cut, "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select(*keys, "id", "v")
-    turns = looked.join(cut, "list").withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns")).cast("int"))
-    turns = turns.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*keys, "id", "v")
 
     def nearest(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if asking.empty or there.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         q, m = np.stack(asking["v"].to_numpy()), np.stack(there["v"].to_numpy())
         qi, mi = asking["id"].to_numpy(), there["id"].to_numpy()
+        order = np.argsort(mi, kind="stable")
+        m, mi = m[order], mi[order]
+        starts = np.flatnonzero(np.append(True, mi[1:] != mi[:-1]))
         rough = unit(q) @ unit(m).T
         rough[qi[:, None] == mi[None, :]] = -np.inf
-        take = min(k, len(mi))
-        least = np.partition(rough, len(mi) - take, axis=1)[:, len(mi) - take]
+        by_id = np.maximum.reduceat(rough, starts, axis=1)  # an id's copies mustn't take the places of others
+        take = min(k, len(starts))
+        least = np.partition(by_id, len(starts) - take, axis=1)[:, len(starts) - take]
         out = []
         for i in range(len(qi)):  # one by one, as all of a block's vectors may tie
             at = np.flatnonzero((rough[i] >= least[i] - 1e-9) & np.isfinite(rough[i]))
@@ -219,7 +218,32 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
             out.append(pd.DataFrame({"query_id": qi[i], "vec_id": ids[best], "score": scores[best]}))
         return pd.concat(out)
 
-    found = turns.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInPandas(nearest, "query_id bigint, vec_id bigint, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def searched(looking: DataFrame) -> DataFrame:
+        """query_id, vec_id and score: each query's k nearest ids in each block of the lists that it looks into."""
+        waiting = {r["list"]: r["count"] for r in looking.groupBy("list").count().collect()}
+        cuts = [(i, -(-counts[i] // BLOCK), -(-waiting[i] // QUERY_BLOCK)) for i in counts if i in waiting]
+        # One row a list: MAX_LISTS at most.
+        cut = F.broadcast(spark.createDataFrame(cuts, "list int, blocks int, turns int"))
+        keys = ["list", "block", "turn"]
+        cells = posted.join(cut, "list").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
+        cells = cells.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select(*keys, "id", "v")
+        turns = looking.join(cut, "list").withColumn("turn", F.pmod(F.xxhash64("id", "v"), F.col("turns")).cast("int"))
+        turns = turns.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*keys, "id", "v")
+        found = turns.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInPandas(nearest, "query_id bigint, vec_id bigint, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    best = staged(ranked(searched(looked), k), "nearest")
+    most = min(k, ids - 1)
+    full = best.groupBy("query_id").count().where(F.col("count") >= most).select(F.col("query_id").alias("id"))
+    short = staged(asked.join(full, "id", "left_anti"), "short")
+    if most <= 0 or short.isEmpty():
+        return best
+    # These look into every list. Such are those whose lists hold copies of few ids.
+    whole = short.withColumn("list", F.explode(F.lit(np.array(sorted(counts), np.int32)))).select("list", "id", "v")
+    again = ranked(searched(staged(whole, "looked")), k)
+    return best.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
+
+
+def ranked(best: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -88,3 +88,33 @@ def test_huge_components_and_many_ties(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     out = v.neighbours(df, df.where("vec_id in (50, 5000)"), k=3).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])) if r["query_id"] == 50] == [(50, 1, 0), (50, 2, 1), (50, 3, 2)]
+
+
+def test_copies_of_an_id_leave_no_query_short(spark, monkeypatch):
+    monkeypatch.setattr(v, "LIST_SIZE", 40)
+    monkeypatch.setattr(v, "BLOCK", 500)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(12, 16))
+    near = centre[0] + 0.4 * rng.normal(size=16)
+    rows = [(0, near.tolist())] + [(7, (near + 0.01 * rng.normal(size=16)).tolist()) for _ in range(1500)]
+    rows += [(100 + i, (centre[i % 12] + 0.4 * rng.normal(size=16)).tolist()) for i in range(600)]
+    got, want = found(frame(spark, rows)), plain(rows)
+    assert [i for i, _ in got[0]][0] == 7 and all(len(x) == 5 for x in got.values())
+    assert sum(len({i for i, _ in got[k]} & {i for i, _ in want[k]}) for k in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_few_ids_with_very_many_vectors(spark, monkeypatch):
+    monkeypatch.setattr(v, "LIST_SIZE", 20)
+    rng = np.random.default_rng(5)
+    rows = [(i % 4, rng.normal(size=6).tolist()) for i in range(800)] + [(50, rng.normal(size=6).tolist()), (60, (5 * np.ones(6)).tolist())]
+    got, want = found(frame(spark, rows)), plain(rows)
+    assert {k: {i for i, _ in x} for k, x in got.items()} == {0: {1, 2, 3, 50, 60}, 50: {0, 1, 2, 3, 60}}
+    assert len(want[50]) == 5
+
+
+def test_a_repeated_query_id_is_one_query(spark):
+    rows = [(50, [1, 0, 0]), (50, [0, 1, 0]), (1, [1, 0.1, 0]), (2, [0, 1, 0.2]), (3, [1, 1, 1])]
+    got = found(frame(spark, rows))
+    best = lambda y: max(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)) for x in ([1, 0, 0], [0, 1, 0]))
+    want = sorted(((i, best(np.array(y, np.float32).astype(float))) for i, y in rows if i != 50), key=lambda r: -r[1])
+    assert [i for i, _ in got[50]] == [i for i, _ in want] and all(abs(a[1] - b[1]) < 1e-12 for a, b in zip(got[50], want, strict=True))
