@@ -65,3 +65,31 @@ def term_hits(titles: DataFrame, key: str, text: str, terms: list[str]) -> DataF
     hits = named_terms(titles.sparkSession, F.col(text), terms)
     rows = titles.select(key, hits.alias("terms"))
     return rows.withColumn("terms", F.array_distinct(F.transform("terms", lambda x: F.lower(F.regexp_replace(x, r"(?U)\s+", " "))))).where(F.size("terms") > 0)
+
+
+# An agency, what its documents must be about, and what they must order.
+RELEVANT_AGENCY = "transportation security administration"
+RELEVANT_TOPICS = ["pipeline", "lng", "liquefied natural gas"]
+RELEVANT_TERMS = ["security directive", "cybersecurity", "cyber security", "security program", "security measures", "security requirements"]
+
+
+def relevance(documents: DataFrame, by: str, cutoff: str) -> DataFrame:
+    """Per `by` how many documents (event_date, JSON payload) are of the agency, on a topic and with a term, in the window from `cutoff` on.
+
+    malformed: payloads that are no JSON object; a blank one is an object without fields. Of the relevant ones undated_matches have no ISO date and
+    out_of_window_matches an earlier one; the rest are match_count. recommendation: reuse, none, or widen (none, but relevant ones before the window).
+    """
+    said = F.coalesce(F.nullif("payload", F.lit("")), F.lit("{}"))
+    whole = F.try_parse_json(said)
+    rows = documents.withColumns({"_whole": whole, "_sound": F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False))})
+    field = lambda n: F.coalesce(F.get_json_object(said, f"$.{n}"), F.lit(""))
+    text = F.lower(F.concat_ws(" ", field("title"), field("abstract"), field("action")))
+    names = lambda words: F.exists(F.lit(words), lambda w: F.contains(text, w))
+    relevant = F.col("_sound") & F.contains(F.lower(field("agency_names")), F.lit(RELEVANT_AGENCY)) & names(RELEVANT_TOPICS) & names(RELEVANT_TERMS)
+    dated = F.coalesce(F.col("event_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
+    early = F.col("event_date") < cutoff
+    out = rows.withColumns({"_r": relevant, "_d": dated}).groupBy(by).agg(
+        F.count("*").alias("total"), F.count_if(~F.col("_sound")).alias("malformed"), F.count_if(F.col("_r") & ~F.col("_d")).alias("undated_matches"),
+        F.count_if(F.col("_r") & F.col("_d") & early).alias("out_of_window_matches"), F.count_if(F.col("_r") & F.col("_d") & ~early).alias("match_count"),
+    )
+    return out.withColumn("recommendation", F.when(F.col("match_count") > 0, "reuse").when(F.col("out_of_window_matches") > 0, "widen").otherwise("none"))

@@ -122,9 +122,11 @@ def fuzzy(names: DataFrame, terms: DataFrame) -> DataFrame:
 def resolved(events: DataFrame, entities: DataFrame, aliases: DataFrame, collisions: DataFrame) -> DataFrame:
     """One row per event: status (matched, review, none), entity_id, method, confidence and candidates.
 
-    `events` has event_id, cik, ticker, lei, name and context; `entities` entity_id, name, cik, ticker, lei. Each step sees only
+    `events` has event_id, cik, ticker, lei, name and context; `entities` entity_id, name, cik, ticker, lei, and maybe active: those that aren't
+    (false or null) take no part. Each step sees only
     what the one before left: identifiers, terms that collide, exact names, fuzzy names. Fuzzy names are resolved once each.
     """
+    entities = entities.where("active") if "active" in entities.columns else entities
     terms = names_of(entities, aliases)
     guard = collisions.join(entities.select("entity_id"), "entity_id", "left_semi").select("entity_id", normalized_name(F.col("term")).alias("term")).where("term <> ''").distinct()
     known = by_identifier(events, entities)

@@ -60,6 +60,13 @@ AWARDING_PART = "cybersecurity and infrastructure security agency"
 # Case types with their confidence.
 CASE_TYPES = {"Corrective Action Order": 0.85, "Notice of Probable Violation": 0.8, "Warning Letter": 0.7}
 CASE_SUBSECTORS = ["midstream", "lng"]
+CASE_DETAILS = {"violation_category": "Violation category", "cited_regulations": "Cited regulations"}
+# How severe each case type is.
+SEVERITIES = {
+    "Corrective Action Order": "Corrective Action Order (CAO): PHMSA's most severe pre-hearing enforcement mechanism, ordering immediate corrective measures to address a pipeline integrity threat.",
+    "Notice of Probable Violation": "Notice of Probable Violation (NOPV): a formal PHMSA finding of a probable regulatory violation, which may lead to a civil penalty or compliance order.",
+    "Warning Letter": "Warning Letter: PHMSA's least severe enforcement notice, documenting a violation without a proposed civil penalty.",
+}
 # Words of a deal, and words of market talk that rule a title out.
 DEAL = r"(?iU)\b(?:mergers?|merged|merges|merging|acquisitions?|acquires?|acquired|acquiring|divestitures?|divests?|divesting|takeovers?|to\s+buy|combines\s+with)\b"
 MARKET_TALK = r"(?iU)\b(?:stocks?|shares?|price\s+targets?|dividends?|watchlist|bullish|bearish|earnings|buy\s+and\s+hold|hand\s+over\s+fist|underperforming|rallied)\b"
@@ -285,11 +292,12 @@ def qualifying_awards(awards: DataFrame) -> DataFrame:
     return _emitted(rows, _card("capital_project", headline, 0.75, cited, hint=F.col("recipient")))
 
 
-def pipeline_cases(cases: DataFrame, resolutions: DataFrame, tops: DataFrame, entities: DataFrame) -> DataFrame:
+def pipeline_cases(cases: DataFrame, resolutions: DataFrame, tops: DataFrame, entities: DataFrame, severities: dict[str, str] | None = None) -> DataFrame:
     """Enforcement cases whose operator was matched to an entity whose uppermost account is of the trade.
 
     `cases` has raw_event_id, event_date, case_id, case_type, operator and opened; `resolutions` raw_event_id, status, entity_id
-    and confidence; `tops` entity_id and top; `entities` entity_id and subsector.
+    and confidence; `tops` entity_id and top; `entities` entity_id and subsector. Where cases have violation_category and
+    cited_regulations, these are cited too; `severities` (such as SEVERITIES) says what a type means.
     """
     trade = entities.where(F.col("subsector").isin(CASE_SUBSECTORS)).select(F.col("entity_id").alias("top"))
     inside = tops.join(trade, "top", "left_semi").select("entity_id")
@@ -299,8 +307,9 @@ def pipeline_cases(cases: DataFrame, resolutions: DataFrame, tops: DataFrame, en
     rows = rows.join(hits, "raw_event_id").withColumn("event_date", F.coalesce("event_date", F.lit("")))
     cited = _cited(
         _piece(F.concat(F.lit("CPF "), F.coalesce(F.col("case_id").cast("string"), F.lit("")), F.lit(": "), "_type", F.lit(" against "), "operator"), "case"),
+        *(_piece(F.concat(F.lit(f"{said}: "), filled(F.col(c))), c) for c, said in CASE_DETAILS.items() if c in cases.columns),
         _piece(F.concat(F.lit("Opened "), filled(F.col("opened"))), "opened_date"),
-        _piece(F.concat(F.lit("Severity: "), "_type"), "severity"),
+        _piece(F.element_at(F.create_map(*(F.lit(x) for kv in severities.items() for x in kv)), F.col("_type")) if severities else F.concat(F.lit("Severity: "), "_type"), "severity"),
     )
     headline = t.cut_to(F.concat(F.lit("PHMSA "), "_type", F.lit(": "), "_op"), 140)
     return _emitted(rows, _card("pipeline_enforcement_action", headline, F.least(sure, F.col("_sure")), cited, entity=F.col("entity_id").cast("string")))

@@ -145,3 +145,27 @@ def retiered(signals: DataFrame, edits: DataFrame, tiers: list[str]) -> tuple[Da
     first = trail.where("outcome = 'applied'").groupBy("signal_id").agg(F.min_by("new_tier", F.struct("ts", "new_tier")).alias("_tier"))
     state = signals.join(first, "signal_id", "left").withColumn("tier", F.coalesce("_tier", "tier")).drop("_tier")
     return state, trail
+
+
+def shown_score(score: Column) -> Column:
+    """Two places at most, without idle zeros; 'unscored' if null."""
+    return F.when(score.isNull(), "unscored").otherwise(F.regexp_replace(F.format_string("%.2f", score.cast("double")), r"\.?0+$", ""))
+
+
+def score_breakdown(rows: DataFrame) -> DataFrame:
+    """`rows` (score, score_base, score_decay, score_account_fit, score_scope_fit, score_combo) with `breakdown` and `ceiling`.
+
+    The line names the factors whose product the score is; null until the row is scored. A null combo reads 'no combo applied', never as
+    a factor of one. The ceiling is the score without decay: what is unknown but for the base counts as one; null without a base and if it isn't above 0.
+    """
+    factors = ["score_decay", "score_account_fit", "score_scope_fit"]
+    known = F.col("score").isNotNull() & F.col("score_base").isNotNull()
+    for c in factors:
+        known &= F.col(c).isNotNull()
+    two = lambda c: F.format_string("%.2f", F.col(c).cast("double"))
+    line = F.concat(F.lit("score "), shown_score(F.col("score")), F.lit(" = "), shown_score(F.col("score_base")), *(x for c in factors for x in (F.lit(" × "), two(c))))
+    last = F.when(F.col("score_combo").isNull(), " · no combo applied").otherwise(F.concat(F.lit(" × "), two("score_combo")))
+    ceiling = F.col("score_base").cast("double")
+    for c in ("score_account_fit", "score_scope_fit", "score_combo"):
+        ceiling = ceiling * F.coalesce(F.col(c).cast("double"), F.lit(1.0))
+    return rows.withColumns({"breakdown": F.when(known, F.concat(line, last)), "ceiling": F.when(ceiling > 0, ceiling)})

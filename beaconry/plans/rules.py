@@ -150,7 +150,7 @@ def s07_cves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as vulnerabilities in a page per order."""
     v = "named_struct('cve', named_struct('id', 'CVE-' || l_orderkey || '-' || l_linenumber, 'published', CASE WHEN l_partkey % 6 <> 0 THEN ' ' || date_format(l_shipdate, \"yyyy-MM-dd'T'HH:mm:ss\") END))"
     per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.expr(v)).alias("vulnerabilities"))
-    return normalize.cves(per.select(F.to_json(F.struct("vulnerabilities")).alias("payload")))
+    return normalize.cves(per.select(F.to_json(F.struct("vulnerabilities")).alias("payload"))).select("native_id", "event_date")
 
 
 def s12_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:

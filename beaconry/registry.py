@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Modules with QUERIES and ORACLES.
 PLANS = [
     "scoring", "feed", "precision", "resolve", "ingest", "text", "classify", "reports", "worklists", "rules", "obligations", "licences", "displays",
-    "tables", "streams", "upkeep",
+    "tables", "streams", "upkeep", "details",
 ]
 
 

@@ -67,10 +67,10 @@ def advisories(items: DataFrame, cutoff: str) -> DataFrame:
     return rss_items(items.withColumn("guid", slug), cutoff)
 
 
-def cves(pages: DataFrame) -> DataFrame:
-    """Pages of vulnerabilities, dated by the day they were published."""
+def cves(pages: DataFrame, detail: str = "https://nvd.nist.gov/vuln/detail/") -> DataFrame:
+    """Pages of vulnerabilities, dated by the day they were published, with the address of their detail page as url."""
     v = pages.select(F.explode(F.from_json("payload", "vulnerabilities array<struct<cve struct<id string, published string>>>")["vulnerabilities"]).alias("v"))
-    return v.select(F.coalesce("v.cve.id", F.lit("")).alias("native_id"), F.substring(F.trim(F.coalesce("v.cve.published", F.lit(""))), 1, 10).alias("event_date"))
+    return v.select(F.coalesce("v.cve.id", F.lit("")).alias("native_id"), F.substring(F.trim(F.coalesce("v.cve.published", F.lit(""))), 1, 10).alias("event_date"), F.concat(F.lit(detail), F.coalesce("v.cve.id", F.lit(""))).alias("url"))
 
 
 def calendar(months: DataFrame, site: str, today: str) -> DataFrame:
