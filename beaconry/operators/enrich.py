@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -95,3 +95,36 @@ def edited(rows: DataFrame, seed: DataFrame, edits: DataFrame, references: DataF
     kept = kept.select(key, *(F.when(F.col("_seed").isNotNull(), F.col(f"_seed.{c}")).otherwise(F.col(c)).alias(c) for c in fields), "origin")
     added = audit.where("outcome = 'added'").select(key, *fields, F.lit("operator").alias("origin"))
     return kept.unionByName(added), audit.select("seq", "action", key, "outcome")
+
+
+def listed_edits(rows: DataFrame, edits: DataFrame, entities: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """An entity's list (its aliases or collision terms) after edits in order of seq, and the audit: each edit with its `outcome`.
+
+    `rows` has entity_id, the value and origin (seed or operator), each pair once; `edits` seq (unique), action (add or remove), entity_id and the
+    value; `entities` entity_id. An added value is trimmed, and goes to known entities only (`unknown_entity`, `blank`, `exists`, else `added`).
+    Only what is there (`unknown`) and is an operator's (`not_operator`) is `removed`. Another action is `bad_action`. The audit has the value before
+    and after: old_value and new_value, both null if nothing changed.
+    """
+    known = entities.select("entity_id").distinct().withColumn("_known", F.lit(True))
+    start = rows.select("entity_id", F.col(value).alias("_v"), F.col("origin").alias("_origin"))
+    e = edits.withColumn("_v", F.when(F.col("action") == "add", F.trim(F.coalesce(value, F.lit("")))).otherwise(F.col(value)))
+    e = e.join(known, "entity_id", "left").join(start, ["entity_id", "_v"], "left")
+    counts = ((F.col("action") == "add") & F.col("_known").isNotNull() & (F.col("_v") != "")) | (F.col("action") == "remove")
+    e = e.withColumn("_does", F.when(F.coalesce(counts, F.lit(False)), F.col("action")))
+    # What the last edit of the pair that counted did tells whether it is there; a seed's value is never gone.
+    before = Window.partitionBy("entity_id", "_v").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last("_does", ignorenulls=True).over(before)
+    seed = F.coalesce(F.col("_origin") == "seed", F.lit(False))
+    there = seed | F.when(last.isNotNull(), last == "add").otherwise(F.col("_origin").isNotNull())
+    e = e.withColumn("_there", there)
+    outcome = (
+        F.when(F.col("action") == "add", F.when(F.col("_known").isNull(), "unknown_entity").when(F.col("_v") == "", "blank").when(F.col("_there"), "exists").otherwise("added"))
+        .when(F.col("action") == "remove", F.when(~F.col("_there"), "unknown").when(seed, "not_operator").otherwise("removed"))
+        .otherwise("bad_action")
+    )
+    audit = e.withColumn("outcome", outcome)
+    changed = audit.where("outcome in ('added', 'removed')").groupBy("entity_id", "_v").agg(F.max_by("outcome", "seq").alias("_last"))
+    after = start.join(changed, ["entity_id", "_v"], "full_outer").where(F.col("_last").isNull() | (F.col("_last") == "added"))
+    after = after.select("entity_id", F.col("_v").alias(value), F.when(F.col("_last").isNull(), F.col("_origin")).otherwise("operator").alias("origin"))
+    told = audit.select("seq", "action", "entity_id", "outcome", F.when(F.col("outcome") == "removed", F.col("_v")).alias("old_value"), F.when(F.col("outcome") == "added", F.col("_v")).alias("new_value"))
+    return after, told

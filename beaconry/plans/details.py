@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import classify, measure, resolve, rules, scoring
+from ..operators import classify, enrich, measure, resolve, rules, scoring
 from ..session import table
 from ..sources import normalize
 from . import roles
@@ -73,12 +73,45 @@ def c14_whole_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("raw_event_id", "entity_id", "confidence", F.array_join("evidence", "|").alias("evidence"))
 
 
-QUERIES = {f.__name__: f for f in (s04_rss_items, s07_cve_urls, c09_relevance, a25_relevance, p23_breakdowns, c14_whole_evidence)}
+def _alias_edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers' order priorities up to 1998 as their aliases, all orders as edits of them."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    rows = o.where("o_orderdate < timestamp '1998-01-01'").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderpriority").alias("alias")).distinct()
+    rows = rows.withColumn("origin", F.when(F.col("entity_id") % 2 == 0, "seed").otherwise("operator"))
+    action = F.when(k % 3 == 0, "remove").when(k % 29 == 0, "edit").otherwise("add")
+    value = F.when(k % 19 == 0, " ").when(k % 3 == 0, F.col("o_orderpriority")).otherwise(F.concat(F.lit("  "), "o_orderpriority", F.lit(" ")))
+    edits = o.select(k.alias("seq"), action.alias("action"), F.when(k % 17 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("entity_id"), value.alias("alias"))
+    return enrich.listed_edits(rows, edits, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id")), "alias")
+
+
+def e02_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All aliases after adds and removals in order."""
+    return _alias_edits(spark, sf_dir)[0]
+
+
+def e02_alias_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each edit of an alias, with the value before and after."""
+    return _alias_edits(spark, sf_dir)[1]
+
+
+QUERIES = {f.__name__: f for f in (s04_rss_items, s07_cve_urls, c09_relevance, a25_relevance, p23_breakdowns, c14_whole_evidence, e02_aliases, e02_alias_audit)}
 
 _TWO = "printf('%.2f', CAST(round(CAST({} AS DECIMAL(18, 9)), 2) AS DOUBLE))"
 _SHOWN = "regexp_replace(" + _TWO + r", '\.?0+$', '')"
 
+_ALIASES = """WITH r AS (SELECT DISTINCT o_custkey AS e, o_orderpriority AS v, CASE WHEN o_custkey % 2 = 0 THEN 'seed' ELSE 'operator' END AS origin FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),
+x AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'remove' WHEN o_orderkey % 29 = 0 THEN 'edit' ELSE 'add' END AS action, CASE WHEN o_orderkey % 17 = 0 THEN -o_custkey ELSE o_custkey END AS e,
+ CASE WHEN o_orderkey % 19 <> 0 THEN o_orderpriority WHEN o_orderkey % 3 = 0 THEN ' ' ELSE '' END AS v, o_orderkey % 29 = 0 AND o_orderkey % 3 <> 0 AS odd FROM orders),
+y AS (SELECT x.*, r.origin, CASE WHEN odd THEN NULL WHEN action = 'remove' OR (x.e >= 0 AND x.v <> '') THEN action END AS does FROM x LEFT JOIN r ON x.e = r.e AND x.v = r.v),
+z AS (SELECT *, last_value(does IGNORE NULLS) OVER (PARTITION BY e, v ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM y),
+t AS (SELECT *, origin IS NOT NULL AND origin = 'seed' OR CASE WHEN before IS NOT NULL THEN before = 'add' ELSE origin IS NOT NULL END AS there FROM z),
+a AS (SELECT *, CASE action WHEN 'add' THEN CASE WHEN e < 0 THEN 'unknown_entity' WHEN v = '' THEN 'blank' WHEN there THEN 'exists' ELSE 'added' END
+  WHEN 'remove' THEN CASE WHEN NOT there THEN 'unknown' WHEN origin = 'seed' THEN 'not_operator' ELSE 'removed' END ELSE 'bad_action' END AS outcome FROM t)"""
+
 ORACLES = {
+    "e02_alias_audit": f"{_ALIASES} SELECT seq, action, e AS entity_id, outcome, CASE WHEN outcome = 'removed' THEN v END AS old_value, CASE WHEN outcome = 'added' THEN v END AS new_value FROM a",
+    "e02_aliases": f"""{_ALIASES}, l AS (SELECT e, v, arg_max(outcome, seq) AS last FROM a WHERE outcome IN ('added', 'removed') GROUP BY e, v)
+SELECT coalesce(r.e, l.e) AS entity_id, coalesce(r.v, l.v) AS alias, CASE WHEN last IS NULL THEN origin ELSE 'operator' END AS origin FROM r FULL JOIN l ON r.e = l.e AND r.v = l.v WHERE last IS NULL OR last = 'added'""",
     "s04_rss_items": f"""WITH c AS (SELECT *, conv_id * 7 + turn AS k, TIMESTAMP '1998-01-01 22:30:00' + to_days(CAST((conv_id * 7 + turn) % 2000 AS INTEGER)) AS t FROM conversations),
 d AS (SELECT *, CASE WHEN k % 11 = 0 THEN '' ELSE strftime(CASE WHEN k % 5 = 0 THEN t + INTERVAL 4 HOUR ELSE t END, '%Y-%m-%d') END AS event_date, 'https://press/' || conv_id || '/' || turn AS link FROM c)
 SELECT CASE WHEN k % 3 = 1 THEN 'g-' || conv_id || '-' || turn ELSE link END AS native_id, event_date, text AS title, ' ' || link || ' ' AS url FROM d WHERE event_date = '' OR event_date >= '{CUTOFF}'""",

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from beaconry.operators import measure, resolve, rules, scoring
+from beaconry.operators import enrich, measure, resolve, rules, scoring
 
 SCORES = "id int, score double, score_base double, score_decay double, score_account_fit double, score_scope_fit double, score_combo double"
 
@@ -49,3 +49,16 @@ def test_blank_details_of_a_case_are_not_cited(spark):
     found = spark.createDataFrame([("r1", "matched", "e1", 1.0)], "raw_event_id string, status string, entity_id string, confidence double")
     out = rules.pipeline_cases(cases, found, spark.createDataFrame([("e1", "e1")], "entity_id string, top string"), spark.createDataFrame([("e1", "lng")], "entity_id string, subsector string"), rules.SEVERITIES)
     assert list(out.first()["evidence"]) == ["CPF 5: Warning Letter against Acme", "Cited regulations: 49 CFR 1", rules.SEVERITIES["Warning Letter"]]
+
+
+def test_lists_are_edited_in_order(spark):
+    rows = spark.createDataFrame([("e1", "seeded", "seed"), ("e1", "own", "operator"), ("gone", "x", "operator")], "entity_id string, alias string, origin string")
+    entities = spark.createDataFrame([("e1",), ("e1",)], "entity_id string")
+    edits = [
+        (1, "add", "e1", " new "), (2, "add", "e1", "new"), (3, "remove", "e1", "new"), (4, "remove", "e1", "new"), (5, "add", "e1", "new"), (6, "remove", "e1", "seeded"), (7, "remove", "e1", "own"), (8, "add", "e1", "own"), (9, "add", "e9", "a"),
+        (10, "add", "e1", None), (11, "edit", "e1", "own"), (12, None, "e1", "own"), (13, "remove", "gone", "x"), (14, "add", "e1", "seeded"), (15, "remove", "e1", "seeded"), (16, "remove", None, None), (17, "add", None, "b"),
+    ]
+    after, audit = enrich.listed_edits(rows, spark.createDataFrame(edits, "seq int, action string, entity_id string, alias string"), entities, "alias")
+    assert [r["outcome"] for r in audit.orderBy("seq").collect()] == ["added", "exists", "removed", "unknown", "added", "not_operator", "removed", "added", "unknown_entity", "blank", "bad_action", "bad_action", "removed", "exists", "not_operator", "unknown", "unknown_entity"]
+    assert sorted(map(tuple, after.collect())) == [("e1", "new", "operator"), ("e1", "own", "operator"), ("e1", "seeded", "seed")]
+    assert {r["seq"]: (r["old_value"], r["new_value"]) for r in audit.collect() if r["seq"] in (1, 3, 6)} == {1: (None, "new"), 3: ("new", None), 6: (None, None)}
