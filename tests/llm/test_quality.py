@@ -76,3 +76,44 @@ def test_the_scores_are_those_of_plain_code(spark):
     for i, t in rows:
         want = 0.0 if not t else 1 / (1 + q.np.exp(-(float(q.features(t.encode()) @ w) + b)))
         assert abs(got[i] - want) < 1e-3 and (abs(want - 0.5) < 1e-3 or (got[i] >= 0.5) == (want >= 0.5))
+
+
+def plain_em(patterns, rounds=60):
+    """Two classes, labellers independent given the class, by loops over patterns; an abstention counts for nothing."""
+    n = len(next(iter(patterns)))
+    share, right = 0.7, [{"good": {"g": 0.85, "b": 0.15}, "bad": {"g": 0.5, "b": 0.5}} for _ in range(n)]
+    post = {}
+    for _ in range(rounds):
+        for p in patterns:
+            good, bad = share, 1 - share
+            for j, vote in enumerate(p):
+                if vote != "-":
+                    good, bad = good * right[j]["good"][vote], bad * right[j]["bad"][vote]
+            post[p] = good / (good + bad)
+        total = sum(patterns.values())
+        share = (sum(k * post[p] for p, k in patterns.items()) + 1) / (total + 2)
+        for j in range(n):
+            for kind in ("good", "bad"):
+                seen = {v: 1 + sum(k * (post[p] if kind == "good" else 1 - post[p]) for p, k in patterns.items() if p[j] == v) for v in "gb"}
+                right[j][kind] = {v: x / (seen["g"] + seen["b"]) for v, x in seen.items()}
+    return share, right, post
+
+
+def test_posteriors_are_those_of_plain_expectation_maximisation():
+    import random
+
+    rng = random.Random(12)
+    sure = [0.95, 0.9, 0.8, 0.7, 0.9, 0.6, 0.85, 0.75][: len(q.LABELLERS)]
+    patterns, truth = {}, []
+    for _ in range(4000):
+        good = rng.random() < 0.8
+        p = "".join("-" if rng.random() < 0.2 else "g" if (rng.random() < a) == good else "b" for a in sure)
+        patterns[p] = patterns.get(p, 0) + 1
+        truth.append((p, good))
+    share, tables, post = q.fit_labels(patterns)
+    want_share, want_right, want = plain_em(patterns)
+    assert abs(share - want_share) < 1e-6
+    assert all(abs(post[p] - want[p]) < 1e-6 for p in patterns)
+    assert all(abs(tables[0, j, 0] - want_right[j]["good"]["g"]) < 1e-6 for j in range(len(sure)))
+    assert all(abs(tables[0, j, 0] - a) < 0.05 for j, a in enumerate(sure))  # the labellers' accuracies are found
+    assert sum((post[p] >= 0.5) == good for p, good in truth) > 0.95 * len(truth)
