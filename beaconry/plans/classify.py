@@ -103,7 +103,7 @@ def j39_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cited.withColumn("known", F.lit(True)).unionByName(orphans.withColumn("known", F.lit(False)))
 
 
-QUERIES = {f.__name__: f for f in (c03_incident_candidates, c15_admission, c16_c17_signals, c18_provenance, c18_next_turn, c20_reconcile, c21_unprocessed, j29_l05_obligations, l09_snapshots, l11_stale_facts, j39_citations)}
+QUERIES = {f.__name__: f for f in (c03_incident_candidates, c15_admission, c16_c17_signals, c18_next_turn, c20_reconcile, c21_unprocessed, j29_l05_obligations, l09_snapshots, l11_stale_facts, j39_citations)}
 
 _CAND = """f AS (SELECT *, 'r' || o_orderkey AS raw_event_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS e, CASE WHEN o_orderkey % 2 = 0 THEN '8-K' ELSE '' END AS form FROM orders WHERE o_orderkey % 5 = 0),
 c AS (SELECT raw_event_id, 'own_incident' AS trigger_id, e AS entity_id, 0.9e0 AS confidence, form FROM f UNION ALL SELECT raw_event_id, 'peer_incident', NULL, 0.8e0, form FROM f),
@@ -115,7 +115,6 @@ ORACLES = {
     "c03_incident_candidates": f"WITH {_CAND} SELECT raw_event_id, trigger_id, entity_id, confidence FROM c",
     "c15_admission": f"WITH {_CAND} SELECT trigger_id, outcome, count(*) AS n FROM a GROUP BY ALL",
     "c16_c17_signals": f"WITH {_CAND} SELECT trigger_id || ':' || raw_event_id || ':' || coalesce(CAST(entity_id AS VARCHAR), 'sector') AS signal_id, 0 AS n, 'Item 1.05 in ' || form AS text FROM a WHERE outcome = 'admitted'",
-    "c18_provenance": "SELECT a.conv_id, a.turn, true AS own_words FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
     "c18_next_turn": f"""WITH t AS (SELECT a.conv_id, a.turn, {_TOKENS.format("b.text")} AS m, list_append({_TOKENS.format("a.text")}, 'reported') AS s FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 d AS (SELECT *, list_filter(m, lambda x, i: list_position(m, x) = i) AS d FROM t)
 SELECT conv_id, turn, new_words = 0 AS own_words, new_words FROM (SELECT conv_id, turn, len(list_filter(d, lambda x: NOT list_contains(s, x) AND NOT (x = d[-1] AND len(list_filter(s, lambda k: starts_with(k, x))) > 0))) AS new_words FROM d)""",

@@ -148,15 +148,13 @@ def q05_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", "props").agg(F.count("*").alias("n")).where("n > 1")
 
 
-QUERIES = {f.__name__: f for f in (s01_filings, s06_catalog, s06_all_lines, s08_capacity, s09_news, s10_page_snapshots, s13_enforcement, s14_cases, s16_listings, s19_event_keys, s20_upsert_events, s20_upsert_all_events, s23_refresh_config, s24_list_cells, s25_fill_identifiers, q04_unmet_parents, q05_repeated_keys)}
+QUERIES = {f.__name__: f for f in (s01_filings, s06_all_lines, s08_capacity, s09_news, s13_enforcement, s14_cases, s19_event_keys, s20_upsert_all_events, s23_refresh_config, s24_list_cells, s25_fill_identifiers, q04_unmet_parents, q05_repeated_keys)}
 
 ORACLES = {
     "s01_filings": f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS back,
  CASE o_orderkey % 4 WHEN 0 THEN '8-K' WHEN 1 THEN '10-K' WHEN 2 THEN '8-K/A' ELSE '4' END AS form FROM orders)
 SELECT o_custkey AS entity_id, CAST(o_orderkey AS VARCHAR) AS native_id, strftime(o_orderdate, '%Y-%m-%d') AS event_date, form, '5.02|' || o_orderstatus AS items
 FROM o WHERE back > 1 AND form <> '4' AND strftime(o_orderdate, '%Y-%m-%d') >= '{CUTOFF}'""",
-    "s06_catalog": """SELECT 'CVE-' || l_orderkey || '-' || l_partkey AS native_id, CASE WHEN l_orderkey % 20 = 0 THEN '' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS event_date
-FROM lineitem WHERE l_linenumber = 1 AND (l_orderkey % 20 = 0 OR l_shipdate >= TIMESTAMP '2000-01-01')""",
     "s06_all_lines": """SELECT 'CVE-' || l_orderkey || '-' || l_partkey AS native_id, CASE WHEN l_orderkey % 20 = 0 THEN '' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS event_date
 FROM lineitem WHERE l_orderkey % 20 = 0 OR l_shipdate >= TIMESTAMP '2000-01-01'""",
     "s08_capacity": """WITH p AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN '2001' WHEN 1 THEN '2001-07' WHEN 2 THEN '2001-07-09' ELSE 'July' END AS period FROM part)
@@ -165,17 +163,11 @@ SELECT CASE WHEN p_partkey % 9 = 0 THEN '' ELSE p_partkey || ':' || p_brand || '
     "s09_news": """WITH a AS (SELECT *, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'http://n/' || o_custkey END AS url FROM orders),
 f AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN url = '' THEN '#' || o_orderkey ELSE url END ORDER BY o_orderkey) AS r FROM a)
 SELECT url AS native_id, CASE WHEN o_orderkey % 3 = 2 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS event_date, o_orderpriority AS title FROM f WHERE r = 1""",
-    "s10_page_snapshots": "SELECT url, true AS has_text, false AS has_script, false AS has_tag FROM pages",
     "s13_enforcement": f"""SELECT CAST(o_orderkey AS VARCHAR) AS native_id, strftime(o_orderdate, '%Y-%m-%d') AS event_date, 'op ' || o_custkey AS operator, o_orderstatus AS case_type
 FROM orders WHERE o_orderkey % 12 <> 0 AND o_orderkey % 15 <> 0 AND strftime(o_orderdate, '%Y-%m-%d') >= '{CUTOFF}'""",
     "s14_cases": f"""WITH c AS (SELECT CAST(o_orderkey AS VARCHAR) AS native_id, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 0 THEN '1999-02-03' ELSE '' END AS event_date FROM orders)
 SELECT native_id, event_date, 'A (B)' AS name FROM c WHERE event_date >= '{CUTOFF}'""",
-    "s16_listings": """SELECT CASE WHEN event_id % 3 = 0 THEN 'hashed' ELSE CAST(event_id AS VARCHAR) END AS native_id, strftime(ts, '%Y-%m-%d') AS event_date, event_type AS crew, CAST(event_id AS VARCHAR) AS victim FROM events""",
     "s19_event_keys": """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type || ':h:' || substr(sha256(props), 1, 24) ELSE event_type || ':' || event_id END AS key FROM events""",
-    "s20_upsert_events": """WITH e AS (SELECT event_type || ':' || props AS key, event_id, value FROM events),
-o AS (SELECT key, arg_min(value, event_id) AS payload, min(event_id) AS f FROM e WHERE event_id % 2 = 0 AND event_id < 4000 GROUP BY key),
-b AS (SELECT key, arg_min(value, event_id) AS payload, min(event_id) AS f, max(event_id) AS l FROM e WHERE event_id >= 2000 GROUP BY key)
-SELECT coalesce(o.key, b.key) AS key, coalesce(o.payload, b.payload) AS payload, coalesce(o.f, b.f) AS first_seen, coalesce(b.l, o.f) AS last_seen FROM o FULL JOIN b ON o.key = b.key""",
     "s20_upsert_all_events": """WITH e AS (SELECT event_type || ':' || props AS key, event_id, value, max(event_id) OVER () AS top FROM events),
 o AS (SELECT key, arg_min(value, event_id) AS payload, min(event_id) AS f FROM e WHERE 3 * event_id <= 2 * top GROUP BY key),
 b AS (SELECT key, arg_min(value, event_id) AS payload, min(event_id) AS f, max(event_id) AS l FROM e WHERE 3 * event_id > top GROUP BY key)

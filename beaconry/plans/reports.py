@@ -97,7 +97,7 @@ def j17_term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.term_hits(titles, "p_partkey", "title", ["blue", "blue anvil", "ring", "red widget"]).select("p_partkey", F.array_join("terms", ",").alias("terms"))
 
 
-QUERIES = {f.__name__: f for f in (e01_q07_edited_state, e01_q07_trail, e08_triage, q06_contract, q06_all_signals, a22_goldens, a23_richness, a27_cost, j33_j34_regions, j17_term_hits)}
+QUERIES = {f.__name__: f for f in (e01_q07_edited_state, e01_q07_trail, e08_triage, q06_all_signals, a22_goldens, a23_richness, a27_cost, j33_j34_regions, j17_term_hits)}
 
 _EDITS = """e AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 10 = 9 THEN -c_custkey ELSE c_custkey END AS key, CASE c_custkey % 3 WHEN 0 THEN 'c_mktsegment' WHEN 1 THEN 'c_nationkey' ELSE 'c_name' END AS field,
  CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'BUILDING' ELSE '' END ELSE CAST(c_custkey % 40 AS VARCHAR) END AS v, c_mktsegment, c_nationkey FROM customer),
@@ -110,7 +110,6 @@ ORACLES = {
  CASE WHEN outcome = 'applied' AND field = 'c_nationkey' THEN CAST(v AS INT) ELSE c_nationkey END AS c_nationkey FROM o""",
     "e01_q07_trail": f"WITH {_EDITS} SELECT field, outcome, count(*) AS n FROM o GROUP BY ALL",
     "e08_triage": """SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN user_id END AS candidate, CASE WHEN event_id % 2 <> 0 THEN 'pending' WHEN event_id % 3 = 0 THEN 'accepted' ELSE 'rejected' END AS disposition FROM events""",
-    "q06_contract": f"""WITH {SIGNALS} SELECT signal_id, 'tier' AS field FROM signals WHERE seq % 7 = 0 AND tier IS NULL UNION ALL SELECT signal_id, 'entity_id' FROM signals WHERE seq % 7 = 0 AND entity_id IS NULL""",
     "q06_all_signals": f"""WITH {SIGNALS}, c AS (SELECT signal_id, unnest([CASE WHEN seq % 10 = 0 THEN 'url' END, CASE WHEN trim(coalesce(headline, '')) = '' THEN 'headline' END, CASE WHEN seq % 13 = 0 THEN 'snippet' END,
  CASE WHEN trim(coalesce(signal_scope, '')) = '' THEN 'signal_scope' END, CASE WHEN trim(coalesce(trigger_id, '')) = '' THEN 'trigger_id' END, CASE WHEN tier IS NULL THEN 'tier' END]) AS field FROM signals)
 SELECT signal_id, field FROM c WHERE field IS NOT NULL""",

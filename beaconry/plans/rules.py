@@ -120,7 +120,7 @@ def c11_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s10_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text of all pages and its hash, whole."""
-    return normalize.page_snapshots(table(spark, sf_dir, "pages").where("url is not null"))
+    return normalize.page_snapshots(table(spark, sf_dir, "pages"))
 
 
 def s16_listing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,9 +224,9 @@ SELECT raw_event_id, 'pipeline_enforcement_action' AS trigger_id, CAST(e AS VARC
  concat_ws(' / ', 'CPF ' || k || ': ' || kind || ' against Customer ' || e, CASE WHEN k % 2 = 0 THEN 'Opened 1/2/01' END, 'Severity: ' || kind) AS evidence, CASE WHEN k % 2 = 0 THEN 'case,opened_date,severity' ELSE 'case,severity' END AS locators FROM c""",
     "c11_deals": f"""WITH a AS (SELECT *, regexp_replace({DEAL_TITLES}, '\\s+', ' ', 'g') AS t FROM ({_RAW}) WHERE k % 5 IN (0, 3)), h AS (SELECT *, unnest(CASE WHEN k % 5 = 0 THEN ['Building', 'Machinery'] ELSE ['Household Goods'] END) AS term FROM a)
 SELECT raw_event_id, 'ma_divestiture' AS trigger_id, term AS name_hint, term || ' in M&A coverage: ' || t AS headline, 0.6e0 AS confidence, t AS evidence, 'title' AS locators FROM h""",
-    "s10_page_texts": r"""WITH a AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages WHERE url IS NOT NULL),
+    "s10_page_texts": r"""WITH a AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages),
 b AS (SELECT url, regexp_replace(h, '<[^>]+>', ' ', 'g') AS h FROM a), t AS (SELECT url, trim(regexp_replace(replace(replace(replace(replace(h, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b)
-SELECT url, text, sha256(url || chr(10) || text) AS content_hash FROM t""",
+SELECT url, text, sha256(coalesce(url, '') || chr(10) || coalesce(text, '')) AS content_hash FROM t""",
     "s16_listing_keys": """WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') AS day, CAST(event_id AS VARCHAR) AS v FROM events)
 SELECT CASE WHEN event_id % 3 <> 0 THEN v ELSE 'h:' || substr(sha256('{"activity":"energy","attackdate":"' || day || '","discovered":"' || CASE WHEN event_id % 2 = 0 THEN day ELSE '' END || '","group":"' || event_type || '","id":"","victim":"' || v || '"}'), 1, 24) END AS native_id,
  day[:10] AS event_date, event_type AS crew, v AS victim, 'energy' AS industry FROM e""",

@@ -119,7 +119,7 @@ def page_snapshots(pages: DataFrame) -> DataFrame:
     """Visible text of pages, and a hash over url and text that stays while the page does."""
     bare = F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
     rows = pages.select(F.col("url"), plain_text(F.regexp_replace(bare, r"(?s)<!--.*?-->", " ")).alias("text"))
-    return rows.select("url", "text", F.sha2(F.concat("url", F.lit("\n"), "text"), 256).alias("content_hash"))
+    return rows.select("url", "text", F.sha2(F.concat(F.coalesce("url", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))), 256).alias("content_hash"))
 
 
 def enforcement(rows: DataFrame, cutoff: str) -> DataFrame:
