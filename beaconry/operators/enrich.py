@@ -128,3 +128,38 @@ def listed_edits(rows: DataFrame, edits: DataFrame, entities: DataFrame, value:
     after = after.select("entity_id", F.col("_v").alias(value), F.when(F.col("_last").isNull(), F.col("_origin")).otherwise("operator").alias("origin"))
     told = audit.select("seq", "action", "entity_id", "outcome", F.when(F.col("outcome") == "removed", F.col("_v")).alias("old_value"), F.when(F.col("outcome") == "added", F.col("_v")).alias("new_value"))
     return after, told
+
+
+def disagreement_list(judged: DataFrame, signals: DataFrame, entities: DataFrame, triggers: DataFrame, events: DataFrame) -> DataFrame:
+    """What judge and human disagree on (`judged` with signal_id, judge_negative, verdict and disagree), with the card's columns, newest first.
+
+    A signal that isn't known keeps its row, with null columns; an undated one comes last. Nothing is changed by it: someone has to look.
+    """
+    card = signals.select("signal_id", "headline", "event_date", "signal_scope", "status", "entity_id", "trigger_id", "raw_event_id").dropDuplicates(["signal_id"])
+    rows = judged.where("disagree").select("signal_id", "judge_negative", "verdict").join(card, "signal_id", "left")
+    rows = rows.join(entities.select("entity_id", F.col("name").alias("entity_name")), "entity_id", "left")
+    rows = rows.join(triggers.select("trigger_id", F.col("name").alias("trigger_name")), "trigger_id", "left").join(events.select("raw_event_id", "source_id"), "raw_event_id", "left")
+    columns = ["signal_id", "judge_negative", "verdict", "headline", "event_date", "signal_scope", "status", "entity_id", "entity_name", "trigger_name", "source_id"]
+    return rows.select(columns).orderBy(F.desc(F.coalesce("event_date", F.lit(""))), F.desc("signal_id"))
+
+
+def card_details(signals: DataFrame, evidence: DataFrame, snapshots: DataFrame, candidates: DataFrame, products: DataFrame, facts: DataFrame) -> DataFrame:
+    """`signals` with `evidence` and `snapshots` as sorted arrays of structs, empty where there are none.
+
+    `evidence` (signal_id, rank, n, raw_event_id, text, locator, version) is in order of rank, then n. `snapshots` (signal_id, play_id, fact_ids as a JSON array, made_on,
+    display_text, outreach_safe_text) is in order of play_id, each with its candidate's family, path and question, its product's name (else the
+    family) and its facts by id: unknown ids and unreadable lists have none, and no fact brings its price along. A snapshot whose candidate is gone is left out.
+    """
+    told = ["rank", "n", "raw_event_id", "text", "locator", "version"]
+    said = evidence.groupBy("signal_id").agg(F.array_sort(F.collect_list(F.struct(*told))).alias("evidence"))
+    keys = snapshots.select("signal_id", "play_id", "fact_ids").distinct()
+    ids = keys.select("signal_id", "play_id", F.explode(F.array_distinct(F.from_json("fact_ids", "array<string>"))).alias("fact_id"))
+    shown = ["fact_id", "family", "segment", "source_quality", "source_url"]
+    cited = ids.join(facts.select(shown), "fact_id").groupBy("signal_id", "play_id").agg(F.array_sort(F.collect_list(F.struct(*shown))).alias("facts"))
+    none = F.array().cast(cited.schema["facts"].dataType)
+    plays = snapshots.join(candidates.select("play_id", "family", "recommended_path", "discovery_question"), "play_id").join(products.select("family", "name"), "family", "left")
+    plays = plays.join(cited, ["signal_id", "play_id"], "left").withColumns({"facts": F.coalesce("facts", none), "product": F.coalesce("name", "family")})
+    held = ["play_id", "family", "product", "recommended_path", "discovery_question", "display_text", "outreach_safe_text", "made_on", "facts"]
+    made = plays.groupBy("signal_id").agg(F.array_sort(F.collect_list(F.struct(*held))).alias("snapshots"))
+    out = signals.join(said, "signal_id", "left").join(made, "signal_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.array().cast(df.schema[c].dataType)) for c, df in {"evidence": said, "snapshots": made}.items()})

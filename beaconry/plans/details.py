@@ -94,7 +94,33 @@ def e02_alias_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alias_edits(spark, sf_dir)[1]
 
 
-QUERIES = {f.__name__: f for f in (s04_rss_items, s07_cve_urls, c09_relevance, a25_relevance, p23_breakdowns, c14_whole_evidence, e02_aliases, e02_alias_audit)}
+def a13_work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All signals on which judge (by the order's status) and human (by the customer's key) disagree, with their cards, newest first."""
+    signals = roles.signals(spark, sf_dir)
+    judge, human = F.col("seq") % 5 == 0, F.col("seq") % 3 == 0
+    judged = signals.select(F.when(F.col("seq") % 50 == 0, "gone").otherwise(F.col("signal_id")).alias("signal_id"), judge.cast("int").alias("judge_negative"), F.when(human, "not_useful").otherwise("useful").alias("verdict"), (judge != human).alias("disagree"))
+    events = signals.where("seq % 4 <> 0").select("raw_event_id", F.col("status").alias("source_id"))
+    return enrich.disagreement_list(judged, signals, roles.entities(spark, sf_dir), roles.triggers(spark).where("trigger_id <> '5-LOW'"), events)
+
+
+def j21_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every signal with its lines as evidence, and plays with the facts (suppliers) that their JSON lists name."""
+    signals, li = roles.signals(spark, sf_dir), table(spark, sf_dir, "lineitem")
+    key = F.format_string("s%d", "l_orderkey")
+    evidence = li.select(key.alias("signal_id"), (F.col("l_linenumber") % 3).alias("rank"), F.col("l_linenumber").alias("n"), F.format_string("r%d", "l_orderkey").alias("raw_event_id"), F.format_string("part %d", "l_partkey").alias("text"), F.col("l_returnflag").alias("locator"), F.lit("1.0").alias("version"))
+    per = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.format_string("f%d", "l_suppkey"))).alias("ids"))
+    k = F.col("l_orderkey")
+    lists = F.when(k % 10 == 3, "[broken").when(k % 10 == 4, "").otherwise(F.to_json(F.array_append("ids", F.lit("lost"))))
+    snapshots = per.select(key.alias("signal_id"), F.explode(F.when(k % 4 == 0, F.array(F.lit("p2"), F.lit("p1"))).when(k % 4 == 1, F.array(F.lit("p3"))).when(k % 4 == 2, F.array(F.lit("old")))).alias("play_id"), lists.alias("fact_ids"), F.lit("2001-01-01").alias("made_on"), F.lit("d").alias("display_text"), F.lit("o").alias("outreach_safe_text"))
+    candidates = spark.createDataFrame([("p1", "a", "A", "q"), ("p2", "b", "B", None), ("p3", "c", None, "q")], "play_id string, family string, recommended_path string, discovery_question string")
+    products = spark.createDataFrame([("a", "Alpha"), ("b", "Beta")], "family string, name string")
+    facts = table(spark, sf_dir, "supplier").select(F.format_string("f%d", "s_suppkey").alias("fact_id"), F.lit("a").alias("family"), F.lit("s").alias("segment"), F.lit("A").alias("source_quality"), F.col("s_name").alias("source_url"), F.col("s_acctbal").alias("price_note"))
+    out = enrich.card_details(signals, evidence, snapshots, candidates, products, facts)
+    play = F.transform("snapshots", lambda p: F.concat_ws(":", p["play_id"], p["product"], F.array_join(F.transform(p["facts"], lambda f: F.concat_ws("@", f["fact_id"], f["source_url"])), ",")))
+    return out.select("signal_id", F.array_join(F.transform("evidence", lambda e: F.concat_ws("/", e["n"].cast("string"), e["text"], e["locator"])), ";").alias("evidence"), F.array_join(play, ";").alias("plays"))
+
+
+QUERIES = {f.__name__: f for f in (s04_rss_items, s07_cve_urls, c09_relevance, a25_relevance, p23_breakdowns, c14_whole_evidence, e02_aliases, e02_alias_audit, a13_work_list, j21_cards)}
 
 _TWO = "printf('%.2f', CAST(round(CAST({} AS DECIMAL(18, 9)), 2) AS DOUBLE))"
 _SHOWN = "regexp_replace(" + _TWO + r", '\.?0+$', '')"
@@ -109,6 +135,14 @@ a AS (SELECT *, CASE action WHEN 'add' THEN CASE WHEN e < 0 THEN 'unknown_entity
   WHEN 'remove' THEN CASE WHEN NOT there THEN 'unknown' WHEN origin = 'seed' THEN 'not_operator' ELSE 'removed' END ELSE 'bad_action' END AS outcome FROM t)"""
 
 ORACLES = {
+    "a13_work_list": f"""WITH {roles.SIGNALS}, {roles.ENTITIES}, {roles.TRIGGER_ROWS},
+j AS (SELECT CASE WHEN seq % 50 = 0 THEN 'gone' ELSE signal_id END AS signal_id, CAST(seq % 5 = 0 AS INTEGER) AS judge_negative, CASE WHEN seq % 3 = 0 THEN 'not_useful' ELSE 'useful' END AS verdict FROM signals WHERE (seq % 5 = 0) <> (seq % 3 = 0))
+SELECT j.*, headline, event_date, signal_scope, status, s.entity_id, e.name AS entity_name, CASE WHEN s.trigger_id <> '5-LOW' THEN t.name END AS trigger_name, CASE WHEN s.seq % 4 <> 0 THEN status END AS source_id
+FROM j LEFT JOIN signals s USING (signal_id) LEFT JOIN entities e ON e.entity_id = s.entity_id LEFT JOIN triggers t ON t.trigger_id = s.trigger_id""",
+    "j21_cards": f"""WITH {roles.SIGNALS}, e AS (SELECT l_orderkey AS k, string_agg(l_linenumber || '/part ' || l_partkey || '/' || l_returnflag, ';' ORDER BY l_linenumber % 3, l_linenumber, 'part ' || l_partkey, l_returnflag) AS evidence FROM lineitem GROUP BY 1),
+f AS (SELECT k, string_agg('f' || s_suppkey || '@' || s_name, ',' ORDER BY 'f' || s_suppkey) AS facts FROM (SELECT DISTINCT l_orderkey AS k, l_suppkey FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey WHERE k % 10 NOT IN (3, 4) GROUP BY k),
+x AS (SELECT signal_id, coalesce(evidence, '') AS evidence, CASE WHEN e.k IS NULL THEN NULL ELSE coalesce(facts, '') END AS facts, seq FROM signals LEFT JOIN e ON e.k = seq LEFT JOIN f ON f.k = seq)
+SELECT signal_id, evidence, CASE WHEN facts IS NULL OR seq % 4 >= 2 THEN '' WHEN seq % 4 = 1 THEN 'p3:c:' || facts ELSE 'p1:Alpha:' || facts || ';p2:Beta:' || facts END AS plays FROM x""",
     "e02_alias_audit": f"{_ALIASES} SELECT seq, action, e AS entity_id, outcome, CASE WHEN outcome = 'removed' THEN v END AS old_value, CASE WHEN outcome = 'added' THEN v END AS new_value FROM a",
     "e02_aliases": f"""{_ALIASES}, l AS (SELECT e, v, arg_max(outcome, seq) AS last FROM a WHERE outcome IN ('added', 'removed') GROUP BY e, v)
 SELECT coalesce(r.e, l.e) AS entity_id, coalesce(r.v, l.v) AS alias, CASE WHEN last IS NULL THEN origin ELSE 'operator' END AS origin FROM r FULL JOIN l ON r.e = l.e AND r.v = l.v WHERE last IS NULL OR last = 'added'""",

@@ -62,3 +62,26 @@ def test_lists_are_edited_in_order(spark):
     assert [r["outcome"] for r in audit.orderBy("seq").collect()] == ["added", "exists", "removed", "unknown", "added", "not_operator", "removed", "added", "unknown_entity", "blank", "bad_action", "bad_action", "removed", "exists", "not_operator", "unknown", "unknown_entity"]
     assert sorted(map(tuple, after.collect())) == [("e1", "new", "operator"), ("e1", "own", "operator"), ("e1", "seeded", "seed")]
     assert {r["seq"]: (r["old_value"], r["new_value"]) for r in audit.collect() if r["seq"] in (1, 3, 6)} == {1: (None, "new"), 3: ("new", None), 6: (None, None)}
+
+
+def test_cards_have_their_parts_in_order(spark):
+    signals = spark.createDataFrame([("s1",), ("s2",)], "signal_id string")
+    evidence = spark.createDataFrame([("s1", 2, 1, "r", "late", "x", "1"), ("s1", 1, 2, "r", "second", None, "1"), ("s1", 1, 1, "r", "first", "x", None), ("s9", 1, 1, "r", "x", "x", "1")], "signal_id string, rank int, n int, raw_event_id string, text string, locator string, version string")
+    snapshots = spark.createDataFrame([("s1", "p2", '["f2","f1","f1","f9"]', "d", "t", "o"), ("s1", "p1", "no list", "d", "t", "o"), ("s1", "p3", '["f1"]', "d", "t", "o"), ("s2", "p2", None, None, None, None)], "signal_id string, play_id string, fact_ids string, made_on string, display_text string, outreach_safe_text string")
+    candidates = spark.createDataFrame([("p1", "a", "A", "q"), ("p2", "b", None, None)], "play_id string, family string, recommended_path string, discovery_question string")
+    products = spark.createDataFrame([("a", "Alpha")], "family string, name string")
+    facts = spark.createDataFrame([("f1", "a", "s", "A", "u", 5.0), ("f2", "a", "s", "A", "u", 6.0)], "fact_id string, family string, segment string, source_quality string, source_url string, price_note double")
+    out = enrich.card_details(signals, evidence, snapshots, candidates, products, facts)
+    assert "price" not in out.schema.simpleString()
+    got = {r["signal_id"]: r for r in out.collect()}
+    assert [e["text"] for e in got["s1"]["evidence"]] == ["first", "second", "late"] and got["s2"]["evidence"] == []
+    assert [(p["play_id"], p["product"], [f["fact_id"] for f in p["facts"]]) for p in got["s1"]["snapshots"]] == [("p1", "Alpha", []), ("p2", "b", ["f1", "f2"])]
+    assert [(p["play_id"], p["facts"]) for p in got["s2"]["snapshots"]] == [("p2", [])]
+
+
+def test_disagreements_come_newest_first(spark):
+    judged = spark.createDataFrame([("a", 1, "useful", True), ("b", 0, "not_useful", True), ("c", 0, "useful", False), ("d", 1, "useful", True), ("gone", 1, "useful", True)], "signal_id string, judge_negative int, verdict string, disagree boolean")
+    signals = spark.createDataFrame([("a", "H", "2024-01-01", "account", "active", "e", "t", "r"), ("b", "H", "2024-02-01", "account", "active", None, "x", None), ("d", "H", None, "account", "active", "e", "t", "r")], "signal_id string, headline string, event_date string, signal_scope string, status string, entity_id string, trigger_id string, raw_event_id string")
+    one = lambda key, value, column: spark.createDataFrame([(key, value)], column)
+    out = enrich.disagreement_list(judged, signals, one("e", "Acme", "entity_id string, name string"), one("t", "T", "trigger_id string, name string"), one("r", "src", "raw_event_id string, source_id string")).collect()
+    assert [(r["signal_id"], r["entity_name"], r["trigger_name"], r["source_id"]) for r in out] == [("b", None, None, None), ("a", "Acme", "T", "src"), ("gone", None, None, None), ("d", "Acme", "T", "src")]
