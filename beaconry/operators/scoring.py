@@ -147,9 +147,14 @@ def retiered(signals: DataFrame, edits: DataFrame, tiers: list[str]) -> tuple[Da
     return state, trail
 
 
+def two_places(value: Column) -> Column:
+    """Two places, halves up; what stands beyond nine places is noise of the factors' order."""
+    return F.format_string("%.2f", F.round(value.cast("double"), 9))
+
+
 def shown_score(score: Column) -> Column:
     """Two places at most, without idle zeros; 'unscored' if null."""
-    return F.when(score.isNull(), "unscored").otherwise(F.regexp_replace(F.format_string("%.2f", score.cast("double")), r"\.?0+$", ""))
+    return F.when(score.isNull(), "unscored").otherwise(F.regexp_replace(two_places(score), r"\.?0+$", ""))
 
 
 def score_breakdown(rows: DataFrame) -> DataFrame:
@@ -162,7 +167,7 @@ def score_breakdown(rows: DataFrame) -> DataFrame:
     known = F.col("score").isNotNull() & F.col("score_base").isNotNull()
     for c in factors:
         known &= F.col(c).isNotNull()
-    two = lambda c: F.format_string("%.2f", F.col(c).cast("double"))
+    two = lambda c: two_places(F.col(c))
     line = F.concat(F.lit("score "), shown_score(F.col("score")), F.lit(" = "), shown_score(F.col("score_base")), *(x for c in factors for x in (F.lit(" × "), two(c))))
     last = F.when(F.col("score_combo").isNull(), " · no combo applied").otherwise(F.concat(F.lit(" × "), two("score_combo")))
     ceiling = F.col("score_base").cast("double")
