@@ -184,3 +184,20 @@ def _doubled(start: DataFrame, n: int, steps: int) -> DataFrame:
         rows = rows.where("done").unionByName(moved)
         rows = rows if k % steps else checkpointed(rows)
     return checkpointed(rows)
+
+
+def decision_log(resolutions: DataFrame, events: DataFrame, version: str, decided_by: str, ts: str) -> DataFrame:
+    """One row per matched event as it was decided: event_id, entity_id, method, confidence, matched_terms, rejected_terms, decision, decided_by, ts and version.
+
+    matched_terms is a JSON array of what was matched: the identifier as the event has it, else the normalised name. No terms are rejected
+    by a match, so rejected_terms is empty. What needs review or found nobody isn't decided and has no row.
+    """
+    own = events.select("event_id", *(F.trim(c).alias(f"_{c}") for c in ("cik", "ticker", "lei")), normalized_name(F.col("name")).alias("_name"))
+    rows = resolutions.where("status = 'matched'").join(own, "event_id")
+    term = F.col("_name")
+    for c in ("cik", "ticker", "lei"):
+        term = F.when(F.col("method") == c, F.col(f"_{c}")).otherwise(term)
+    return rows.select(
+        "event_id", "entity_id", "method", "confidence", F.to_json(F.array(term)).alias("matched_terms"), F.lit("[]").alias("rejected_terms"),
+        F.lit("auto").alias("decision"), F.lit(decided_by).alias("decided_by"), F.lit(ts).alias("ts"), F.lit(version).alias("version"),
+    )

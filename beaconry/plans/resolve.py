@@ -45,6 +45,12 @@ def j08_review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.review_rows(ops.resolved(_events(spark, sf_dir), *_watchlist(spark, sf_dir)))
 
 
+def j08_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of what was decided, one row per matched event. Held against known events in the tests."""
+    events = _events(spark, sf_dir)
+    return ops.decision_log(ops.resolved(events, *_watchlist(spark, sf_dir)), events, "1.0", "classification", "2024-01-01T00:00:00Z")
+
+
 def j02_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events known by cik or ticker."""
     return ops.by_identifier(_events(spark, sf_dir), _watchlist(spark, sf_dir)[0])
@@ -71,7 +77,7 @@ def j15_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("x.p_name").alias("a"), F.col("y.p_name").alias("b")).agg(F.count("*").alias("shared"), F.array_join(F.array_sort(F.collect_set("x.w")), ",").alias("words"))
 
 
-QUERIES = {f.__name__: f for f in (j07_resolve_names, j08_review_rows, j02_identifiers, p01_normalized_names, j10_rollup, j15_token_overlap)}
+QUERIES = {f.__name__: f for f in (j07_resolve_names, j08_review_rows, j08_decisions, j02_identifiers, p01_normalized_names, j10_rollup, j15_token_overlap)}
 
 ORACLES = {
     "j02_identifiers": """WITH w AS (SELECT p_brand AS entity_id, min(p_partkey) AS key FROM part GROUP BY p_brand)

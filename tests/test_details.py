@@ -85,3 +85,13 @@ def test_disagreements_come_newest_first(spark):
     one = lambda key, value, column: spark.createDataFrame([(key, value)], column)
     out = enrich.disagreement_list(judged, signals, one("e", "Acme", "entity_id string, name string"), one("t", "T", "trigger_id string, name string"), one("r", "src", "raw_event_id string, source_id string")).collect()
     assert [(r["signal_id"], r["entity_name"], r["trigger_name"], r["source_id"]) for r in out] == [("b", None, None, None), ("a", "Acme", "T", "src"), ("gone", None, None, None), ("d", "Acme", "T", "src")]
+
+
+def test_decisions_are_logged_for_matches_only(spark):
+    entities = spark.createDataFrame([("e1", "Norwind Inc.", "7", "NW", ""), ("e2", "Sudwind", "", "", "L2"), ("e3", "Sudwind", "", "", "")], "entity_id string, name string, cik string, ticker string, lei string")
+    none = spark.createDataFrame([], "entity_id string, alias string")
+    events = spark.createDataFrame([(1, " 007", None, None, None, None), (2, None, None, None, "NORWIND, Corp", None), (3, None, None, None, "Sudwind", None), (4, None, None, None, "Nobody", None), (5, None, "nw", None, "x", None)], "event_id long, cik string, ticker string, lei string, name string, context string")
+    found = resolve.resolved(events, entities, none, none.withColumnRenamed("alias", "term"))
+    log = {r["event_id"]: r for r in resolve.decision_log(found, events, "1.0", "classification", "2024-01-01T00:00:00Z").collect()}
+    assert {i: (r["entity_id"], r["method"], r["matched_terms"]) for i, r in log.items()} == {1: ("e1", "cik", '["007"]'), 2: ("e1", "name", '["norwind"]'), 5: ("e1", "ticker", '["nw"]')}
+    assert {(r["decision"], r["decided_by"], r["rejected_terms"], r["version"]) for r in log.values()} == {("auto", "classification", "[]", "1.0")}
