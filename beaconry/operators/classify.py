@@ -87,6 +87,11 @@ def texts_refreshed(state: DataFrame, candidates: DataFrame, version: str, vocab
     return rows.withColumns(out).drop("_h", "_s")
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """`rows`, to be joined by sorting and merging: for sides that grow with the input, which a broadcast would take whole through the driver."""
+    return rows.hint("merge")
+
+
 def reconciled(state: DataFrame, processed: DataFrame, emitted: DataFrame) -> DataFrame:
     """Statuses after a run: what its processed events no longer give is retracted, what they give again restored.
 
@@ -94,7 +99,7 @@ def reconciled(state: DataFrame, processed: DataFrame, emitted: DataFrame) -> Da
     """
     p = processed.select("raw_event_id").distinct().withColumn("_p", F.lit(True))
     e = emitted.select("signal_id").distinct().withColumn("_e", F.lit(True))
-    rows = state.join(p, "raw_event_id", "left").join(e, "signal_id", "left")
+    rows = state.join(merged(p), "raw_event_id", "left").join(merged(e), "signal_id", "left")
     status = (
         F.when((F.col("status") == "retracted") & F.col("_e"), "active")
         .when(F.col("_p") & F.col("_e").isNull() & ~F.col("status").isin("dismissed", "retracted"), "retracted")

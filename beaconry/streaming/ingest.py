@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.classify import identified, reconciled
+from ..operators.classify import identified, merged, reconciled
 
 #: Column with a micro-batch's number in a change log.
 BATCH = "batch"
@@ -48,7 +48,7 @@ class ChangeLog:
         """Each key's last row, without the batch; with `by` and `only`, of those rows whose `by` is one of `only`'s."""
         rows = self.read(before)
         if by is not None:
-            rows = rows.join(only.select(by).distinct(), by, "left_semi")
+            rows = rows.join(merged(only.select(by).distinct()), by, "left_semi")
         rest = [c for c in rows.columns if c not in (key, BATCH)]
         last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), BATCH).alias("_r"))
         return last.select(key, "_r.*").select([c for c in rows.columns if c != BATCH])
@@ -84,36 +84,51 @@ def classify_stream(events: DataFrame, rule: Callable[[DataFrame], DataFrame], l
     """
 
     def step(batch: DataFrame, n: int) -> None:
-        batch = batch.where("raw_event_id is not null").persist()
+        rows = counted_rows(batch.where("raw_event_id is not null"), ledger, n).persist()
+        now = given(rows.where("_counts"), rule, log).persist()  # rules are dear and its columns are read several times
         try:
-            log.write(signal_changes(batch, rule, log, ledger, n, dismissed), n)
-            ledger.write(batch.groupBy("raw_event_id").agg(F.max("delivered").alias("delivered")), n)
+            log.write(signal_changes(rows, now, rule, log, n, dismissed), n)
+            ledger.write(rows.groupBy("raw_event_id").agg(F.max("delivered").alias("delivered")), n)
         finally:
-            batch.unpersist()
+            now.unpersist()
+            rows.unpersist()
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def signal_changes(batch: DataFrame, rule: Callable[[DataFrame], DataFrame], log: ChangeLog, ledger: ChangeLog, n: int, dismissed: DataFrame | None = None) -> DataFrame:
-    """The rows that micro-batch n adds to the log of signals. Of log and ledger only rows of its own events are looked up."""
+def counted_rows(batch: DataFrame, ledger: ChangeLog, n: int) -> DataFrame:
+    """The rows of micro-batch n with `_last` (one row of the event's last delivery yet) and `_counts` (that, with a number). The ledger is looked up for its events only."""
+    place = F.row_number().over(Window.partitionBy("raw_event_id").orderBy(F.desc("delivered")))
+    ids = batch.select("raw_event_id").distinct()
+    seen = ledger.read(before=n).join(merged(ids), "raw_event_id", "left_semi").groupBy("raw_event_id").agg(F.max("delivered").alias("_seen"))
+    rows = batch.withColumn("_n", place).join(merged(seen), "raw_event_id", "left")
+    rows = rows.withColumn("_last", (F.col("_n") == 1) & F.coalesce(F.col("delivered") >= F.col("_seen"), F.lit(True)))
+    return rows.withColumn("_counts", F.col("_last") & F.col("delivered").isNotNull()).drop("_n", "_seen")
+
+
+def given(rows: DataFrame, rule: Callable[[DataFrame], DataFrame], log: ChangeLog) -> DataFrame:
+    """The signals that a rule gives for rows, with those of its columns that the log has."""
+    fields = [c.split()[0] for c in log.schema.split(", ")]
+    return identified(rule(rows.drop("_last", "_counts"))).select("signal_id", "raw_event_id", *(c for c in fields if c not in LOGGED))
+
+
+def signal_changes(rows: DataFrame, now: DataFrame, rule: Callable[[DataFrame], DataFrame], log: ChangeLog, n: int, dismissed: DataFrame | None = None) -> DataFrame:
+    """The rows that micro-batch n (its `counted_rows`, and `now`: what those that count give) adds to the log of signals. Of the log only rows of its own events are looked up.
+
+    All sides grow with the batch, and the log's files are far smaller than their rows: no side is ever broadcast.
+    """
     columns = [c.split()[0] for c in log.schema.split(", ")]
     fields = [c for c in columns if c not in LOGGED]
-    last = batch.groupBy("raw_event_id").agg(F.max("delivered").alias("delivered"))
-    ids = last.select("raw_event_id")
-    seen = ledger.read(before=n).join(ids, "raw_event_id", "left_semi").groupBy("raw_event_id").agg(F.max("delivered").alias("_seen"))
-    # Deliveries that come after a later one of their event only add signals that no other gave, as retracted ones.
-    counting = last.join(seen, "raw_event_id", "left").where(F.coalesce(F.col("delivered") >= F.col("_seen"), F.lit(True))).select("raw_event_id", "delivered")
-    given = lambda rows: identified(rule(rows)).select("signal_id", "raw_event_id", *fields)
-    now, ever = given(batch.join(counting, ["raw_event_id", "delivered"], "left_semi").dropDuplicates(["raw_event_id"])), given(batch)
-    before = log.latest("signal_id", before=n, by="raw_event_id", only=ids).drop("change")
+    # Rows that don't count only add signals that no other gave, as retracted ones.
+    counting, rest = rows.where("_last").select("raw_event_id"), given(rows.where("not _counts"), rule, log)
+    before = log.latest("signal_id", before=n, by="raw_event_id", only=rows).drop("change")
     if dismissed is not None:
-        before = before.join(dismissed.select("signal_id"), "signal_id", "left_anti")
-        now, ever = (x.join(dismissed.select("signal_id"), "signal_id", "left_anti") for x in (now, ever))
+        before, now, rest = (x.join(merged(dismissed.select("signal_id")), "signal_id", "left_anti") for x in (before, now, rest))
 
-    fresh = now.join(before, "signal_id", "left_anti").withColumns({"status": F.lit("active"), "change": F.lit("new")})
-    lost = ever.join(now, "signal_id", "left_anti").join(before, "signal_id", "left_anti").withColumns({"status": F.lit("retracted"), "change": F.lit("retracted")})
+    fresh = now.join(merged(before), "signal_id", "left_anti").withColumns({"status": F.lit("active"), "change": F.lit("new")})
+    lost = rest.join(merged(now), "signal_id", "left_anti").join(merged(before), "signal_id", "left_anti").withColumns({"status": F.lit("retracted"), "change": F.lit("retracted")})
     again = now.select("signal_id", F.struct(*fields).alias("_now"))
-    known = reconciled(before.withColumn("_was", F.col("status")), counting, now).join(again, "signal_id", "left")
+    known = reconciled(before.withColumn("_was", F.col("status")), counting, now).join(merged(again), "signal_id", "left")
     change = F.when(F.col("status") != F.col("_was"), F.when(F.col("status") == "retracted", "retracted").otherwise("restored")).when(~F.col("_now").eqNullSafe(F.struct(*fields)), "refreshed")
     known = known.withColumn("change", F.when(F.col("_now").isNotNull() | (F.col("status") != F.col("_was")), change)).where("change is not null")
     known = known.withColumns({f: F.when(F.col("_now").isNotNull(), F.col(f"_now.{f}")).otherwise(F.col(f)) for f in fields})
