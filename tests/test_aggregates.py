@@ -106,3 +106,10 @@ def test_snapshots(spark):
     assert out["s2", "p1"] == ("new", ["f1"], f"{shown}\n{derive.CAUTION % ('Copilot', derive.NOT_AVAILABLE + 'x')}", derive.TO_SECTOR % (derive.NO_HEADLINE, "Copilot", "Ready?"))
     assert out["s3", "p1"] == ("new", ["f1"], shown, derive.UNVERIFIED)
     assert out["s4", "p1"][3] == derive.TO_SECTOR % ("H", "Copilot", "Ready?") and out["s4", "p2"][3] == derive.TO_SECTOR % ("H", "other", "")
+
+
+def test_days_between_two_turns_share_their_facts(spark):
+    days = spark.range(300).select(F.lit("a").alias("family"), F.date_format(F.expr("date_add(DATE '2001-01-01', CAST(id AS INT))"), "yyyy-MM-dd").alias("day"))
+    facts = spark.createDataFrame([(f"f{i}", "a", None, None, v) for i in range(4) for v in (None, "2001-03-01")], "fact_id string, family string, segment string, price_note string, valid_from string")
+    asked, pinned = derive.fact_periods(days, facts, ",")
+    assert asked.count() == 300 and {r["_since"]: r["fact_ids"] for r in pinned.collect()} == dict.fromkeys(("", "2001-03-01"), "f0,f1,f2,f3")
