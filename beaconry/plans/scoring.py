@@ -88,7 +88,9 @@ def k10_combo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k11_sound_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that read right, with how many signals each one's triggers meet."""
     sound = ops.rule_clauses(_rules(spark)).select("rule_id", F.explode(F.flatten(F.transform(F.filter("c", lambda c: c["kind"] == "trigger_any"), lambda c: c["terms"]))).alias("trigger_id"))
-    return sound.join(roles.signals(spark, sf_dir), "trigger_id").groupBy("rule_id").agg(F.count("*").alias("signals"))
+    # Signals are counted by trigger first: joined as they are, all of a trigger would be sorted in one task.
+    met = roles.signals(spark, sf_dir).groupBy("trigger_id").agg(F.count("*").alias("n"))
+    return sound.join(met, "trigger_id").groupBy("rule_id").agg(F.sum("n").alias("signals"))
 
 
 def j28_k12_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,3 +28,10 @@ def test_equal_rows_stay_apart(spark):
     queue = spark.createDataFrame([(1, None, "pending"), (2, "a", "pending")], "event_id int, candidate string, disposition string")
     made = spark.createDataFrame([(1, None, True, 1), (1, None, False, 2)], "event_id int, candidate string, accept boolean, decided_at int")
     assert sorted((r["event_id"], r["disposition"]) for r in changes.disposed(queue, made).collect()) == [(1, "rejected"), (2, "pending")]
+
+
+def test_signals_are_counted_by_trigger_before_they_meet_rules(spark):
+    from beaconry import registry
+
+    plan = registry.queries()["k11_sound_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [trigger_id") == 1 or plan.index("Join") < plan.rindex("Aggregate")
