@@ -182,3 +182,14 @@ def test_a_torn_export_is_refused(spark, tmp_path):
         state.read_export(spark, folder)
     with pytest.raises(ValueError, match="needs tables"):
         state.export_snapshot({}, folder)
+
+
+def test_page_texts_reach_python_in_bounded_batches(spark):
+    from beaconry.operators import page_changes
+
+    names = [f"spark.sql.execution.arrow.{name}" for name in page_changes.BATCH]
+    for name in names:
+        spark.conf.unset(name)
+    rows = spark.createDataFrame([("u", "d", "see CIP-001 now", "see now")], "url string, event_date string, text string, prev string")
+    assert page_changes.standard_changes(rows).count() == 1
+    assert [int(spark.conf.get(name)) for name in names] == [1000, 8 << 20]
