@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify, obligations, page_changes, rules
-from ..session import table
+from ..session import checkpointed, table
 from ..sources import normalize
 from . import roles
 from . import rules as cards
@@ -23,6 +23,7 @@ def _signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _considered(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, found = _signals(spark, sf_dir)
+    found = checkpointed(found)  # read twice, and the rules on documents are dear
     old = found.where("k % 10 = 0").select(F.concat(F.lit("obligation:"), "signal_id").alias("obligation_id"))
     return obligations.considered(found, docs, old)
 

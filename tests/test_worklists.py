@@ -35,3 +35,10 @@ def test_signals_are_counted_by_trigger_before_they_meet_rules(spark):
 
     plan = registry.queries()["k11_sound_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [trigger_id") == 1 or plan.index("Join") < plan.rindex("Aggregate")
+
+
+def test_rules_on_documents_are_judged_once_for_obligations(spark):
+    from beaconry.plans import obligations
+
+    plan = obligations._considered(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2  # the signals and the old ones among them, both from one checkpoint
