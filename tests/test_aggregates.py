@@ -113,3 +113,33 @@ def test_days_between_two_turns_share_their_facts(spark):
     facts = spark.createDataFrame([(f"f{i}", "a", None, None, v) for i in range(4) for v in (None, "2001-03-01")], "fact_id string, family string, segment string, price_note string, valid_from string")
     asked, pinned = derive.fact_periods(days, facts, ",")
     assert asked.count() == 300 and {r["_since"]: r["fact_ids"] for r in pinned.collect()} == dict.fromkeys(("", "2001-03-01"), "f0,f1,f2,f3")
+
+
+def _snapshots_of_one_family(spark):
+    """400 signals of one trigger on four days and none, with its two plays: one of a family with two periods of facts, one of a family without facts."""
+    day = F.element_at(F.array(F.lit("2024-01-01"), F.lit("2024-02-01"), F.lit("2024-02-02"), F.lit("2024-03-01"), F.lit(None)), (F.col("id") % 5 + 1).cast("int"))
+    signals = spark.range(400).select(
+        F.format_string("s%d", "id").alias("signal_id"), F.lit(None).cast("string").alias("entity_id"), F.lit("sector").alias("signal_scope"), F.lit("t").alias("trigger_id"),
+        F.lit("H").alias("headline"), F.lit("").alias("event_date"), F.lit(True).alias("allowed"), day.alias("made_on"),
+    )
+    plays = spark.createDataFrame([("p1", "t", "a", "", ""), ("p2", "t", "none", "", "")], "play_id string, trigger_id string, family string, recommended_path string, discovery_question string")
+    facts = spark.createDataFrame([("f1", "a", None, None, "2024-01-15"), ("f2", "a", None, None, "2024-02-02")], FACTS)
+    existing = signals.where("signal_id = 's7'").select("signal_id", F.lit("p1").alias("play_id"))
+    none = spark.createDataFrame([], "entity_id string, tenant string, likelihood string")
+    return derive.pinned_snapshots(signals, plays, spark.createDataFrame([], "family string, name string"), none, facts, existing, sep=",")
+
+
+def test_rows_of_one_family_make_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(derive, "ROWS_A_TASK", 50, raising=False)
+    tasks = [r["count"] for r in _snapshots_of_one_family(spark).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 800 and len(tasks) >= 10 and max(tasks) <= 150
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_lists_too_long_to_be_sent_give_the_same_rows(spark, monkeypatch, sent):
+    monkeypatch.setattr(derive, "LISTS_SENT", sent)
+    monkeypatch.setattr(derive, "DAYS_SENT", sent)
+    monkeypatch.setattr(derive, "ROWS_A_TASK", 50)
+    got = {(r["signal_id"], r["play_id"]): r["fact_ids"] for r in _snapshots_of_one_family(spark).collect()}
+    want = {(f"s{i}", "p1"): ["", "f1", "f1,f2", "f1,f2", ""][i % 5] for i in range(400)} | {(f"s{i}", "p2"): "" for i in range(400)}
+    assert got == want | {("s7", "p1"): None}
